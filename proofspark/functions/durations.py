@@ -30,11 +30,19 @@ def _groups(text: str, pattern: str, count: int) -> str:
     return f"case when {tidy} rlike '{pattern}' then {split} end"
 
 
+def _number(group: str) -> str:
+    """A group as int; null where it is absent or too long for an int.
+
+    Absent groups are made null first, as a failing cast costs far more than one of null.
+    """
+    return f"try_cast(nullif({group}, '') as int)"
+
+
 def with_duration(rows: DataFrame, text: str, name: str = "duration_s") -> DataFrame:
     """Adds the seconds in a text such as ``1D2H30M`` (any case); null where it is no such text."""
     # a number too long for an int makes the sum null, so the text counts as unreadable
     parts = [
-        f"if(_d[{i}] = '', 0L, cast(try_cast(_d[{i}] as int) as bigint) * {size})"
+        f"if(_d[{i}] = '', 0L, cast({_number(f'_d[{i}]')} as bigint) * {size})"
         for i, size in enumerate((86400, 3600, 60))
     ]
     total = f"case when array_join(_d, '') <> '' then {' + '.join(parts)} end"
@@ -58,12 +66,12 @@ def with_end(rows: DataFrame, text: str, start: str, tz: str, name: str = "end_t
         " when _h between 1 and 12 then _h % 12 + if(_c[6] = 'PM', 12, 0) end"
     )
     stamp = f"""try_make_timestamp_ntz(
-        coalesce(try_cast(_c[0] as int), year(_local_start)),
-        coalesce(try_cast(_c[1] as int), month(_local_start)),
-        coalesce(try_cast(_c[2] as int), day(_local_start)),
+        coalesce({_number("_c[0]")}, year(_local_start)),
+        coalesce({_number("_c[1]")}, month(_local_start)),
+        coalesce({_number("_c[2]")}, day(_local_start)),
         {hour},
-        coalesce(try_cast(_c[4] as int), 0),
-        cast(coalesce(try_cast(_c[5] as int), 0) as decimal(16, 6)))"""
+        coalesce({_number("_c[4]")}, 0),
+        cast(coalesce({_number("_c[5]")}, 0) as decimal(16, 6)))"""
     by_duration = f"{start} + make_dt_interval(0, 0, 0, cast(_secs as decimal(18, 6)))"
     return (
         with_duration(rows, text, "_secs")
@@ -73,7 +81,7 @@ def with_end(rows: DataFrame, text: str, start: str, tz: str, name: str = "end_t
                 "_local_start": F.expr(f"convert_timezone('UTC', {tz}, {start})"),
             }
         )
-        .withColumn("_h", F.expr("try_cast(_c[3] as int)"))
+        .withColumn("_h", F.expr(_number("_c[3]")))
         .withColumn("_local_end", F.expr(f"case when {readable} then {stamp} end"))
         .withColumn("_end", F.expr(f"convert_timezone({tz}, 'UTC', _local_end)"))
         .withColumn(

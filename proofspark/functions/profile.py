@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -53,11 +53,12 @@ class Profile:
     def _interpolate(self, temp: str, field: int) -> str:
         """Linear between knots, constant outside. NaN counts as above the last knot."""
         first, last = self.knots[0][0], self.knots[-1][0]
-        clamped = f"greatest({_sql(first)}, least({_sql(last)}, {temp}))"
+        # greatest and least pass over nulls; the rest stays outside of any branch, so that the
+        # generated code works out repeated parts once
+        clamped = f"if({temp} is null, null, greatest({_sql(first)}, least({_sql(last)}, {temp})))"
         points = [(k[0], k[field]) for k in self.knots]
         inside = _by_position if _evenly_spaced(points) else _between
-        # greatest and least pass over nulls
-        return f"case when {temp} is not null then {inside(clamped, points)} end"
+        return inside(clamped, points)
 
 
 DOUGH = Profile("dough", DOUGH_KNOTS)
@@ -91,7 +92,7 @@ def _by_position(temp: str, points: Sequence[tuple[float, float]]) -> str:
 def _between(temp: str, points: Sequence[tuple[float, float]]) -> str:
     """A balanced tree of comparisons, so that a row passes log2 of the segments, not all."""
     if len(points) == 1:
-        return _sql(points[0][1])
+        return f"if({temp} is null, null, {_sql(points[0][1])})"
     if len(points) == 2:
         (t0, v0), (t1, v1) = points
         share = f"({temp} - {_sql(t0)}) / {_sql(t1 - t0)}"
@@ -99,14 +100,32 @@ def _between(temp: str, points: Sequence[tuple[float, float]]) -> str:
         return f"case when {temp} = {_sql(t1)} then {_sql(v1)} else {inside} end"
     middle = len(points) // 2
     below, above = _between(temp, points[: middle + 1]), _between(temp, points[middle:])
+    # an unknown temperature falls through to the last segment, whose arithmetic gives null
     return f"case when {temp} < {_sql(points[middle][0])} then {below} else {above} end"
 
 
-def by_profile(
-    profile: str, profiles: Sequence[Profile], value: Callable[[Profile], Column]
-) -> Column:
-    """``value(p)`` of the profile named in each row; null for a name that is not given."""
-    return F.coalesce(*[F.when(F.col(profile) == p.name, value(p)) for p in profiles])
+def with_profile_values(
+    rows: DataFrame, profiles: Sequence[Profile], temp: str, hours: str, rise: str
+) -> DataFrame:
+    """Adds the columns ``hours`` and ``rise`` of the profile named in each row's ``profile``.
+
+    Null for a name that is not given.
+    """
+    looked_up, names = {}, []
+    for i, p in enumerate(profiles):
+        looked_up[f"_hours_{i}"] = p.expected_hours(temp)
+        looked_up[f"_rise_{i}"] = p.target_rise_pct(temp)
+        names.append(F.col("profile") == p.name)
+    return (
+        rows.withColumns(looked_up)
+        .withColumns(
+            {
+                hours: F.coalesce(*[F.when(c, F.col(f"_hours_{i}")) for i, c in enumerate(names)]),
+                rise: F.coalesce(*[F.when(c, F.col(f"_rise_{i}")) for i, c in enumerate(names)]),
+            }
+        )
+        .drop(*looked_up)
+    )
 
 
 def reference_profile(spark: SparkSession, profiles: Sequence[Profile] = (DOUGH,)) -> DataFrame:

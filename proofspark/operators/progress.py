@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from proofspark.functions.profile import DOUGH, Profile, by_profile
+from proofspark.functions.profile import DOUGH, Profile, with_profile_values
 from proofspark.operators.series import CHUNK_SECONDS, chunk_of
 from proofspark.sources.readings import with_temperature
 
@@ -306,19 +306,14 @@ def _finish(
     )
     # the first reading weighs zero, but zero times NaN still shows, as in a plain sum
     average = "if(secs = 0, first_temp, (heat + first_temp * 0D) / nullif(secs, 0))"
-    found = (
-        sessions.join(totals, "session_id", "left")
-        .withColumns({"avg_temp_f": F.expr(average), "integral": integral})
-        .withColumns(
-            {
-                "target_rise_pct": by_profile(
-                    "profile", profiles, lambda p: p.target_rise_pct("avg_temp_f")
-                ),
-                "reference_hours": by_profile(
-                    "profile", profiles, lambda p: p.expected_hours("avg_temp_f")
-                ),
-            }
-        )
+    found = with_profile_values(
+        sessions.join(totals, "session_id", "left").withColumns(
+            {"avg_temp_f": F.expr(average), "integral": integral}
+        ),
+        profiles,
+        "avg_temp_f",
+        "reference_hours",
+        "target_rise_pct",
     )
     capped = "least(integral * target_rise_pct, target_rise_pct)"
     return found.selectExpr(
