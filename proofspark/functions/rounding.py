@@ -5,37 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SCALE_BITS = 60
+# the fraction of a double is scaled in two steps, each exact: by 2**60 and its rest by 2**40
+_HIGH, _LOW = 60, 40
 
 
 def round_places(value: Column, places: int) -> Column:
-    """``value`` rounded to ``places`` decimals as decimal; NaN, infinities and null give null.
+    """``value`` rounded to at most 4 decimals, as decimal; NaN, infinities and null give null.
 
     Spark's own rounding looks at the shortest decimal text of a double, so that 70.35, stored
-    as 70.3499..., would go up. Here the fraction is scaled by a power of two, which is exact,
+    as 70.3499..., would go up. Here the fraction is scaled by powers of two, which is exact,
     and rounded in decimal arithmetic. Meant for report figures, not for rows by the billion.
     """
-    finite = F.when(F.abs(value) < 1e15, value)
-    whole = F.floor(F.abs(finite))
-    # below 2**-60 the fraction is cut off, far under any half step of the places used here
-    fraction = ((F.abs(finite) - whole) * float(2**_SCALE_BITS)).cast("bigint")
-    scaled = fraction.cast("decimal(19,0)") * F.lit(10**places).cast("decimal(6,0)")
-    unit = F.lit(2**_SCALE_BITS).cast("decimal(19,0)")
-    half = F.lit(2 ** (_SCALE_BITS - 1)).cast("decimal(19,0)")
-    steps = F.call_function("div", scaled, unit)
-    rest = scaled % unit
+    size = F.abs(F.when(F.abs(value) < 1e15, value))
+    whole = F.floor(size)
+    stretched = (size - whole) * float(2**_HIGH)
+    high = F.floor(stretched)
+    low = F.floor((stretched - high.cast("double")) * float(2**_LOW))
+    fraction = high.cast("decimal(19,0)") * _big(2**_LOW, 13) + low.cast("decimal(13,0)")
+    scaled = fraction.cast("decimal(31,0)") * _big(10**places, 6)
+    unit, half = _big(2 ** (_HIGH + _LOW), 31), _big(2 ** (_HIGH + _LOW - 1), 31)
+    steps, rest = F.call_function("div", scaled, unit), scaled % unit
     # the last digit's parity is that of the whole part only when no decimals are kept
     last = steps if places else whole
     up = (rest > half) | ((rest == half) & (F.pmod(last, F.lit(2)) == 1))
-    rounded = (
-        whole.cast("decimal(20,0)") * F.lit(10**places).cast("decimal(6,0)")
-        + steps.cast("decimal(6,0)")
-        + up.cast("int")
-    )
-    sign = F.when(finite < 0, F.lit(-1)).otherwise(F.lit(1))
-    return (rounded * sign / F.lit(10**places).cast("decimal(6,0)")).cast(
-        f"decimal(26,{places})"
-    )
+    rounded = whole.cast("decimal(20,0)") * _big(10**places, 6) + steps + up.cast("int")
+    signed = F.when(value < 0, -rounded).otherwise(rounded)
+    return (signed / _big(10**places, 6)).cast(f"decimal(26,{places})")
+
+
+def _big(number: int, digits: int) -> Column:
+    return F.lit(str(number)).cast(f"decimal({digits},0)")
 
 
 def fixed_text(value: Column, places: int) -> Column:
