@@ -141,50 +141,61 @@ def interpolate_by_table(
 
     For profiles kept in a table instead of in code. Segments become rows per whole degree, so
     the join has an equality on (profile, degree) beside the range. Their number is counted
-    before they are broadcast; a larger table is joined by a shuffle on the same keys, where one
-    hot profile is spread over its degrees.
+    before they are broadcast; a larger table is joined by a shuffle on the same keys, which
+    spreads one hot profile over its degrees.
     """
+    extent = knots.agg(F.floor(F.min("temp_f")), F.floor(F.max("temp_f"))).first()
+    coldest, hottest = (extent[0] or 0), (extent[1] or 0)
     by_temp = Window.partitionBy("profile").orderBy("temp_f")
     whole = Window.partitionBy("profile")
-    segments = knots.select(
-        "profile",
-        F.col("temp_f").alias("t0"),
-        F.col("hours").alias("h0"),
-        F.col("target_rise_pct").alias("r0"),
-        F.coalesce(F.lead("temp_f").over(by_temp), "temp_f").alias("t1"),
-        F.coalesce(F.lead("hours").over(by_temp), "hours").alias("h1"),
-        F.coalesce(F.lead("target_rise_pct").over(by_temp), "target_rise_pct").alias("r1"),
-        F.min("temp_f").over(whole).alias("low"),
-        F.max("temp_f").over(whole).alias("high"),
-    )
-    slots = segments.withColumn(
-        "slot", F.explode(F.sequence(F.floor("t0"), F.floor("t1")))
-    )
-    # one row per profile, with its range, for the clamp
-    ranges = knots.groupBy("profile").agg(
-        F.min("temp_f").alias("low_f"), F.max("temp_f").alias("high_f")
-    )
-    small = slots.limit(broadcast_limit + 1).count() <= broadcast_limit
-    if small:
-        slots, ranges = F.broadcast(slots), F.broadcast(ranges)
-    clamped = rows.join(ranges, "profile", "left").withColumn(
-        "clamped", F.when(F.col(temp).isNotNull(), F.greatest("low_f", F.least("high_f", temp)))
+    segments = (
+        knots.select(
+            "profile",
+            F.col("temp_f").alias("t0"),
+            F.col("hours").alias("h0"),
+            F.col("target_rise_pct").alias("r0"),
+            F.lead("temp_f").over(by_temp).alias("t1"),
+            F.lead("hours").over(by_temp).alias("h1"),
+            F.lead("target_rise_pct").over(by_temp).alias("r1"),
+            F.min("temp_f").over(whole).alias("low"),
+            F.max("temp_f").over(whole).alias("high"),
+        )
+        # the last knot is no segment, unless it is the only one
+        .filter("t1 is not null or low = high")
+        .withColumns({"lowest": F.expr("t0 = low"), "highest": F.expr("coalesce(t1, t0) = high")})
+        .withColumn(
+            "slot",
+            F.expr(
+                f"""explode(sequence(if(lowest, {coldest}L, floor(t0)),
+                                     if(highest, {hottest}L, floor(t1))))"""
+            ),
+        )
     )
-    keyed = clamped.withColumn("slot", F.floor("clamped"))
-    inside = (F.col("clamped") >= F.col("t0")) & (
-        (F.col("clamped") < F.col("t1"))
-        | ((F.col("t0") == F.col("high")) & (F.col("clamped") == F.col("t0")))
+    if segments.limit(broadcast_limit + 1).count() <= broadcast_limit:
+        segments = F.broadcast(segments)
+    keyed = rows.withColumn(
+        "slot",
+        F.expr(
+            f"if({temp} is null, null,"
+            f" floor(greatest({_sql(coldest)}, least({_sql(hottest)}, {temp}))))"
+        ),
     )
+    inside = F.expr(f"(lowest or k.{temp} >= t0) and (highest or k.{temp} < t1)")
     joined = keyed.alias("k").join(
-        slots.alias("s"),
+        segments.alias("s"),
         (F.col("k.profile") == F.col("s.profile")) & (F.col("k.slot") == F.col("s.slot")) & inside,
         "left",
     )
-    share = F.when(F.col("t1") == F.col("t0"), F.lit(0.0)).otherwise(
-        (F.col("clamped") - F.col("t0")) / (F.col("t1") - F.col("t0"))
-    )
+    clamped = f"greatest(low, least(high, k.{temp}))"
+    share = f"coalesce(({clamped} - t0) / (t1 - t0), 0D)"
+
+    def between(first: str, second: str) -> Column:
+        return F.expr(
+            f"if({clamped} = t1, {second}, {first} + coalesce({share} * ({second} - {first}), 0D))"
+        )
+
     return joined.select(
         *[F.col("k." + c).alias(c) for c in rows.columns],
-        (F.col("h0") + share * (F.col("h1") - F.col("h0"))).alias("expected_hours"),
-        (F.col("r0") + share * (F.col("r1") - F.col("r0"))).alias("target_rise_pct"),
+        between("h0", "h1").alias("expected_hours"),
+        between("r0", "r1").alias("target_rise_pct"),
     )

@@ -85,8 +85,10 @@ def test_uneven_profile_and_unknown_name(spark):
         )
     )
     assert found == [(10, 50), (9, 45), (5.5, 25), (3, 10), (12, 75), (None, None), (None, None)]
-    table = reference_profile(spark, (DOUGH, starter))
+    table = reference_profile(spark, (DOUGH, starter, Profile("flat", ((70.0, 2.0, 9.0),))))
     assert _pairs(interpolate_by_table(rows, table)) == found
+    flat = rows.withColumn("profile", F.lit("flat")).filter("i < 4")
+    assert _pairs(interpolate_by_table(flat, table)) == [(2, 9)] * 4
 
 
 def test_profiles_need_rising_knots():
