@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from proofspark.functions.rounding import whole_degree
 from proofspark.functions.times import rounded_minutes, whole_minutes
 from proofspark.operators.quantiles import SLOT_WIDTH, grouped_quantiles
-from proofspark.operators.series import CHUNK_SECONDS, ORDER, link_series
+from proofspark.operators.series import CELL, CHUNK_SECONDS, ORDER, HeavyCells, link_series
 from proofspark.sources.readings import with_temperature
 
 # Thresholds in °F and minutes.
@@ -28,9 +28,11 @@ def _longer(start: Column, end: Column, minutes: float) -> Column:
     return (end - start) > F.lit(datetime.timedelta(minutes=minutes))
 
 
-def temp_deltas(readings: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+def temp_deltas(
+    readings: DataFrame, chunk_seconds: int = CHUNK_SECONDS, heavy: HeavyCells | None = None
+) -> DataFrame:
     """Each reading with its rise and its time since the sensor's previous one."""
-    linked = link_series(with_temperature(readings), chunk_seconds=chunk_seconds)
+    linked = link_series(with_temperature(readings), None, chunk_seconds, heavy)
     return linked.select(
         "sensor_id",
         "reading_id",
@@ -71,13 +73,16 @@ def _turn(threshold: float) -> Column:
 
 
 def hot_transitions(
-    readings: DataFrame, threshold: float = HOT_FROM, chunk_seconds: int = CHUNK_SECONDS
+    readings: DataFrame,
+    threshold: float = HOT_FROM,
+    chunk_seconds: int = CHUNK_SECONDS,
+    heavy: HeavyCells | None = None,
 ) -> DataFrame:
     """Per sensor, how often the temperature entered and left the hot range.
 
     A series that opens hot has an end without a start.
     """
-    linked = link_series(with_temperature(readings), chunk_seconds=chunk_seconds)
+    linked = link_series(with_temperature(readings), None, chunk_seconds, heavy)
     turned = linked.select("sensor_id", _turn(threshold).alias("turn"))
     return turned.groupBy("sensor_id").agg(
         F.count_if(F.col("turn") == 1).alias("episodes_starting"),
@@ -90,6 +95,7 @@ def hot_episodes(
     threshold: float = HOT_FROM,
     max_gap_minutes: float = HOT_GAP_MINUTES,
     chunk_seconds: int = CHUNK_SECONDS,
+    heavy: HeavyCells | None = None,
 ) -> DataFrame:
     """Contiguous hot runs that begin by entering the hot range, up to the first drop or gap."""
 
@@ -97,7 +103,7 @@ def hot_episodes(
         opens = prev_temp.isNull() | (prev_temp < threshold)
         return (temp >= threshold) & (opens | _longer(prev_dt, dt, max_gap_minutes))
 
-    linked = link_series(with_temperature(readings), starts, chunk_seconds)
+    linked = link_series(with_temperature(readings), starts, chunk_seconds, heavy)
     runs = (
         linked.filter(F.col("temperature_f") >= threshold)
         .groupBy("sensor_id", "island")
@@ -124,6 +130,7 @@ def hot_suffix_summary(
     max_gap_minutes: float = HOT_GAP_MINUTES,
     limit: int | None = 10,
     chunk_seconds: int = CHUNK_SECONDS,
+    heavy: HeavyCells | None = None,
 ) -> DataFrame:
     """For each entry into the hot range, a summary of all hot readings from there to the end.
 
@@ -134,7 +141,7 @@ def hot_suffix_summary(
     The suffix of a hot reading is the rest of its own chunk plus all later chunks, which are
     summed up chunk by chunk.
     """
-    linked = link_series(with_temperature(readings), chunk_seconds=chunk_seconds)
+    linked = link_series(with_temperature(readings), None, chunk_seconds, heavy)
     hot = link_series(
         linked.filter(F.col("temperature_f") >= threshold).select(
             "sensor_id",
@@ -143,7 +150,9 @@ def hot_suffix_summary(
             "temperature_f",
             (_turn(threshold) == 1).alias("entry"),
         ),
-        chunk_seconds=chunk_seconds,
+        None,
+        chunk_seconds,
+        heavy,
     )
     near = F.col("prev_datetime").isNull() | ~_longer(
         F.col("prev_datetime"), F.col("datetime"), max_gap_minutes
@@ -151,7 +160,7 @@ def hot_suffix_summary(
     kept = hot.withColumn("kept", near)
 
     in_chunk = (
-        Window.partitionBy("sensor_id", "chunk")
+        Window.partitionBy(*CELL)
         .orderBy(*ORDER)
         .rowsBetween(1, Window.unboundedFollowing)
     )
@@ -169,20 +178,21 @@ def hot_suffix_summary(
             F.col("_nth") <= limit
         )
 
-    per_chunk = kept.groupBy("sensor_id", "chunk").agg(
+    per_chunk = kept.groupBy(*CELL).agg(
         *[s.alias(n) for s, n in zip(sums, ("n", "last", "peak"))]
     )
     later = (
-        Window.partitionBy("sensor_id").orderBy("chunk").rowsBetween(1, Window.unboundedFollowing)
+        Window.partitionBy("sensor_id")
+        .orderBy("chunk", "part")
+        .rowsBetween(1, Window.unboundedFollowing)
     )
     following = per_chunk.select(
-        "sensor_id",
-        "chunk",
+        *CELL,
         F.coalesce(F.sum("n").over(later), F.lit(0)).alias("later_n"),
         F.max("last").over(later).alias("later_last"),
         F.max("peak").over(later).alias("later_peak"),
     )
-    return rest.join(following, ["sensor_id", "chunk"]).select(
+    return rest.join(following, list(CELL)).select(
         "sensor_id",
         F.col("datetime").alias("start"),
         F.greatest("temperature_f", "peak", "later_peak").alias("peak_temp"),
@@ -201,6 +211,7 @@ def sustained_sessions(
     oven_from: float = OVEN_FROM,
     chunk_seconds: int = CHUNK_SECONDS,
     slot_width: float = SLOT_WIDTH,
+    heavy: HeavyCells | None = None,
 ) -> DataFrame:
     """Elevated episodes of some length, classed ``proofing`` or ``oven`` by their peak.
 
@@ -211,7 +222,7 @@ def sustained_sessions(
         opens = F.coalesce(prev_temp < threshold, F.lit(True))
         return (temp >= threshold) & (opens | _longer(prev_dt, dt, max_gap_minutes))
 
-    linked = link_series(with_temperature(readings), starts, chunk_seconds)
+    linked = link_series(with_temperature(readings), starts, chunk_seconds, heavy)
     elevated = linked.filter(F.col("temperature_f") >= threshold).select(
         "sensor_id", "island", "datetime", "temperature_f"
     )

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from proofspark.functions.profile import DOUGH, Profile, with_profile_values
-from proofspark.operators.series import CHUNK_SECONDS, chunk_of
+from proofspark.operators.series import CELL, CHUNK_SECONDS, HeavyCells, chunk_of, with_chunk
 from proofspark.sources.readings import with_temperature
 
 BLOCK_BITS = 5  # 32 segments or blocks per block of the next level
@@ -52,6 +52,7 @@ def session_progress(
     sessions: DataFrame,
     profiles: Sequence[Profile] = (DOUGH,),
     chunk_seconds: int = CHUNK_SECONDS,
+    heavy: HeavyCells | None = None,
 ) -> DataFrame:
     """One row per session: its columns and the progress fields.
 
@@ -60,7 +61,7 @@ def session_progress(
     keeps status ``bad_end``. ``reference_hours`` are the profile's hours at the average.
     """
     markers = _markers(sessions, chunk_seconds)
-    numbered = _numbered_readings(with_temperature(readings), markers, chunk_seconds)
+    numbered = _numbered_readings(with_temperature(readings), markers, chunk_seconds, heavy)
     blocks = _blocks(_segments(numbered, profiles), profiles)
     totals = _session_totals(_session_ranges(markers), blocks, profiles)
     return _finish(sessions, totals, profiles)
@@ -81,28 +82,28 @@ def _markers(sessions: DataFrame, chunk_seconds: int) -> DataFrame:
     ).withColumn("chunk", chunk_of("datetime", chunk_seconds))
 
 
-def _before() -> WindowSpec:
+def _before(*chunk: str) -> WindowSpec:
     """A sensor's earlier chunks."""
-    along = Window.partitionBy("sensor_id").orderBy("chunk")
+    along = Window.partitionBy("sensor_id").orderBy(*chunk)
     return along.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _so_far(last: int = Window.currentRow) -> WindowSpec:
+def _so_far(*cell: str, last: int = Window.currentRow) -> WindowSpec:
     """The rows of the same chunk up to the current one, or up to ``last`` rows from it."""
-    inside = Window.partitionBy("sensor_id", "chunk").orderBy("datetime", "kind", "id")
+    inside = Window.partitionBy(*cell).orderBy("datetime", "kind", "id")
     return inside.rowsBetween(Window.unboundedPreceding, last)
 
 
 def _session_ranges(markers: DataFrame) -> DataFrame:
     """Per session its first and last segment, both included. Readings play no part in this."""
-    numbered = markers.withColumn("inner_marks", F.count(F.lit(1)).over(_so_far()))
+    numbered = markers.withColumn("inner_marks", F.count(F.lit(1)).over(_so_far("sensor_id", "chunk")))
     edges = (
         markers.groupBy("sensor_id", "chunk")
         .agg(F.expr("count(1) as marks"))
         .select(
             "sensor_id",
             "chunk",
-            F.sum("marks").over(_before()).alias("base"),
+            F.sum("marks").over(_before("chunk")).alias("base"),
             F.sum("marks").over(Window.partitionBy("sensor_id")).alias("all_marks"),
         )
     )
@@ -121,7 +122,9 @@ def _session_ranges(markers: DataFrame) -> DataFrame:
     )
 
 
-def _numbered_readings(readings: DataFrame, markers: DataFrame, chunk_seconds: int) -> DataFrame:
+def _numbered_readings(
+    readings: DataFrame, markers: DataFrame, chunk_seconds: int, heavy: HeavyCells | None
+) -> DataFrame:
     """Readings with ``seg``, ``pos`` (running number), ``secs`` since the previous reading, and
     ``head``: whether a marker lies between them.
 
@@ -134,8 +137,11 @@ def _numbered_readings(readings: DataFrame, markers: DataFrame, chunk_seconds: i
         "datetime",
         "temperature_f",
         F.lit(_READING).alias("kind"),
-        chunk_of("datetime", chunk_seconds).alias("chunk"),
-    ).unionByName(markers.drop("is_open"), allowMissingColumns=True)
+    ).unionByName(markers.drop("is_open", "chunk"), allowMissingColumns=True)
+    # in a heavy instant the starts are a part of their own before, the ends one after the readings
+    part = f"""case kind when {_START} then -1L when {_READING} then floor((id - low_id) / step)
+        else {2**62}L end"""
+    rows = with_chunk(rows, chunk_seconds, heavy, part)
     latest = {
         "dt": F.expr(f"max(case when kind = {_READING} then datetime end)"),
         "start": F.expr(f"max(case when kind = {_START} then datetime end)"),
@@ -146,7 +152,8 @@ def _numbered_readings(readings: DataFrame, markers: DataFrame, chunk_seconds: i
         "rows": F.expr(f"count_if(kind = {_READING})"),
     }
 
-    so_far, earlier, before = _so_far(), _so_far(-1), _before()
+    so_far, earlier = _so_far(*CELL), _so_far(*CELL, last=-1)
+    before = _before("chunk", "part")
     local = rows.select(
         "*",
         *[c.over(so_far).alias(f"inner_{n}") for n, c in counts.items()],
@@ -154,18 +161,17 @@ def _numbered_readings(readings: DataFrame, markers: DataFrame, chunk_seconds: i
     ).filter(f"kind = {_READING}")
 
     edges = (
-        rows.groupBy("sensor_id", "chunk")
+        rows.groupBy(*CELL)
         .agg(*[c.alias(n) for n, c in (counts | latest).items()])
         .select(
-            "sensor_id",
-            "chunk",
+            *CELL,
             *[F.sum(n).over(before).alias(f"base_{n}") for n in counts],
             *[F.max(n).over(before).alias(f"carry_{n}") for n in latest],
         )
     )
     # a start at the previous reading's time lies before that reading, an end after it
     return (
-        local.join(edges, ["sensor_id", "chunk"])
+        local.join(edges, list(CELL))
         .selectExpr(
             "sensor_id",
             "datetime",

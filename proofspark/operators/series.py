@@ -8,46 +8,155 @@ sensor, and its length is bounded by the calendar (8,760 hours a year), not by t
 
 The chunk is a plain function of the timestamp, so a lost executor's tasks recompute the same
 chunks, and both uses of the chunked rows can share one exchange.
+
+A single chunk can still be too large, say after a bulk load under one timestamp. ``heavy_cells``
+counts the rows per chunk and names those beyond a limit; they are then cut by seconds, heavy
+seconds by microseconds, and heavy microseconds by ranges of ``reading_id``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_SECONDS = 3600
+HEAVY_ROWS = 20_000_000
+BROADCAST_CELLS = 100_000
 
 ORDER = ("datetime", "reading_id")
+CELL = ("sensor_id", "chunk", "part")
 
 # flag(datetime, temperature, previous datetime, previous temperature); previous are null at first
 StartFlag = Callable[[Column, Column, Column, Column], Column]
 
+_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+_SECOND = f"cast(datetime - {_EPOCH} as bigint) * 1000000L"
+_MICROSECOND = f"cast(cast(datetime - {_EPOCH} as decimal(20, 6)) * 1000000 as bigint)"
+
+
+@dataclass(frozen=True)
+class HeavyCells:
+    """Chunks with too many rows: ``(sensor_id, chunk)`` hours, then seconds, then instants.
+
+    Instants also have ``low_id`` and ``step``, the ranges of ``reading_id`` to cut them by.
+    """
+
+    hours: DataFrame
+    seconds: DataFrame | None = None
+    instants: DataFrame | None = None
+
+
+def with_chunk(
+    rows: DataFrame,
+    chunk_seconds: int = CHUNK_SECONDS,
+    heavy: HeavyCells | None = None,
+    part: str = "floor((reading_id - low_id) / step)",
+) -> DataFrame:
+    """Adds ``chunk``, the start of a row's stretch of time in microseconds, and ``part``.
+
+    ``part`` tells the pieces of a heavy instant apart and is 0 elsewhere.
+    """
+    rows = rows.withColumns(
+        {
+            "chunk": F.expr(
+                f"floor(cast(datetime - {_EPOCH} as bigint) / {chunk_seconds})"
+                f" * {chunk_seconds * 1_000_000}L"
+            ),
+            "part": F.lit(0).cast("bigint"),
+        }
+    )
+    if heavy is None:
+        return rows
+    for cells, finer in ((heavy.hours, _SECOND), (heavy.seconds, _MICROSECOND)):
+        if cells is not None:
+            found = cells.select("sensor_id", "chunk", F.lit(True).alias("is_heavy"))
+            rows = (
+                rows.join(found, ["sensor_id", "chunk"], "left")
+                .withColumn("chunk", F.expr(f"if(is_heavy, {finer}, chunk)"))
+                .drop("is_heavy")
+            )
+    if heavy.instants is not None:
+        rows = (
+            rows.join(heavy.instants, ["sensor_id", "chunk"], "left")
+            .withColumn("part", F.expr(f"if(step is null, 0L, cast({part} as bigint))"))
+            .drop("low_id", "step")
+        )
+    return rows
+
+
+def heavy_cells(
+    readings: DataFrame, limit: int = HEAVY_ROWS, chunk_seconds: int = CHUNK_SECONDS
+) -> HeavyCells | None:
+    """The chunks of more than ``limit`` readings, or None where there are none.
+
+    Runs a counting job that reads no more than ids and times and combines counts before the
+    shuffle; finer counts only look at heavy chunks. The result can be passed to every operator
+    over the same readings.
+    """
+    heavy = None
+    for level in ("hours", "seconds", "instants"):
+        counts = (
+            with_chunk(readings, chunk_seconds, heavy)
+            .groupBy("sensor_id", "chunk")
+            .agg(
+                F.expr("count(1) as n"),
+                F.expr("min(reading_id) as low_id"),
+                F.expr("max(reading_id) as high_id"),
+            )
+            .filter(F.col("n") > limit)
+            .selectExpr(
+                "sensor_id",
+                "chunk",
+                "low_id",
+                f"greatest(1L, (high_id - low_id + 1) div ceil(n / {limit})) as step",
+            )
+        )
+        if level != "instants":
+            counts = counts.drop("low_id", "step")
+        cells = _broadcast_if_few(counts)
+        if cells is None:
+            break
+        known = {} if heavy is None else {"hours": heavy.hours, "seconds": heavy.seconds}
+        heavy = HeavyCells(**{"hours": cells, **known, level: cells})
+    return heavy
+
+
+def _broadcast_if_few(cells: DataFrame) -> DataFrame | None:
+    """The cells as a broadcast table, or as they are where there are too many; None for none."""
+    rows = cells.limit(BROADCAST_CELLS + 1).collect()
+    if not rows:
+        return None
+    if len(rows) > BROADCAST_CELLS:
+        return cells
+    return F.broadcast(cells.sparkSession.createDataFrame(rows, cells.schema))
+
 
 def chunk_of(ts: str, chunk_seconds: int = CHUNK_SECONDS) -> Column:
     """The number of the fixed-width stretch of time that a timestamp column falls in."""
-    return F.expr(
-        f"floor(cast({ts} - timestamp_ntz'1970-01-01 00:00:00' as bigint) / {chunk_seconds})"
-    )
+    return F.expr(f"floor(cast({ts} - {_EPOCH} as bigint) / {chunk_seconds})")
 
 
 def link_series(
     readings: DataFrame,
     starts: StartFlag | None = None,
     chunk_seconds: int = CHUNK_SECONDS,
+    heavy: HeavyCells | None = None,
 ) -> DataFrame:
     """Adds ``prev_datetime`` and ``prev_temperature_f``, the sensor's previous reading.
 
     With ``starts`` also ``island``: how many rows up to and including this one are starts.
-    Expects rows with a timestamp; ``chunk`` stays in the result for operators that go on.
+    Expects rows with a timestamp and a unique ``reading_id`` per sensor and time. ``chunk`` and
+    ``part`` stay in the result for operators that go on.
     """
-    inside = Window.partitionBy("sensor_id", "chunk").orderBy(*ORDER)
+    inside = Window.partitionBy(*CELL).orderBy(*ORDER)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    along = Window.partitionBy("sensor_id").orderBy("chunk")
+    along = Window.partitionBy("sensor_id").orderBy("chunk", "part")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
 
-    local = readings.withColumn("chunk", chunk_of("datetime", chunk_seconds)).select(
+    local = with_chunk(readings, chunk_seconds, heavy).select(
         "*",
         F.lag("datetime").over(inside).alias("_dt"),
         F.lag("temperature_f").over(inside).alias("_temp"),
@@ -69,7 +178,7 @@ def link_series(
             F.max(F.when(first, F.col("temperature_f"))).alias("head_temp"),
             F.sum("_start").alias("inner_starts"),
         ]
-    edges = local.groupBy("sensor_id", "chunk").agg(*edge)
+    edges = local.groupBy(*CELL).agg(*edge)
     edges = edges.withColumn("carry_dt", F.lag("tail_dt").over(along)).withColumn(
         "carry_temp", F.lag("tail_temp").over(along)
     )
@@ -81,14 +190,14 @@ def link_series(
         edges = edges.withColumn("base", F.coalesce(earlier, F.lit(0)) + F.col("head_start"))
         carried.append("base")
 
-    joined = local.join(edges.select("sensor_id", "chunk", *carried), ["sensor_id", "chunk"])
+    joined = local.join(edges.select(*CELL, *carried), list(CELL))
     added = [
         F.when(first, F.col("carry_dt")).otherwise(F.col("_dt")).alias("prev_datetime"),
         F.when(first, F.col("carry_temp")).otherwise(F.col("_temp")).alias("prev_temperature_f"),
     ]
     if starts is not None:
         added.append((F.col("base") + F.col("_run")).alias("island"))
-    return joined.select(*readings.columns, "chunk", *added)
+    return joined.select(*readings.columns, "chunk", "part", *added)
 
 
 def _flag(starts: StartFlag, dt: str, temp: str, prev_dt: str, prev_temp: str) -> Column:

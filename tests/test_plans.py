@@ -8,6 +8,7 @@ import re
 
 import pytest
 
+from proofspark.operators.sessions import readings_of_sessions, resolve_session_bounds
 from proofspark.plans.catalog import QUERIES, fixture_readings
 from proofspark.sources.readings import load_readings, on_date, readings_since, with_temperature
 
@@ -61,6 +62,17 @@ def test_bounds_reach_the_scan(spark, stored):
     assert "LessThan(datetime" in day
 
 
+def test_session_bounds_reach_the_scan(spark, stored, sessions):
+    bounds = resolve_session_bounds(sessions([(1, 1, 0, "2h"), (2, 1, 30, "9pm"), (3, 1, 0, "x")]))
+    plan = _plan(readings_of_sessions(load_readings(spark, stored), bounds))
+    assert "GreaterThanOrEqual(datetime,2026-01-22T11:00" in plan
+    assert "LessThanOrEqual(datetime,2026-01-22T21:00" in plan
+    still_open = resolve_session_bounds(sessions([(1, 1, 0, "2h"), (2, 1, 0, None)]))
+    assert "LessThan" not in _plan(readings_of_sessions(load_readings(spark, stored), still_open))
+    none = resolve_session_bounds(sessions([(1, 1, 0, "x")]))
+    assert readings_of_sessions(load_readings(spark, stored), none).count() == 0
+
+
 def test_readings_without_ids_and_with_zoned_times(spark, tmp_path):
     path = str(tmp_path / "r")
     spark.sql(
