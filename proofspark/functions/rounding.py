@@ -1,45 +1,33 @@
-"""Rounding that agrees with IEEE arithmetic: ties are judged on the binary value, half to even."""
+"""Rounding half to even. Decimals are rounded on the binary value, as IEEE formatting does.
+
+Spark's ``round`` and ``bround`` look at the shortest decimal text of a double, so that 70.35,
+stored as 70.3499..., would go up. Its ``format_number`` with a pattern looks at the exact value.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# the fraction of a double is scaled in two steps, each exact: by 2**60 and its rest by 2**40
-_HIGH, _LOW = 60, 40
-
-
-def round_places(value: Column, places: int) -> Column:
-    """``value`` rounded to at most 4 decimals, as decimal; NaN, infinities and null give null.
-
-    Spark's own rounding looks at the shortest decimal text of a double, so that 70.35, stored
-    as 70.3499..., would go up. Here the fraction is scaled by powers of two, which is exact,
-    and rounded in decimal arithmetic. Meant for report figures, not for rows by the billion.
-    """
-    size = F.abs(F.when(F.abs(value) < 1e15, value))
-    whole = F.floor(size)
-    stretched = (size - whole) * float(2**_HIGH)
-    high = F.floor(stretched)
-    low = F.floor((stretched - high.cast("double")) * float(2**_LOW))
-    fraction = high.cast("decimal(19,0)") * _big(2**_LOW, 13) + low.cast("decimal(13,0)")
-    scaled = fraction.cast("decimal(31,0)") * _big(10**places, 6)
-    unit, half = _big(2 ** (_HIGH + _LOW), 31), _big(2 ** (_HIGH + _LOW - 1), 31)
-    steps, rest = F.call_function("div", scaled, unit), scaled % unit
-    # the last digit's parity is that of the whole part only when no decimals are kept
-    last = steps if places else whole
-    up = (rest > half) | ((rest == half) & (F.pmod(last, F.lit(2)) == 1))
-    rounded = whole.cast("decimal(20,0)") * _big(10**places, 6) + steps + up.cast("int")
-    signed = F.when(value < 0, -rounded).otherwise(rounded)
-    return (signed / _big(10**places, 6)).cast(f"decimal(26,{places})")
-
-
-def _big(number: int, digits: int) -> Column:
-    return F.lit(str(number)).cast(f"decimal({digits},0)")
-
 
 def fixed_text(value: Column, places: int) -> Column:
     """Text with exactly ``places`` decimals, such as ``%.1f`` gives."""
-    return F.when(F.isnan(value), "nan").otherwise(round_places(value, places).cast("string"))
+    pattern = "0." + "0" * places if places else "0"
+    text = F.call_function("format_number", value, F.lit(pattern))
+    # half a unit of the last place is the one number that format_number gets wrong
+    half = 0.5 / 10**places
+    told = f"{half:.{places}f}"
+    return (
+        F.when(F.isnan(value), "nan")
+        .when(value == half, told)
+        .when(value == -half, f"-{told}")
+        .otherwise(text)
+    )
+
+
+def round_places(value: Column, places: int) -> Column:
+    """``value`` as a double rounded to ``places`` decimals."""
+    return fixed_text(value, places).cast("double")
 
 
 def whole_degree(value: Column) -> Column:

@@ -67,7 +67,7 @@ def payload(offsets: DataFrame, meta: bool = True) -> DataFrame:
         F.col("span_minutes").alias("elapsed_minutes"),
         F.col("current_temp_f").alias("last_temp_f"),
         F.col("age_minutes").alias("last_temp_age_minutes"),
-        round_places(F.col("avg_temp_f"), 1).cast("double").alias("avg_temp_f"),
+        round_places(F.col("avg_temp_f"), 1).alias("avg_temp_f"),
         F.expr("cast(bround(est_rise_pct, 0) as bigint) as estimated_rise_pct"),
         F.expr("cast(bround(target_rise_pct, 0) as bigint) as target_rise_pct"),
     ]
@@ -79,7 +79,7 @@ def payload(offsets: DataFrame, meta: bool = True) -> DataFrame:
                 F.col("reading_count").alias("temperature_reading_count"),
                 F.col("min_temp_f"),
                 F.col("max_temp_f"),
-                round_places(F.col("integral"), 4).cast("double").alias("fermentation_integral"),
+                round_places(F.col("integral"), 4).alias("fermentation_integral"),
                 F.col("reference_minutes").alias("reference_duration_minutes"),
                 F.col("data_offset_minutes").alias("reference_offset_minutes"),
                 F.col("data_offset_direction").alias("reference_offset_direction"),
