@@ -141,28 +141,27 @@ def hot_suffix_summary(
     The suffix of a hot reading is the rest of its own chunk plus all later chunks, which are
     summed up chunk by chunk.
     """
-    linked = link_series(with_temperature(readings), None, chunk_seconds, heavy)
-    hot = link_series(
-        linked.filter(F.col("temperature_f") >= threshold).select(
-            "sensor_id",
-            "reading_id",
-            "datetime",
-            "temperature_f",
-            (_turn(threshold) == 1).alias("entry"),
-        ),
-        None,
-        chunk_seconds,
-        heavy,
+    hot_rows = f"temperature_f >= {threshold}"
+    linked = link_series(
+        with_temperature(readings), None, chunk_seconds, heavy, marked=hot_rows
+    )
+    near = F.col("prev_marked").isNull() | ~_longer(
+        F.col("prev_marked"), F.col("datetime"), max_gap_minutes
     )
-    near = F.col("prev_datetime").isNull() | ~_longer(
-        F.col("prev_datetime"), F.col("datetime"), max_gap_minutes
+    kept = linked.filter(hot_rows).select(
+        *CELL,
+        "reading_id",
+        "datetime",
+        "temperature_f",
+        (_turn(threshold) == 1).alias("entry"),
+        near.alias("kept"),
     )
-    kept = hot.withColumn("kept", near)
 
+    # backwards, as a frame that grows takes linear time and one that shrinks quadratic
     in_chunk = (
         Window.partitionBy(*CELL)
-        .orderBy(*ORDER)
-        .rowsBetween(1, Window.unboundedFollowing)
+        .orderBy(*[F.desc(c) for c in ORDER])
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     sums = [
         F.count_if("kept"),
@@ -183,8 +182,8 @@ def hot_suffix_summary(
     )
     later = (
         Window.partitionBy("sensor_id")
-        .orderBy("chunk", "part")
-        .rowsBetween(1, Window.unboundedFollowing)
+        .orderBy(F.desc("chunk"), F.desc("part"))
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     following = per_chunk.select(
         *CELL,

@@ -62,8 +62,10 @@ def with_chunk(
     rows = rows.withColumns(
         {
             "chunk": F.expr(
-                f"floor(cast(datetime - {_EPOCH} as bigint) / {chunk_seconds})"
-                f" * {chunk_seconds * 1_000_000}L"
+                # never null, so that a join by chunk adds no filter to one of its sides only,
+                # which would keep the two from sharing an exchange
+                f"coalesce(floor(cast(datetime - {_EPOCH} as bigint) / {chunk_seconds})"
+                f" * {chunk_seconds * 1_000_000}L, 0L)"
             ),
             "part": F.lit(0).cast("bigint"),
         }
@@ -144,10 +146,12 @@ def link_series(
     starts: StartFlag | None = None,
     chunk_seconds: int = CHUNK_SECONDS,
     heavy: HeavyCells | None = None,
+    marked: str | None = None,
 ) -> DataFrame:
     """Adds ``prev_datetime`` and ``prev_temperature_f``, the sensor's previous reading.
 
     With ``starts`` also ``island``: how many rows up to and including this one are starts.
+    With ``marked``, a condition, also ``prev_marked``: when the last earlier row met it.
     Expects rows with a timestamp and a unique ``reading_id`` per sensor and time. ``chunk`` and
     ``part`` stay in the result for operators that go on.
     """
@@ -168,6 +172,12 @@ def link_series(
         local = local.withColumn("_start", F.when(first, F.lit(0)).otherwise(flag))
         local = local.withColumn("_run", F.sum("_start").over(so_far))
 
+    # times only rise, so the latest is the highest
+    latest_marked = F.expr(f"max(case when {marked} then datetime end)")
+    if marked is not None:
+        earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+        local = local.withColumn("_marked", latest_marked.over(earlier))
+
     edge = [
         F.max(F.when(F.col("_last"), F.col("datetime"))).alias("tail_dt"),
         F.max(F.when(F.col("_last"), F.col("temperature_f"))).alias("tail_temp"),
@@ -178,6 +188,8 @@ def link_series(
             F.max(F.when(first, F.col("temperature_f"))).alias("head_temp"),
             F.sum("_start").alias("inner_starts"),
         ]
+    if marked is not None:
+        edge.append(latest_marked.alias("tail_marked"))
     edges = local.groupBy(*CELL).agg(*edge)
     edges = edges.withColumn("carry_dt", F.lag("tail_dt").over(along)).withColumn(
         "carry_temp", F.lag("tail_temp").over(along)
@@ -190,6 +202,10 @@ def link_series(
         edges = edges.withColumn("base", F.coalesce(earlier, F.lit(0)) + F.col("head_start"))
         carried.append("base")
 
+    if marked is not None:
+        edges = edges.withColumn("carry_marked", F.max("tail_marked").over(before))
+        carried.append("carry_marked")
+
     joined = local.join(edges.select(*CELL, *carried), list(CELL))
     added = [
         F.when(first, F.col("carry_dt")).otherwise(F.col("_dt")).alias("prev_datetime"),
@@ -197,6 +213,8 @@ def link_series(
     ]
     if starts is not None:
         added.append((F.col("base") + F.col("_run")).alias("island"))
+    if marked is not None:
+        added.append(F.coalesce("_marked", "carry_marked").alias("prev_marked"))
     return joined.select(*readings.columns, "chunk", "part", *added)
 
 

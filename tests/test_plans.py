@@ -48,6 +48,20 @@ def test_row_windows_are_partitioned_by_chunk(spark):
                 assert "chunk" in spec
 
 
+def test_no_window_frame_shrinks(spark):
+    """Frames that end at the partition's end take quadratic time unless they cover all of it."""
+    for name in ("hot_suffix_summary", "session_progress", "sustained_sessions"):
+        plan = _plan(QUERIES[name](spark, FOLDER))
+        for start in re.findall(r"specifiedwindowframe\(RowFrame, ([^,]*), unboundedfollowing", plan):
+            assert start.strip() == "unboundedpreceding$()"
+
+
+def test_rows_are_shuffled_once(spark):
+    deltas = QUERIES["temp_deltas"](spark, FOLDER)
+    deltas.collect()  # adaptive execution finds equal exchanges while it runs
+    assert "ReusedExchange" in _plan(deltas)
+
+
 def test_only_needed_columns_are_read(spark, stored):
     plan = _plan(load_readings(spark, stored))
     assert "note" not in re.search(r"ReadSchema: (\S+)", plan).group(1)
