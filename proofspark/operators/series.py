@@ -98,10 +98,10 @@ def heavy_cells(
     shuffle; finer counts only look at heavy chunks. The result can be passed to every operator
     over the same readings.
     """
-    heavy = None
+    heavy, rows = None, readings
     for level in ("hours", "seconds", "instants"):
         counts = (
-            with_chunk(readings, chunk_seconds, heavy)
+            with_chunk(rows, chunk_seconds, heavy)
             .groupBy("sensor_id", "chunk")
             .agg(
                 F.expr("count(1) as n"),
@@ -123,6 +123,13 @@ def heavy_cells(
             break
         known = {} if heavy is None else {"hours": heavy.hours, "seconds": heavy.seconds}
         heavy = HeavyCells(**{"hours": cells, **known, level: cells})
+        if level == "hours":
+            keys = ["sensor_id", "chunk"]
+            rows = (
+                with_chunk(readings, chunk_seconds)
+                .join(cells.select(*keys), keys, "left_semi")
+                .select(*readings.columns)
+            )
     return heavy
 
 

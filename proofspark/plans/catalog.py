@@ -16,6 +16,7 @@ from proofspark.functions.profile import DOUGH, interpolate_by_table, reference_
 from proofspark.operators import episodes, explore
 from proofspark.operators.progress import session_progress
 from proofspark.operators.quantiles import describe
+from proofspark.operators.series import heavy_cells
 from proofspark.operators.sessions import parse_durations, resolve_session_bounds
 from proofspark.plans import report
 from proofspark.session import pin_utc
@@ -98,8 +99,20 @@ def _interpolated_by_table(readings: DataFrame) -> DataFrame:
     return interpolate_by_table(rows, reference_profile(readings.sparkSession)).drop("profile")
 
 
+# chunks of ten days hold some twenty readings of a sensor; more than ten count as heavy
+WIDE_CHUNK_SECONDS, FEW_ROWS = 864_000, 10
+
+
 def _deltas(readings: DataFrame) -> DataFrame:
-    deltas = episodes.temp_deltas(readings)
+    return _seconds_apart(episodes.temp_deltas(readings))
+
+
+def _deltas_of_heavy_chunks(readings: DataFrame) -> DataFrame:
+    heavy = heavy_cells(readings, FEW_ROWS, WIDE_CHUNK_SECONDS)
+    return _seconds_apart(episodes.temp_deltas(readings, WIDE_CHUNK_SECONDS, heavy))
+
+
+def _seconds_apart(deltas: DataFrame) -> DataFrame:
     return deltas.select(
         "*", F.col("time_delta").cast("bigint").alias("time_delta_s")
     ).drop("time_delta")
@@ -178,6 +191,7 @@ QUERIES: dict[str, Query] = {
     ),
     "describe_sessions": _on_readings(_describe_sessions),
     "temp_deltas": _on_readings(_deltas),
+    "temp_deltas_heavy_chunks": _on_readings(_deltas_of_heavy_chunks),
     "spikes": _on_readings(lambda r: episodes.spikes(_deltas(r))),
     "first_spikes": _on_readings(lambda r: episodes.earliest(episodes.spikes(_deltas(r)), 30)),
     "hot_readings": _on_readings(lambda r: episodes.hot_readings(_deltas(r))),

@@ -405,6 +405,7 @@ ORACLE_SQL: dict[str, str] = {
         "sustained",
     ),
     "temp_deltas": _sql(_DELTA, "d"),
+    "temp_deltas_heavy_chunks": _sql(_DELTA, "d"),
     "spikes": _sql(_DELTA + " WHERE temp_delta >= 5", "d"),
     "first_spikes": _sql(_DELTA + " WHERE d.temp_delta >= 5" + _FIRST_30, "d"),
     "hot_readings": _sql(_DELTA + " WHERE d.temperature_f >= 85", "d"),
