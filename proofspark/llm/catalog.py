@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from proofspark.llm import quality, sql
+from proofspark.llm import packing, quality, sql
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {
