@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from proofspark.llm import packing, quality, sql
+from proofspark.llm import embeddings, minhash, packing, quality, sql
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op3_embedding_dedup": embeddings.op3_embedding_dedup,
+    "op7_minhash_dedup": minhash.op7_minhash_dedup,
     "op10_packing": packing.op10_packing,
 }
 
