@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from proofspark.llm import embeddings, minhash, packing, quality, sql
+from proofspark.llm import embeddings, minhash, mixing, packing, pii, quality, sharding, sql
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_mix_sources": mixing.op2_mix_sources,
     "op3_embedding_dedup": embeddings.op3_embedding_dedup,
+    "op5_sharding": sharding.op5_sharding,
+    "op6_pii": pii.op6_pii,
     "op7_minhash_dedup": minhash.op7_minhash_dedup,
     "op10_packing": packing.op10_packing,
 }
