@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofspark.llm.blocks import blocked, groups_of
+from proofspark.llm.blocks import Forest, blocked, groups_of
 from proofspark.llm.common import documents, mixed, shingle_codes, stored
 from proofspark.llm.components import components
 
@@ -130,27 +130,54 @@ def confirm(pairs: DataFrame, sets: DataFrame, above: tuple[int, int]) -> DataFr
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def _other_pairs(rows: DataFrame, least: int) -> DataFrame:
-    """Pairs of one posting list in different components that agree in ``least`` short coordinates."""
+def _other_pairs(rows: DataFrame, least: int, tree: bool) -> DataFrame:
+    """Pairs of one posting list in different components that agree in ``least`` short coordinates.
+
+    With ``tree``, only the best-agreeing pairs that would join the components of a cell to a tree.
+    """
 
     def pairs(table: pa.Table) -> pa.Table:
         ids, comp = table.column("id").to_numpy(), table.column("component_id").to_numpy()
         sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), COORDINATES)
-        found = set()
+        found: dict[tuple[int, int], int] = {}
         for left, right in groups_of(table, ["token"]):
             for x in left:
                 against = right[(comp[right] != comp[x]) & ((ids[right] < ids[x]) if left is right else True)]
                 if len(against):
                     same = (sig[against] == sig[x]).sum(axis=1)
-                    for y in against[same >= least]:
-                        found.add((max(int(ids[x]), int(ids[y])), min(int(ids[x]), int(ids[y]))))
-        both = np.array(sorted(found), np.int64).reshape(-1, 2)
+                    likely = np.flatnonzero(same >= least)
+                    if tree:  # the best partner in each component will do
+                        likely = likely[np.argsort(-same[likely], kind="stable")]
+                        likely = likely[np.unique(comp[against[likely]], return_index=True)[1]]
+                    for y, s in zip(against[likely].tolist(), same[likely].tolist(), strict=True):
+                        pair = (x, y) if ids[x] > ids[y] else (y, x)
+                        found[pair] = s
+        chosen, forest = [], Forest()
+        for x, y in sorted(found, key=lambda p: (-found[p], ids[p[0]], ids[p[1]])):
+            cx, cy = int(comp[x]), int(comp[y])
+            if not tree or forest.root(cx) != forest.root(cy):
+                forest.link(cx, cy)
+                chosen.append((int(ids[x]), int(ids[y])))
+        both = np.array(chosen, np.int64).reshape(-1, 2)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
     cells = blocked(rows, ["token"], "id")
     return cells.groupBy("_cell", "_i", "_j").applyInArrow(pairs, "a long, b long").distinct()
 
 
+def _undecided(posted: DataFrame, parts: DataFrame) -> DataFrame:
+    """Postings with their component, of lists that hold more than one."""
+    placed = posted.join(parts, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    placed = stored(placed)
+    several = (
+        placed.groupBy("token")
+        .agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
+        .where("lo != hi")
+        .select("token")
+    )
+    return stored(placed.join(several, "token", "left_semi"))
+
+
 def near_duplicates(
     docs: DataFrame,
     above: tuple[int, int] = (100, 85),
@@ -163,8 +190,9 @@ def near_duplicates(
     Documents are linked where p * intersection >= q * union of their sets of ``words``-word shingles,
     (p, q) = ``above``; components are all that links reach. Equal sets are one node. Documents are
     posted under the rarest of their signature tokens; every posting list is first linked to its smallest
-    document, which makes one component of most groups of copies; then pairs of a list that still lie in
-    different components and agree in enough coordinates are confirmed as well. A pair at the limit is
+    document; then the likeliest pairs between components are tried, as trees, three times; by then groups of
+    copies are mostly one component. At last all pairs of a list that still lie in different components
+    and agree in enough coordinates are confirmed. A pair at the limit is
     missed with a chance below one in a million; none is linked without a confirmation on full sets.
 
     Null and empty texts have no shingles and link with nothing. Rows with the same id are one document
@@ -198,18 +226,12 @@ def near_duplicates(
     centres = posted.groupBy("token").agg(F.min("id").alias("b"))
     stars = posted.join(centres, "token").where("id != b").select(F.col("id").alias("a"), "b").distinct()
     links = stored(confirm(stored(stars), sets, above))
-    first = components(links)
-    placed = posted.join(first, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    placed = stored(placed)
-    mixed_lists = (
-        placed.groupBy("token")
-        .agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
-        .where("lo != hi")
-        .select("token")
-    )
-    rest = stored(_other_pairs(stored(placed.join(mixed_lists, "token", "left_semi")), least))
-    more = confirm(rest, sets, above)
-    final = components(links.union(more))
+    parts = components(links)
+    for agree in (*np.linspace(above[1] / above[0], least / COORDINATES, 4)[:3], None):
+        rest = _other_pairs(_undecided(posted, parts), int(agree * COORDINATES) if agree else least, tree=bool(agree))
+        links = stored(links.union(confirm(stored(rest), sets, above)))
+        parts = components(links)
+    final = parts
     return (
         signed.join(reps.select("set_hash", F.col("id").alias("rep")), "set_hash", "left")
         .join(final.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
