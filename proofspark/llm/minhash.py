@@ -8,7 +8,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofspark.llm.blocks import Forest, blocked, groups_of
@@ -72,6 +72,11 @@ def signatures(docs: DataFrame, text: str, id_column: str, words: int) -> DataFr
     )
 
 
+def _short(tokens: Column) -> Column:
+    """The lowest byte of each coordinate: agrees where the coordinates do, and by chance in 1 of 256."""
+    return F.transform(tokens, lambda t: (t.bitwiseAND(255) - 128).cast("byte"))
+
+
 def postings(reps: DataFrame, least: int) -> DataFrame:
     """(token, id, sig) for the prefix of each signature, rarest tokens first.
 
@@ -88,7 +93,7 @@ def postings(reps: DataFrame, least: int) -> DataFrame:
         .where(F.size("shared") >= least)
     )
     prefix = by_doc.select("id", F.explode(F.expr(f"slice(shared, 1, size(shared) - {least} + 1)")).alias("p"))
-    short = reps.select("id", F.transform("tokens", lambda t: (t.bitwiseAND(255) - 128).cast("byte")).alias("sig"))
+    short = reps.select("id", _short(F.col("tokens")).alias("sig"))
     return prefix.select("id", F.col("p.token").alias("token")).join(short, "id")
 
 
@@ -130,34 +135,28 @@ def confirm(pairs: DataFrame, sets: DataFrame, above: tuple[int, int]) -> DataFr
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def _other_pairs(rows: DataFrame, least: int, tree: bool) -> DataFrame:
-    """Pairs of one posting list in different components that agree in ``least`` short coordinates.
+def _trees(rows: DataFrame, least: int) -> DataFrame:
+    """Links (a, b) between components of one posting list that agree in ``least`` short coordinates.
 
-    With ``tree``, only the best-agreeing pairs that would join the components of a cell to a tree.
+    Of each cell only as many as join its components to trees, the best partners of a document first.
     """
 
     def pairs(table: pa.Table) -> pa.Table:
         ids, comp = table.column("id").to_numpy(), table.column("component_id").to_numpy()
         sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), COORDINATES)
-        found: dict[tuple[int, int], int] = {}
+        forest, chosen = Forest(), []
         for left, right in groups_of(table, ["token"]):
             for x in left:
                 against = right[(comp[right] != comp[x]) & ((ids[right] < ids[x]) if left is right else True)]
-                if len(against):
-                    same = (sig[against] == sig[x]).sum(axis=1)
-                    likely = np.flatnonzero(same >= least)
-                    if tree:  # the best partner in each component will do
-                        likely = likely[np.argsort(-same[likely], kind="stable")]
-                        likely = likely[np.unique(comp[against[likely]], return_index=True)[1]]
-                    for y, s in zip(against[likely].tolist(), same[likely].tolist(), strict=True):
-                        pair = (x, y) if ids[x] > ids[y] else (y, x)
-                        found[pair] = s
-        chosen, forest = [], Forest()
-        for x, y in sorted(found, key=lambda p: (-found[p], ids[p[0]], ids[p[1]])):
-            cx, cy = int(comp[x]), int(comp[y])
-            if not tree or forest.root(cx) != forest.root(cy):
-                forest.link(cx, cy)
-                chosen.append((int(ids[x]), int(ids[y])))
+                if not len(against):
+                    continue
+                same = (sig[against] == sig[x]).sum(axis=1)
+                likely = np.flatnonzero(same >= least)
+                for y in against[likely[np.argsort(-same[likely], kind="stable")]].tolist():
+                    cx, cy = int(comp[x]), int(comp[y])
+                    if forest.root(cx) != forest.root(cy):
+                        forest.link(cx, cy)
+                        chosen.append((max(int(ids[x]), int(ids[y])), min(int(ids[x]), int(ids[y]))))
         both = np.array(chosen, np.int64).reshape(-1, 2)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
@@ -165,6 +164,65 @@ def _other_pairs(rows: DataFrame, least: int, tree: bool) -> DataFrame:
     return cells.groupBy("_cell", "_i", "_j").applyInArrow(pairs, "a long, b long").distinct()
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by products of 0/1 matrices."""
+    vocabulary = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+
+    def ones(sets: list[np.ndarray], words: np.ndarray) -> np.ndarray:
+        m = np.zeros((len(sets), len(words)), np.float32)
+        for i, s in enumerate(sets):
+            part = s[np.searchsorted(s, words[0]) : np.searchsorted(s, words[-1], "right")]
+            at = np.searchsorted(words, part)
+            m[i, at[words[at] == part]] = 1
+        return m
+
+    for begin in range(0, len(vocabulary), columns):
+        words = vocabulary[begin : begin + columns]
+        out += ones(left, words) @ ones(right, words).T
+    return out
+
+
+def _settle(rows: DataFrame, least: int, above: tuple[int, int]) -> DataFrame:
+    """Confirmed links between components of one cluster: all its pairs, in blocks, as trees.
+
+    ``rows`` has cluster, id, component_id, sig and codes. Nothing but links that join two trees of a cell
+    leaves it, however many pairs are compared.
+    """
+    times, share = above
+
+    def pairs(table: pa.Table) -> pa.Table:
+        ids, comp = table.column("id").to_numpy(), table.column("component_id").to_numpy()
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), COORDINATES)
+        sets = [np.frombuffer(c.as_buffer(), np.uint64) for c in table.column("codes")]
+        sizes = np.array([len(s) for s in sets])
+        forest, chosen = Forest(), []
+        for left, right in groups_of(table, ["cluster"]):
+            for begin in range(0, len(left), 256):
+                for start in range(0, len(right), 256):
+                    x, y = left[begin : begin + 256], right[start : start + 256]
+                    close = comp[x][:, None] != comp[y][None, :]
+                    for i in np.flatnonzero(close.any(axis=1)):
+                        close[i] &= (sig[y] == sig[x[i]]).sum(axis=1) >= least
+                    rows_, cols = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
+                    if not len(rows_):
+                        continue
+                    x, y = x[rows_], y[cols]
+                    both = _shared([sets[k] for k in x], [sets[k] for k in y]).astype(np.int64)
+                    either = sizes[x][:, None] + sizes[y][None, :] - both
+                    true = (times * both >= share * either) & (comp[x][:, None] != comp[y][None, :])
+                    for i, j in zip(*np.nonzero(true), strict=True):
+                        cx, cy = int(comp[x[i]]), int(comp[y[j]])
+                        if forest.root(cx) != forest.root(cy):
+                            forest.link(cx, cy)
+                            chosen.append((int(ids[x[i]]), int(ids[y[j]])))
+        out = np.array(chosen, np.int64).reshape(-1, 2)
+        return pa.table({"a": out[:, 0], "b": out[:, 1]})
+
+    cells = blocked(rows, ["cluster"], "id", block=1024, shard_rows=4096)
+    return cells.groupBy("_cell", "_i", "_j").applyInArrow(pairs, "a long, b long")
+
+
 def _undecided(posted: DataFrame, parts: DataFrame) -> DataFrame:
     """Postings with their component, of lists that hold more than one."""
     placed = posted.join(parts, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
@@ -190,9 +248,9 @@ def near_duplicates(
     Documents are linked where p * intersection >= q * union of their sets of ``words``-word shingles,
     (p, q) = ``above``; components are all that links reach. Equal sets are one node. Documents are
     posted under the rarest of their signature tokens; every posting list is first linked to its smallest
-    document; then the likeliest pairs between components are tried, as trees, three times; by then groups of
-    copies are mostly one component. At last all pairs of a list that still lie in different components
-    and agree in enough coordinates are confirmed. A pair at the limit is
+    document, then the likeliest pairs between components are tried twice, as trees; by then groups of
+    copies are mostly one component. At last clusters of components that agree in enough coordinates are
+    compared pair by pair, in blocks inside of tasks. A pair at the limit is
     missed with a chance below one in a million; none is linked without a confirmation on full sets.
 
     Null and empty texts have no shingles and link with nothing. Rows with the same id are one document
@@ -227,11 +285,19 @@ def near_duplicates(
     stars = posted.join(centres, "token").where("id != b").select(F.col("id").alias("a"), "b").distinct()
     links = stored(confirm(stored(stars), sets, above))
     parts = components(links)
-    for agree in (*np.linspace(above[1] / above[0], least / COORDINATES, 4)[:3], None):
-        rest = _other_pairs(_undecided(posted, parts), int(agree * COORDINATES) if agree else least, tree=bool(agree))
-        links = stored(links.union(confirm(stored(rest), sets, above)))
+    for agree in (above[1] / above[0], (above[1] / above[0] + least / COORDINATES) / 2):
+        likely = stored(_trees(_undecided(posted, parts), int(agree * COORDINATES)))
+        links = stored(links.union(confirm(likely, sets, above)))
         parts = components(links)
-    final = parts
+    able = stored(able.select("id").distinct().join(parts, "id", "left").withColumn("component_id", F.coalesce("component_id", "id")))
+    joined = able.where("id != component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+    clusters = components(_trees(_undecided(posted, parts), least).union(joined))
+    named = able.join(clusters.select("id", F.col("component_id").alias("cluster")), "id")
+    several = named.groupBy("cluster").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
+    open_ = named.join(several.where("lo != hi").select("cluster"), "cluster", "left_semi")
+    short = reps.select("id", _short(F.col("tokens")).alias("sig")).dropDuplicates(["id"])
+    rest = stored(open_.join(short, "id").join(sets.dropDuplicates(["id"]), "id"))
+    final = components(links.union(_settle(rest, least, above)))
     return (
         signed.join(reps.select("set_hash", F.col("id").alias("rep")), "set_hash", "left")
         .join(final.select(F.col("id").alias("rep"), "component_id"), "rep", "left")

@@ -14,21 +14,24 @@ MARGINS = ("source", "lang", "topic")
 GRAIN = 1 << 53
 
 
+def _count(text: Column, characters: str) -> Column:
+    """How many of the text's characters are among these."""
+    return F.length(text) - F.length(F.translate(text, characters, ""))
+
+
 def word_count(text: Column) -> Column:
     """Words as ``[^\\x20\\x09-\\x0D]+``; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    spaced = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return F.when(spaced == "", 0).otherwise(_count(spaced, " ") + 1).cast("long")
 
 
 def topic_of(text: Column) -> Column:
     """A topic by the form of a text: table, figures, notes (short lines) or prose. Null is prose."""
     size = F.greatest(F.length(text), F.lit(1))
-    bars = F.regexp_count(text, F.lit(r"\|"))
-    digits = F.regexp_count(text, F.lit("[0-9]"))
-    lines = F.regexp_count(text, F.lit(r"\n")) + 1
     return (
-        F.when(100 * bars >= size, "table")
-        .when(20 * digits >= size, "figures")
-        .when(size < 60 * lines, "notes")
+        F.when(100 * _count(text, "|") >= size, "table")
+        .when(20 * _count(text, "0123456789") >= size, "figures")
+        .when(size < 60 * (_count(text, "\n") + 1), "notes")
         .otherwise("prose")
     )
 
@@ -40,7 +43,7 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
 
 
 def rake(
-    cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 30, tolerance: float = 1e-6
+    cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 20, tolerance: float = 1e-4
 ) -> DataFrame:
     """``cells`` with ``weight``: tokens scaled so that each margin's shares meet its targets.
 
@@ -50,34 +53,24 @@ def rake(
     contradict each other where cells are empty; the last margin is then met exactly). Cells may be many:
     nothing is collected but one number a sweep.
     """
+    whole = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     goals = {}
     for margin, table in targets.items():
-        whole = table.where("target > 0").groupBy(margin).agg(F.sum("target").alias("target"))
-        present = cells.where("tokens > 0").select(margin).distinct()
-        whole = whole.join(present, whole[margin].eqNullSafe(present[margin]), "left_semi")
-        goals[margin] = stored_rows(
-            whole.crossJoin(F.broadcast(whole.agg(F.sum("target").alias("_all")))).select(
-                F.col(margin).alias(f"_{margin}"), (F.col("target") / F.col("_all")).alias(f"_goal_{margin}")
-            )
-        )
+        present = cells.where("tokens > 0").select(F.col(margin).alias("_key")).distinct()
+        wanted = table.where("target > 0").groupBy(margin).agg(F.sum("target").alias("_goal"))
+        wanted = stored_rows(present.join(wanted, F.col("_key").eqNullSafe(F.col(margin))).select("_key", "_goal"))
+        shares = wanted.agg(F.sum("_goal")).first()[0]
+        goals[margin] = wanted.withColumn("_goal", F.col("_goal") * (whole / shares if shares else 0.0))
     now = stored_rows(cells.withColumn("weight", F.col("tokens").cast("double")))
     for _ in range(sweeps):
-        worst = F.lit(0.0)
+        now = now.withColumn("_off", F.lit(0.0))
         for margin, goal in goals.items():
-            sums = now.groupBy(F.col(margin).alias("_key")).agg(F.sum("weight").alias("_sum"))
-            total = F.broadcast(now.agg(F.sum("weight").alias("_total")))  # one row
-            factor = (
-                goal.join(sums, goal[f"_{margin}"].eqNullSafe(F.col("_key")))
-                .crossJoin(total)
-                .select(
-                    "_key",
-                    F.when(F.col("_sum") > 0, F.col(f"_goal_{margin}") * F.col("_total") / F.col("_sum")).otherwise(0.0).alias("_factor"),
-                )
-            )
+            sums = now.groupBy(F.col(margin).alias("_of")).agg(F.sum("weight").alias("_sum")).where("_sum > 0")
+            factor = goal.join(sums, F.col("_key").eqNullSafe(F.col("_of"))).select("_key", (F.col("_goal") / F.col("_sum")).alias("_factor"))
             now = (
-                now.join(factor, now[margin].eqNullSafe(factor["_key"]), "left")
+                now.join(factor, F.col(margin).eqNullSafe(F.col("_key")), "left")
                 .withColumn("weight", F.col("weight") * F.coalesce("_factor", F.lit(0.0)))
-                .withColumn("_off", F.greatest(F.coalesce("_off", F.lit(0.0)) if "_off" in now.columns else worst, F.abs(F.coalesce("_factor", F.lit(1.0)) - 1)))
+                .withColumn("_off", F.greatest("_off", F.abs(F.coalesce("_factor", F.lit(1.0)) - 1)))
                 .drop("_key", "_factor")
             )
         now = stored_rows(now)
@@ -153,6 +146,6 @@ def _scale(raked: DataFrame, wanted: float, top: float) -> float:
 
 
 def op2_mix_sources(spark, folder: str) -> DataFrame:
-    """Probability and draw of every document."""
-    mixed = mix(documents(spark, folder))
+    """Probability and draw of every document, for half of all words."""
+    mixed = mix(documents(spark, folder), keep=0.5)
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", "probability", "sampled")
