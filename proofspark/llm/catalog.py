@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofspark.llm import embeddings, minhash, mixing, packing, pii, quality, sharding, sql
+from proofspark.llm import classifier, embeddings, lines, minhash, mixing, packing, pii, quality, sharding, sql
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_pii": pii.op6_pii,
     "op7_minhash_dedup": minhash.op7_minhash_dedup,
+    "op8_line_dedup": lines.op8_line_dedup,
+    "op9_quality_classifier": classifier.op9_quality_classifier,
     "op10_packing": packing.op10_packing,
 }
 
