@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from proofspark.llm import classifier, embeddings, lines, minhash, mixing, packing, pii, quality, sharding, sql
+from proofspark.llm import classifier, embeddings, lines, minhash, mixing, packing, pii, quality, sharding, sql, suffix
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_embedding_dedup": embeddings.op3_embedding_dedup,
+    "op4_suffix_array_dedup": suffix.op4_suffix_array_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op6_pii": pii.op6_pii,
     "op7_minhash_dedup": minhash.op7_minhash_dedup,
