@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from proofspark.llm.common import documents, stored, stored_rows
 
@@ -14,26 +17,37 @@ MARGINS = ("source", "lang", "topic")
 GRAIN = 1 << 53
 
 
-def _count(text: Column, characters: str) -> Column:
-    """How many of the text's characters are among these."""
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def topic_of(text: str) -> str:
+    """A topic by the form of a text: table, figures, notes (short lines) or prose."""
+    size = max(len(text), 1)
+    if 100 * text.count("|") >= size:
+        return "table"
+    if 20 * sum(map(text.count, "0123456789")) >= size:
+        return "figures"
+    return "notes" if size < 60 * (text.count("\n") + 1) else "prose"
 
 
-def word_count(text: Column) -> Column:
-    """Words as ``[^\\x20\\x09-\\x0D]+``; null has none."""
-    spaced = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(spaced == "", 0).otherwise(_count(spaced, " ") + 1).cast("long")
+def measured(docs: DataFrame, text: str, topic: bool, keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``tokens`` (words as ``[^\\x20\\x09-\\x0D]+``) and, if asked for, ``topic``; null texts are empty."""
+    at = docs.columns.index(text)
+    fields = [f for i, f in enumerate(docs.schema.fields) if keep_text or i != at]
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, topics = [], []
+            for value in batch.column(at):
+                own = value.as_py() or ""
+                tokens.append(len(own.encode("utf-8", "surrogatepass").split()))
+                if topic:
+                    topics.append(topic_of(own))
+            columns = [batch.column(f.name) for f in fields] + [pa.array(tokens, pa.int64())]
+            names = [*[f.name for f in fields], "tokens"]
+            if topic:
+                columns, names = [*columns, pa.array(topics, pa.string())], [*names, "topic"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-def topic_of(text: Column) -> Column:
-    """A topic by the form of a text: table, figures, notes (short lines) or prose. Null is prose."""
-    size = F.greatest(F.length(text), F.lit(1))
-    return (
-        F.when(100 * _count(text, "|") >= size, "table")
-        .when(20 * _count(text, "0123456789") >= size, "figures")
-        .when(size < 60 * (_count(text, "\n") + 1), "notes")
-        .otherwise("prose")
-    )
+    added = StructType.fromDDL("tokens long, topic string" if topic else "tokens long").fields
+    return docs.mapInArrow(measure, StructType([*fields, *added]))
 
 
 def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
@@ -43,15 +57,15 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
 
 
 def rake(
-    cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 20, tolerance: float = 1e-4
+    cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 30, tolerance: float = 1e-4
 ) -> DataFrame:
     """``cells`` with ``weight``: tokens scaled so that each margin's shares meet its targets.
 
     ``targets`` has for each margin a table (margin, target) of numbers in proportion; a value that is
-    missing there, or has none, gets weight 0. Each sweep scales all margins in turn by joins on sums;
-    ends when all shares are within ``tolerance`` of their targets, or after ``sweeps`` (the targets may
-    contradict each other where cells are empty; the last margin is then met exactly). Cells may be many:
-    nothing is collected but one number a sweep.
+    missing there, or has none, gets weight 0. Each sweep scales all margins in turn by sums over windows of cells
+    (what is windowed are cells, not documents); ends when all shares are within ``tolerance`` of their targets, or after ``sweeps`` (the targets may
+    contradict each other where cells are empty; the last margin is then met exactly). Nothing is collected but one number for
+    three sweeps.
     """
     whole = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     goals = {}
@@ -61,24 +75,22 @@ def rake(
         wanted = stored_rows(present.join(wanted, F.col("_key").eqNullSafe(F.col(margin))).select("_key", "_goal"))
         shares = wanted.agg(F.sum("_goal")).first()[0]
         goals[margin] = wanted.withColumn("_goal", F.col("_goal") * (whole / shares if shares else 0.0))
-    now = stored_rows(cells.withColumn("weight", F.col("tokens").cast("double")))
-    for _ in range(sweeps):
-        now = now.withColumn("_off", F.lit(0.0))
-        for margin, goal in goals.items():
-            sums = now.groupBy(F.col(margin).alias("_of")).agg(F.sum("weight").alias("_sum")).where("_sum > 0")
-            factor = goal.join(sums, F.col("_key").eqNullSafe(F.col("_of"))).select("_key", (F.col("_goal") / F.col("_sum")).alias("_factor"))
-            now = (
-                now.join(factor, F.col(margin).eqNullSafe(F.col("_key")), "left")
-                .withColumn("weight", F.col("weight") * F.coalesce("_factor", F.lit(0.0)))
-                .withColumn("_off", F.greatest("_off", F.abs(F.coalesce("_factor", F.lit(1.0)) - 1)))
-                .drop("_key", "_factor")
-            )
+    now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for margin, goal in goals.items():
+        goal = goal.withColumnRenamed("_goal", f"_goal_{margin}")
+        now = now.join(goal, F.col(margin).eqNullSafe(F.col("_key")), "left").drop("_key")
+    now = stored_rows(now)
+    for _ in range(0, sweeps, 3):
+        for _ in range(3):
+            for margin in goals:
+                now = now.withColumn("_sum", F.sum("weight").over(Window.partitionBy(margin)))
+                factor = F.when(F.col("_sum") > 0, F.coalesce(F.col(f"_goal_{margin}"), F.lit(0.0)) / F.col("_sum")).otherwise(0.0)
+                now = now.withColumn("weight", F.col("weight") * factor).withColumn(f"_off_{margin}", F.abs(factor - 1))
         now = stored_rows(now)
-        off = now.where("weight > 0").agg(F.max("_off")).first()[0]
-        now = now.drop("_off")
+        off = now.where("weight > 0").agg(F.max(F.greatest(F.lit(0.0), *[F.col(f"_off_{m}") for m in goals]))).first()[0]
         if off is None or off <= tolerance:
             break
-    return now
+    return now.select(*cells.columns, "weight")
 
 
 def mix(
@@ -104,10 +116,10 @@ def mix(
     is used. An empty table stays empty.
     """
     own_topic = "topic" in docs.columns
-    rows = docs.drop("tokens", "probability", "sampled").withColumn("tokens", word_count(F.col(text)))
-    if not own_topic:
-        rows = rows.withColumn("topic", topic_of(F.coalesce(F.col(text), F.lit(""))))
-    cells = stored(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
+    rows = docs.drop(*[c for c in ("tokens", "probability", "sampled") if c != text])
+    narrow = measured(rows.select(text, *[m for m in MARGINS if m in rows.columns]), text, not own_topic, keep_text=False)
+    rows = measured(rows, text, not own_topic)
+    cells = stored(narrow.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
     goals = targets or {m: tempered(cells, m, power) for m in MARGINS}
     raked = rake(cells, goals).withColumn("_ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
     raked = stored_rows(raked)
@@ -129,19 +141,20 @@ def mix(
 
 
 def _scale(raked: DataFrame, wanted: float, top: float) -> float:
-    """The factor at which min(1, ratio * factor) of all tokens are ``wanted``, by bisection over sums."""
+    """The factor at which min(1, ratio * factor) of all tokens are ``wanted``; all there are if that is less.
+
+    Each job sums at 64 factors at once: powers of two first, then evenly between the two that enclose it.
+    """
     if not top or wanted <= 0:
         return 0.0
-    low, high = 0.0, 1 / top
-    expected = lambda s: raked.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("_ratio") * s))).first()[0] or 0
-    reachable = raked.where("_ratio > 0").agg(F.sum("tokens")).first()[0] or 0
-    while expected(high) < min(wanted, reachable * (1 - 1e-9)):
-        low, high = high, 2 * high
-    for _ in range(40):
-        middle = (low + high) / 2
-        low, high = (middle, high) if expected(middle) < wanted else (low, middle)
-        if high - low <= 1e-9 * high:
-            break
+    scales = [2.0**k / top for k in range(64)]
+    for step in range(6):
+        sums = [F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("_ratio") * s)) for s in scales]
+        found = list(raked.agg(*sums).first())
+        at = next((i for i, x in enumerate(found) if x >= wanted), len(scales) - 1)
+        low = scales[at - 1] if at else (0.0 if step == 0 else scales[0])
+        high = scales[at]
+        scales = [low + (high - low) * k / 63 for k in range(64)]
     return high
 
 
