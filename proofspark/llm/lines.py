@@ -139,9 +139,8 @@ SHORT_LIST = 64
 
 
 def _candidates(p: int, q: int):
-    """For a shard: links (later line, earlier line) that pass all filters.
-
-    All of them from short lists; from long ones each line's best and those that join its trees.
+    """For a shard: links (later line, earlier line) that pass all filters: each line's best, and those that
+    join the trees of a posting list.
     """
 
     def passed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,15 +159,24 @@ def _candidates(p: int, q: int):
         starts, ends = np.append(0, cuts), np.append(cuts, len(rows))
         place = np.arange(len(rows)) - np.repeat(starts, ends - starts)
         short = np.repeat(ends - starts <= SHORT_LIST, ends - starts)
-        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         later = np.flatnonzero(short & (place > 0))
+        hits = [np.zeros((3, 0), np.int64)]
         for back in range(1, SHORT_LIST):
             later = later[place[later] >= back]
             if not len(later):
                 break
-            ok, _ = passed(rows[later], rows[later - back])
-            x.append(later[ok])
-            y.append(later[ok] - back)
+            ok, differ = passed(rows[later], rows[later - back])
+            hits.append(np.stack([later[ok], differ[ok], later[ok] - back]))
+        near = np.concatenate(hits, axis=1)
+        near = near[:, np.lexsort((near[2], near[1], near[0]))]
+        forest, last, mine, other = Forest(), -1, [], []
+        for i, j in zip(near[0].tolist(), near[2].tolist(), strict=True):
+            if i != last or forest.root(i) != forest.root(j):
+                forest.link(i, j)
+                mine.append(i)
+                other.append(j)
+            last = i
+        x, y = [np.array(mine, np.int64)], [np.array(other, np.int64)]
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if not short.all() else ():
             if e - s <= SHORT_LIST:
                 continue
