@@ -40,10 +40,10 @@ def stored_rows(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shard_count(df: DataFrame, column: str, least: int = 8) -> int:
-    """Shards so that each stands for about ``SHARD_BYTES`` of the text column."""
+def shard_count(df: DataFrame, column: str, least: int = 8, size: int = SHARD_BYTES) -> int:
+    """Shards so that each stands for about ``size`` bytes of the text column."""
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(least, int(total // SHARD_BYTES) + 1)
+    return max(least, int(total // size) + 1)
 
 
 def ranked(df: DataFrame, groups: list[str], order: Column, name: str, fine: int = 256) -> DataFrame:

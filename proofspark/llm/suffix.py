@@ -15,6 +15,8 @@ from proofspark.llm.common import documents, mixed, shard_count, stored
 
 #: Bytes of a gram; every string of the wanted length holds a chosen one.
 GRAM = 16
+#: Bytes of text that one shard stands for; a suffix array takes about 100 bytes a character.
+SHARD_TEXT = 2 << 20
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -154,8 +156,8 @@ def _same(data: bytes, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     return equal
 
 
-def owned_before(segments: list[bytes], owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, offset) of each string of ``length`` bytes that is also in a segment with a smaller owner.
+def least_owners(segments: list[bytes], owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, offset, least owner of a segment that holds it) of each string of ``length`` bytes.
 
     One suffix array over all segments; neighbours whose common prefix (permuted back to text order)
     has ``length`` characters hold one string, and the least owner of such a run owns it.
@@ -171,7 +173,7 @@ def owned_before(segments: list[bytes], owners: np.ndarray, length: int) -> tupl
     order = suffix_array(t, length)
     order = order[room[order] >= length]
     if not len(order):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     before = np.full(len(t), -1)  # the left neighbour of each place
     before[order[1:]] = order[:-1]
     plcp = np.zeros(len(t), bool)  # in text order: as long a prefix in common with it
@@ -180,8 +182,7 @@ def owned_before(segments: list[bytes], owners: np.ndarray, length: int) -> tupl
     run = np.cumsum(~plcp[order]) - 1
     owner = owners[segment[order]]
     least = np.minimum.reduceat(owner, np.flatnonzero(~plcp[order]))
-    hit = order[owner > least[run]]
-    return segment[hit], hit - begins[segment[hit]]
+    return segment[order], order - begins[segment[order]], least[run]
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,14 +203,14 @@ def repeated_bytes(docs: DataFrame, length: int = 50, text: str = "text", id_col
     in the input. Equal texts are one, owned by the smallest id; its copies go whole. Texts are routed by
     anchors: grams that any string of ``length`` bytes must hold. Anchors that only one text has are
     dropped (codes in packed rows, no text moves); around the others, the segment with all strings that
-    hold the anchor goes to the anchor's shard, where ``owned_before`` finds the strings.
+    hold the anchor goes to the anchor's shard, where ``least_owners`` finds the strings.
 
     A null text is empty and has no bytes. Rows with a null id are returned whole: nothing is removed from
     them or owned by them. Rows that repeat an id are one document: they own nothing before each other,
     and spans found in one are removed from each. Other columns are left out; empty tables stay empty.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    shards = shard_count(docs, text)
+    shards = shard_count(docs, text, size=SHARD_TEXT)
     reach = length - GRAM
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +270,8 @@ def repeated_bytes(docs: DataFrame, length: int = 50, text: str = "text", id_col
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shard, doc, begin, piece = [], [], [], []
-            for i, value, some in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            last = len(batch) - 1
+            for k, (i, value, some) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True)):
                 data = value.as_py().encode("utf-8", "surrogatepass")
                 want = np.unique(np.concatenate([np.frombuffer(c.as_buffer(), np.uint64) for c in some]))
                 at, code = anchors(data, length)
@@ -280,16 +282,28 @@ def repeated_bytes(docs: DataFrame, length: int = 50, text: str = "text", id_col
                     doc.append(i)
                     begin.append(low)
                     piece.append(data[low : a + length])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int64()), pa.array(doc, pa.int64()), pa.array(begin, pa.int64()), pa.array(piece, pa.binary())],
-                names=["shard", "doc", "begin", "piece"],
-            )
+                if len(piece) > 50_000 or k == last:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(shard, pa.int64()), pa.array(doc, pa.int64()), pa.array(begin, pa.int64()), pa.array(piece, pa.binary())],
+                        names=["shard", "doc", "begin", "piece"],
+                    )
+                    shard, doc, begin, piece = [], [], [], []
 
     def find(table: pa.Table) -> pa.Table:
         doc, begin = table.column("doc").to_numpy(), table.column("begin").to_numpy()
-        pieces = table.column("piece").to_pylist()
-        where, offset = owned_before(pieces, doc, length)
-        d, lo, hi = _spans(doc[where], begin[where] + offset, length)
+        number: dict[bytes, int] = {}  # equal segments are sorted once
+        which = np.array([number.setdefault(p.as_py(), len(number)) for p in table.column("piece")], np.int64)
+        owners = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(owners, which, doc)
+        segment, offset, least = least_owners(list(number), owners, length)
+        by = np.argsort(which, kind="stable")  # the places of each segment
+        begins = np.searchsorted(which[by], np.arange(len(number) + 1))
+        many = (begins[1:] - begins[:-1])[segment]
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        place = by[np.repeat(begins[segment], many) + step]
+        hit = doc[place] > np.repeat(least, many)
+        place = place[hit]
+        d, lo, hi = _spans(doc[place], begin[place] + np.repeat(offset, many)[hit], length)
         return pa.table({"doc": d, "lo": lo, "hi": hi})
 
     segments = asked.select("doc", "text", "codes").mapInArrow(cut, "shard long, doc long, begin long, piece binary")
