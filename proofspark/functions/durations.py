@@ -14,7 +14,7 @@ DURATION_PATTERN = "^(?:([0-9]+)D)?(?:([0-9]+)H)?(?:([0-9]+)M)?$"
 
 # Fixed value: an optional date, then an optional clock time with an optional AM/PM mark.
 END_PATTERN = (
-    "^(?:([0-9]{4})-([0-9]{1,2})-([0-9]{1,2}))?(?:[ T]+(?=[0-9])|$|(?=[0-9]))"
+    "^(?:([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})(?:[ T]+(?=[0-9])|$))?"
     "(?:([0-9]{1,2})(?::([0-9]{2})(?::([0-9]{2}))?)? *(AM|PM)?)?$"
 )
 

@@ -78,14 +78,16 @@ def _mode_per(readings: DataFrame, parts: dict[str, Column]) -> DataFrame:
     )
 
 
-def hourly_mode(readings: DataFrame) -> DataFrame:
-    """The most common whole degree by UTC hour of the day."""
-    return _mode_per(readings, {"hour": F.hour("datetime")})
+def hourly_mode(readings: DataFrame, ordered: bool = False) -> DataFrame:
+    """The most common whole degree by UTC hour of the day; ``ordered`` by the hour."""
+    modes = _mode_per(readings, {"hour": F.hour("datetime")})
+    return modes.orderBy("hour") if ordered else modes
 
 
-def monthly_mode(readings: DataFrame) -> DataFrame:
-    """The most common whole degree by UTC year and month."""
-    return _mode_per(readings, {"year": F.year("datetime"), "month": F.month("datetime")})
+def monthly_mode(readings: DataFrame, ordered: bool = False) -> DataFrame:
+    """The most common whole degree by UTC year and month; ``ordered`` by both."""
+    modes = _mode_per(readings, {"year": F.year("datetime"), "month": F.month("datetime")})
+    return modes.orderBy("year", "month") if ordered else modes
 
 
 def zone_breakdown(

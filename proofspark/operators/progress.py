@@ -139,7 +139,7 @@ def _numbered_readings(
         F.lit(_READING).alias("kind"),
     ).unionByName(markers.drop("is_open", "chunk"), allowMissingColumns=True)
     # in a heavy instant the starts are a part of their own before, the ends one after the readings
-    part = f"""case kind when {_START} then -1L when {_READING} then floor((id - low_id) / step)
+    part = f"""case kind when {_START} then -1L when {_READING} then floor((cast(id as decimal(20, 0)) - low_id) / step)
         else {2**62}L end"""
     rows = with_chunk(rows, chunk_seconds, heavy, part)
     latest = {

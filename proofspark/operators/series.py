@@ -53,7 +53,7 @@ def with_chunk(
     rows: DataFrame,
     chunk_seconds: int = CHUNK_SECONDS,
     heavy: HeavyCells | None = None,
-    part: str = "floor((reading_id - low_id) / step)",
+    part: str = "floor((cast(reading_id as decimal(20, 0)) - low_id) / step)",
 ) -> DataFrame:
     """Adds ``chunk``, the start of a row's stretch of time in microseconds, and ``part``.
 
@@ -113,7 +113,9 @@ def heavy_cells(
                 "sensor_id",
                 "chunk",
                 "low_id",
-                f"greatest(1L, (high_id - low_id + 1) div ceil(n / {limit})) as step",
+                # wider than bigint: ids may span its whole range
+                "greatest(1, (cast(high_id as decimal(20, 0)) - low_id + 1)"
+                f" div ceil(n / {limit})) as step",
             )
         )
         if level != "instants":

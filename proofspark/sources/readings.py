@@ -12,24 +12,45 @@ from proofspark.functions.times import Moment, moment
 READING_COLUMNS = ("sensor_id", "reading_id", "datetime", "temperature_f")
 
 
-def load_readings(spark: SparkSession, path: str) -> DataFrame:
+def load_readings(
+    spark: SparkSession, path: str, start: Moment | None = None, end: Moment | None = None
+) -> DataFrame:
     """Readings in a parquet file or folder; other columns are never read.
 
     ``sensor_id`` and ``reading_id`` are optional. A table without them is one sensor's series;
-    ``reading_id`` then is a hash of the row, which orders equal timestamps repeatably.
+    ``reading_id`` then is a hash of the row, which orders equal timestamps repeatably. Bounds in UTC,
+    both included, reach the scan whether ``datetime`` is stored with or without a zone.
     """
-    return as_readings(spark.read.parquet(path))
+    return as_readings(spark.read.parquet(path), start, end)
+
 
+def as_readings(
+    table: DataFrame, start: Moment | None = None, end: Moment | None = None
+) -> DataFrame:
+    """Brings a table with at least ``datetime`` and ``temperature_f`` to the readings schema.
 
-def as_readings(table: DataFrame) -> DataFrame:
-    """Brings a table with at least ``datetime`` and ``temperature_f`` to the readings schema."""
+    Instants become UTC wall-clock times by their microseconds since 1970, in any session time zone.
+    """
     when = F.col("datetime")
-    if dict(table.dtypes)["datetime"] == "timestamp":
-        when = F.convert_timezone(F.current_timezone(), F.lit("UTC"), when.cast("timestamp_ntz"))
+    zoned = dict(table.dtypes)["datetime"] == "timestamp"
+    for bound, inside in ((start, when.__ge__), (end, when.__le__)):
+        if bound is not None:
+            limit = moment(bound)
+            if zoned:
+                seconds = F.date_diff(limit, F.lit("1970-01-01").cast("date")).cast("bigint") * 86400
+                of_day = F.hour(limit) * 3600 + F.minute(limit) * 60 + F.extract(F.lit("SECOND"), limit)
+                limit = F.timestamp_micros(((seconds + of_day) * 1_000_000).cast("bigint"))
+            table = table.filter(inside(limit))
+    if zoned:
+        second = (F.unix_micros(when) / F.lit(1_000_000).cast("decimal(20,0)")).cast("decimal(18,6)")
+        zero = F.lit(0)
+        when = F.expr("timestamp_ntz'1970-01-01'") + F.make_dt_interval(zero, zero, zero, second)
     temp = F.col("temperature_f").cast("double")
     sensor = F.col("sensor_id") if "sensor_id" in table.columns else F.lit(0)
     reading = (
-        F.col("reading_id") if "reading_id" in table.columns else F.xxhash64("datetime", temp)
+        F.col("reading_id")
+        if "reading_id" in table.columns
+        else F.shiftright(F.xxhash64("datetime", temp), 2)
     )
     return table.select(
         sensor.cast("bigint").alias("sensor_id"),
