@@ -25,14 +25,26 @@ def parse_durations(sessions: DataFrame) -> DataFrame:
 
 
 def resolve_session_bounds(sessions: DataFrame) -> DataFrame:
-    """Adds ``end_ts`` (UTC) and ``status``: ``ok``, or ``bad_end`` for an unreadable end.
+    """Adds ``end_ts`` (UTC) and ``status``: ``ok``, ``bad_end`` for an unreadable end, or ``bad_tz``.
 
-    No or an empty ``end_spec`` is an open session, whose ``end_ts`` is null.
+    No or an empty ``end_spec`` is an open session, whose ``end_ts`` is null. A zone that isn't known
+    makes the status ``bad_tz`` and no end; its ``tz`` becomes ``UTC``, so that later stamps can be made.
     """
+    known = "try_to_timestamp(concat('2000-01-01 00 ', tz), 'yyyy-MM-dd HH VV') is not null"
+    checked = sessions.withColumn("_bad", F.expr(f"tz is not null and not ({known})"))
     # an empty text matches neither a duration nor a time, so its end is null as well
-    return with_end(sessions, "end_spec", "start_ts", "tz").withColumn(
-        "status", F.expr("if(end_spec <> '' and end_ts is null, 'bad_end', 'ok')")
+    ended = with_end(
+        checked.withColumn("tz", F.expr("if(_bad, 'UTC', tz)")), "end_spec", "start_ts", "tz"
     )
+    return ended.withColumns(
+        {
+            "end_ts": F.expr("if(_bad, null, end_ts)"),
+            "status": F.expr(
+                "case when _bad then 'bad_tz'"
+                " when end_spec <> '' and end_ts is null then 'bad_end' else 'ok' end"
+            ),
+        }
+    ).drop("_bad")
 
 
 def readings_of_sessions(readings: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def with_offsets(progress: DataFrame, as_of: Moment | None = None) -> DataFrame:
     """
     now = now_utc() if as_of is None else moment(as_of)
     start, last = F.col("start_ts"), F.col("last_reading_at")
-    readable = F.col("status") != "bad_end"
+    readable = ~F.col("status").isin("bad_end", "bad_tz")
     timed = progress.withColumns(
         {
             "run_at": now,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import T0
 from proofspark.functions.durations import with_end
 from proofspark.operators.explore import hourly_mode, monthly_mode
+from proofspark.operators.sessions import resolve_session_bounds
 from proofspark.operators.series import heavy_cells, with_chunk
 from proofspark.sources.readings import as_readings, load_readings
 
@@ -71,3 +72,11 @@ def test_date_and_time_need_a_separator(spark, text):
     rows = spark.createDataFrame([(text, T0, "UTC"), (text[:10] + " " + text[10:], T0, "UTC")], "e string, s timestamp_ntz, z string")
     ends = [r.end_ts for r in with_end(rows, "e", "s", "z").collect()]
     assert ends[0] is None and ends[1] is not None
+
+
+def test_zones(spark):
+    rows = [("5H", "Nowhere/City"), ("8pm", "Nowhere/City"), ("8pm", "America/New_York"), ("8pm", "UTC"), ("junk", "Asia/Tokyo"), (None, "Europe/Berlin")]
+    table = spark.createDataFrame([(i, e, T0, z) for i, (e, z) in enumerate(rows)], "session_id long, end_spec string, start_ts timestamp_ntz, tz string")
+    got = resolve_session_bounds(table).orderBy("session_id").collect()
+    assert [r.status for r in got] == ["bad_tz", "bad_tz", "ok", "ok", "bad_end", "ok"]
+    assert (got[2].end_ts, got[3].end_ts) == (datetime.datetime(2026, 1, 23, 1), datetime.datetime(2026, 1, 22, 20))
