@@ -274,10 +274,13 @@ def repeated_lines(
 
     pairs = links.join(sets, ["doc", "line"]).join(second, ["doc0", "line0"]).select("doc", "line", "doc0", "line0", "codes", "codes0")
     true = stored(pairs.mapInArrow(verify, "doc long, line long, doc0 long, line0 long").select("doc", "line").distinct())
-    node = lambda a, b: F.struct(F.col(a).alias("doc"), F.col(b).alias("line"))
-    open_ = links.join(true, ["doc", "line"], "left_anti").select("doc", "line").distinct()
-    tree = components(links.select(node("doc", "line").alias("u"), node("doc0", "line0").alias("v")))
-    tree = stored(tree.select("id.doc", "id.line", F.xxhash64("component_id.doc", "component_id.line").alias("cluster")))
+    open_ = stored(links.join(true, ["doc", "line"], "left_anti").select("doc", "line").distinct())
+    if open_.isEmpty():
+        return exact.union(true).distinct()
+    # Codes of lines only steer: a collision makes one cluster of two.
+    tree = components(links.select(F.xxhash64("doc", "line").alias("u"), F.xxhash64("doc0", "line0").alias("v")))
+    named = sets.select("doc", "line").withColumn("id", F.xxhash64("doc", "line"))
+    tree = stored(named.join(tree, "id").select("doc", "line", F.col("component_id").alias("cluster")))
     undecided = stored(tree.join(open_, ["doc", "line"]))
     members = (
         tree.join(undecided.select("cluster").distinct(), "cluster", "left_semi")
