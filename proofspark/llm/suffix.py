@@ -243,7 +243,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, text: str = "text", id_col
         order = np.argsort(own, kind="stable")
         code, own = code[order], own[order]
         at = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
-        ends = np.append(at[1:], len(own))
+        ends = np.append(at, len(own))[1:]
         return pa.table({
             "text_code": pa.array(own[at].view(np.int64)),
             "codes": pa.array([code[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()),
