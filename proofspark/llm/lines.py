@@ -45,10 +45,10 @@ def _prefix(size: int, p: int, q: int) -> int:
     return size - -(-q * size // p) + 1
 
 
-def _parity(codes: np.ndarray) -> int:
-    """64 bits, each the parity of the words that hash to it: sets differ in as many words as bits, or more."""
-    bits = np.bincount((mixed(codes) >> np.uint64(58)).astype(np.int64), minlength=64) & 1
-    return int(np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)[0])
+def _parity(codes: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of the words that hash to it: sets differ in as many words as bits, or more."""
+    bits = np.bincount((mixed(codes) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _entries(docs: DataFrame, text: str, id_column: str, shards: int, order: np.ndarray, p: int, q: int) -> DataFrame:
@@ -91,7 +91,7 @@ def _entries(docs: DataFrame, text: str, id_column: str, shards: int, order: np.
             columns = [
                 (flat >> np.uint64(32)).astype(np.uint32).view(np.int32).astype(np.int64),
                 np.repeat(doc, many), np.repeat(line, many), np.repeat(size, many),
-                np.repeat(np.array(parity, np.uint64).view(np.int64), many), np.concatenate(at),
+                *(np.repeat(word, many) for word in np.array(parity).T), np.concatenate(at),
             ]
             rows = np.stack(columns, axis=1)
             by = np.argsort(shard, kind="stable")
@@ -102,7 +102,10 @@ def _entries(docs: DataFrame, text: str, id_column: str, shards: int, order: np.
 
 
 #: Columns of a posting: token, document, line, words, parity bits, place in the prefix.
-POSTING = np.dtype([("token", "<i4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("parity", "<i8"), ("at", "<i4")])
+PARITY = ("p0", "p1", "p2", "p3")
+POSTING = np.dtype(
+    [("token", "<i4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), *((p, "<i8") for p in PARITY), ("at", "<i4")]
+)
 
 
 def _packed(parts: list[tuple[int, np.ndarray]], kind: int) -> pa.RecordBatch:
@@ -148,7 +151,9 @@ def _candidates(p: int, q: int):
         small, large = np.minimum(a["size"], b["size"]), np.maximum(a["size"], b["size"])
         both = small.astype(np.int64) + large
         left = np.minimum(a["size"] - a["at"], b["size"] - b["at"]) + np.minimum(a["at"], b["at"])
-        differ = np.bitwise_count((b["parity"] ^ a["parity"]).view(np.uint64)).astype(np.int64)
+        differ = np.zeros(len(both), np.int64)
+        for word in PARITY:
+            differ += np.bitwise_count((b[word] ^ a[word]).view(np.uint64))
         ok = (p * small >= q * large) & ((p + q) * left >= q * both) & ((p + q) * differ <= (p - q) * both)
         return ok & ((a["doc"] != b["doc"]) | (a["line"] != b["line"])), differ
 
@@ -228,7 +233,7 @@ def repeated_lines(
 
     Earlier is a smaller (id, line number); lines are judged on the input, whether or not the earlier one
     is removed itself. Words are ordered by rarity; each line is posted under its prefix. In a posting
-    list, length, position and a 64-bit parity sketch (which never drops a true pair) leave the
+    list, length, position and a 256-bit parity sketch (which never drops a true pair) leave the
     candidates; of these, each line's best and a tree of the rest go on to be verified on full sets.
     Lines that this leaves undecided are compared with all earlier ones of their tree.
     """
