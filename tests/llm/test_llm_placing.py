@@ -68,7 +68,8 @@ def test_shards_need_no_python(spark, capsys):
 
 def test_program_reaches_the_optimum():
     patterns, use = packing.column_generation(np.array([3, 5, 6]), np.array([60.0, 40.0, 30.0]), 10, gap=1e-9)
-    assert np.isclose(use.sum(), 54.0) or use.sum() < 54.1  # a bound by hand: 20 * (3, 3, 3), 20 * (5, 5), 14 of the rest
+    # 30 times (6, 3), 20 times (5, 5), 10 times (3, 3, 3); prices 1/3, 1/2 and 2/3 prove it
+    assert np.isclose(use.sum(), 60)
     assert ((patterns.T @ use) >= np.array([60, 40, 30]) - 1e-6).all() and (patterns @ np.array([3, 5, 6]) <= 10).all()
 
 
