@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofspark.llm.blocks import Forest, blocked, groups_of
-from proofspark.llm.common import documents, mixed, shard_count, stored, word_codes
+from proofspark.llm.common import by_bytes, documents, mixed, shard_count, stored, word_codes
 from proofspark.llm.components import components
 
 #: Frequent words whose order goes to every task; all others count as rare, ordered by their code.
 FREQUENT = 50_000
+#: Characters whose postings a task holds at once, and bytes of text that one shard of postings stands for.
+PART_BYTES = 8 << 20
+SHARD_TEXT = 8 << 20
 
 
 def line_sets(text: str | None) -> Iterator[tuple[int, np.ndarray]]:
@@ -56,8 +59,13 @@ def _entries(docs: DataFrame, text: str, id_column: str, shards: int, order: np.
     codes_sorted = np.sort(order)
     rank_of = np.argsort(order, kind="stable").astype(np.uint64)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for begin, end in by_bytes(batch.column(1).to_pylist(), PART_BYTES):
+                yield batch.slice(begin, end - begin)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             seen: dict[bytes, tuple[int, int]] = {}
             again: list[tuple[int, int]] = []
@@ -239,7 +247,7 @@ def repeated_lines(
     """
     p, q = above
     rows = docs.where(F.col(id_column).isNotNull())
-    shards = shard_count(docs, text)
+    shards = shard_count(docs, text, size=SHARD_TEXT)
     order = frequent_words(rows, text, frequent)
     entries = _entries(rows, text, id_column, shards, order, p, q)
     found = stored(
