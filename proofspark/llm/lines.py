@@ -6,35 +6,96 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofspark.llm.blocks import Forest, blocked, groups_of
-from proofspark.llm.common import by_bytes, documents, mixed, shard_count, stored, word_codes
+from proofspark.llm.common import by_bytes, documents, mixed, shard_count, stored
 from proofspark.llm.components import components
 
 #: Frequent words whose order goes to every task; all others count as rare, ordered by their code.
 FREQUENT = 50_000
 #: Characters whose postings a task holds at once, and bytes of text that one shard of postings stands for.
 PART_BYTES = 8 << 20
+NO_WORDS = np.zeros(0, np.uint64)
 SHARD_TEXT = 8 << 20
 
 
-def line_sets(text: str | None) -> Iterator[tuple[int, np.ndarray]]:
-    """(number, sorted distinct word codes) of each line with a word."""
-    for i, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
-        words = line.split()
-        if words:
-            yield i, np.unique(word_codes(words))
+#: Bytes that end a word, and masks of the first 0 to 8 bytes of a little-endian integer.
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words beyond so many bytes are coded one by one.
+LONG_WORD = 512
+
+
+def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line number, 64-bit code) of every word of some texts, in their order.
+
+    Words of up to 8 bytes have codes of their own; longer ones share one with a chance of 2^-64.
+    """
+    data = b"\n".join(texts) + b"\n"
+    n = len(data)
+    chars = np.frombuffer(data, np.uint8)
+    edges = np.diff(SPACES[chars].view(np.int8), prepend=np.int8(1))
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    eight = np.ndarray((n,), "<u8", buffer=data + bytes(8), strides=(1,))
+    length = ends - starts
+    code = mixed(length.astype(np.uint64))
+    left, at = np.flatnonzero(length <= LONG_WORD), 0
+    while len(left):
+        rest = length[left] - at
+        code[left] = mixed(code[left] ^ (eight[starts[left] + at] & MASKS[np.minimum(rest, 8)]))
+        left, at = left[rest > 8], at + 8
+    for k in np.flatnonzero(length > LONG_WORD).tolist():
+        code[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    breaks = np.flatnonzero(chars == 10)
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    first = np.searchsorted(breaks, np.cumsum(sizes) - sizes)
+    line = np.searchsorted(breaks, starts)
+    text = np.searchsorted(first, line, side="right") - 1
+    return text, line - first[text], code
+
+
+def line_sets(texts: list[bytes], order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines with a word as (text, line number, words), and their distinct word codes, rarest first, one line
+    after another. ``order`` has the codes of frequent words, rarest first; others come before them by code.
+    """
+    text, line, code = line_words(texts)
+    rank = np.zeros(len(code), np.int64)
+    if len(order) and len(code):
+        by_code = np.argsort(order, kind="stable")
+        where = np.minimum(np.searchsorted(order[by_code], code), len(order) - 1)
+        rank = np.where(order[by_code][where] == code, by_code[where] + 1, 0)
+    new = np.append(True, (text[1:] != text[:-1]) | (line[1:] != line[:-1]))[: len(code)]
+    at = np.lexsort((code, (np.cumsum(new) - 1) * (len(order) + 1) + rank))
+    text, line, code = text[at], line[at], code[at]
+    new = np.append(True, (text[1:] != text[:-1]) | (line[1:] != line[:-1]))[: len(code)]
+    keep = new | np.append(True, code[1:] != code[:-1])[: len(code)]
+    text, line, code, new = text[keep], line[keep], code[keep], new[keep]
+    starts = np.flatnonzero(new)
+    return text[starts], line[starts], np.diff(np.append(starts, len(code))), code
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    return [(v or "").encode("utf-8", "surrogatepass") for v in column.to_pylist()]
+
+
+def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches with about ``PART_BYTES`` of text, and those texts as bytes."""
+    for batch in batches:
+        texts = _texts(batch.column(column))
+        for begin, end in by_bytes(texts, PART_BYTES):
+            yield batch.slice(begin, end - begin), texts[begin:end]
 
 
 def frequent_words(docs: DataFrame, text: str, most: int) -> np.ndarray:
-    """Codes of the ``most`` words that are in the most lines, rarest first. Words met once in a task count as rare."""
+    """Codes of the ``most`` words met most often, rarest first. Words met once in a part of a task count as rare."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s for value in batch.column(0) for _, s in line_sets(value.as_py())]
-            codes, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for _, texts in _parts(batches, 0):
+            codes, n = np.unique(line_words(texts)[2], return_counts=True)
             some = n > 1
             yield pa.RecordBatch.from_arrays([pa.array(codes[some].view(np.int64)), pa.array(n[some])], names=["code", "n"])
 
@@ -43,89 +104,70 @@ def frequent_words(docs: DataFrame, text: str, most: int) -> np.ndarray:
     return np.array([r["code"] for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def _prefix(size: int, p: int, q: int) -> int:
+def _prefix(size: np.ndarray, p: int, q: int) -> np.ndarray:
     """Words of a set of which a partner with p * intersection >= q * union shares one at least."""
     return size - -(-q * size // p) + 1
 
 
-def _parity(codes: np.ndarray) -> np.ndarray:
-    """256 bits, each the parity of the words that hash to it: sets differ in as many words as bits, or more."""
-    bits = np.bincount((mixed(codes) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+def _parity(codes: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+    """128 bits a line, each the parity of the words that hash to it: sets differ in as many words as bits, or more.
 
+    ``codes`` has one line after another, of ``size`` words each; all are of one line by default.
+    """
+    size = np.array([len(codes)]) if size is None else size
+    bit = mixed(codes) >> np.uint64(57)
+    starts = np.cumsum(size) - size
+    out = np.zeros((len(size), len(PARITY)), np.uint64)
+    for k in range(len(PARITY)):
+        one = np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+        out[:, k] = np.bitwise_xor.reduceat(one, starts) if len(starts) else 0
+    return out.view(np.int64)
 
-def _entries(docs: DataFrame, text: str, id_column: str, shards: int, order: np.ndarray, p: int, q: int) -> DataFrame:
-    """Postings of all lines in packed rows (shard, arrays); shard -1 names lines that repeat one of their batch."""
-    codes_sorted = np.sort(order)
-    rank_of = np.argsort(order, kind="stable").astype(np.uint64)
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, end in by_bytes(batch.column(1).to_pylist(), PART_BYTES):
-                yield batch.slice(begin, end - begin)
+def _entries(docs: DataFrame, text: str, id_column: str, shards: int, order: np.ndarray, p: int, q: int) -> DataFrame:
+    """Postings of all lines in packed rows (shard, kind, arrays); kind 0 names lines that repeat one of their part."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            seen: dict[bytes, tuple[int, int]] = {}
-            again: list[tuple[int, int]] = []
-            tokens, doc, line, size, parity, at = [], [], [], [], [], []
-            for k in np.argsort(ids, kind="stable"):
-                for number, s in line_sets(batch.column(1)[int(k)].as_py()):
-                    key = s.tobytes()
-                    here = (int(ids[k]), number)
-                    if (before := seen.setdefault(key, here)) != here:
-                        again.append(here)
-                        continue
-                    if before is not here:  # a repeated row
-                        continue
-                    where = np.minimum(np.searchsorted(codes_sorted, s), max(0, len(order) - 1))
-                    common = codes_sorted[where] == s if len(order) else np.zeros(len(s), bool)
-                    first = np.lexsort((s, np.where(common, rank_of[where] + np.uint64(1), np.uint64(0)) if len(order) else s))
-                    n = _prefix(len(s), p, q)
-                    tokens.append(s[first[:n]])
-                    at.append(np.arange(n))
-                    doc.append(int(ids[k]))
-                    line.append(number)
-                    size.append(len(s))
-                    parity.append(_parity(s))
-            if again:
-                yield _packed([(-1, np.array(again, np.int64))], 0)
-            if not tokens:
+        for batch, texts in _parts(batches, 1):
+            which, line, size, codes = line_sets(texts, order)
+            if not len(line):
                 continue
-            many = [len(t) for t in tokens]
-            flat = mixed(np.concatenate(tokens))
+            doc = batch.column(0).to_numpy(zero_copy_only=False)[which]
+            starts = np.cumsum(size) - size
+            names = [np.add.reduceat(mixed(codes ^ np.uint64(salt)), starts) for salt in (0x51, 0xA7)]  # of whole sets
+            by = np.lexsort((line, doc, names[1], names[0]))
+            new = np.append(True, (names[0][by][1:] != names[0][by][:-1]) | (names[1][by][1:] != names[1][by][:-1]))
+            first = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+            again = ~new & ((doc[by] != doc[first]) | (line[by] != line[first]))
+            if again.any():
+                yield _packed([(-1, np.stack([doc[by][again], line[by][again]], axis=1))], 0)
+            own = np.sort(by[new])
+            n = _prefix(size[own], p, q)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            flat = mixed(codes[np.repeat(starts[own], n) + at])
+            parity = _parity(codes, size)[own]
             shard = (flat % np.uint64(shards)).astype(np.int64)
-            columns = [
-                (flat >> np.uint64(32)).astype(np.uint32).view(np.int32).astype(np.int64),
-                np.repeat(doc, many), np.repeat(line, many), np.repeat(size, many),
-                *(np.repeat(word, many) for word in np.array(parity).T), np.concatenate(at),
-            ]
-            rows = np.stack(columns, axis=1)
+            out = np.zeros(len(flat), POSTING)
+            out["token"] = (flat >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            for name, values in (("doc", doc[own]), ("line", line[own]), ("size", size[own]), *zip(PARITY, parity.T, strict=True)):
+                out[name] = np.repeat(values, n)
+            out["at"] = at
             by = np.argsort(shard, kind="stable")
             cuts = np.flatnonzero(np.diff(shard[by])) + 1
-            yield _packed([(int(shard[part[0]]), rows[part]) for part in np.split(by, cuts)], 1)
+            yield _packed([(int(shard[part[0]]), out[part]) for part in np.split(by, cuts)], 1)
 
     return docs.select(F.col(id_column).cast("long"), text).mapInArrow(post, "shard long, kind int, packed binary")
 
 
 #: Columns of a posting: token, document, line, words, parity bits, place in the prefix.
-PARITY = ("p0", "p1", "p2", "p3")
+PARITY = ("p0", "p1")
 POSTING = np.dtype(
     [("token", "<i4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), *((p, "<i8") for p in PARITY), ("at", "<i4")]
 )
 
 
 def _packed(parts: list[tuple[int, np.ndarray]], kind: int) -> pa.RecordBatch:
-    blobs = []
-    for _, rows in parts:
-        if kind == 0:
-            blobs.append(rows.tobytes())
-        else:
-            out = np.zeros(len(rows), POSTING)
-            for c, name in enumerate(POSTING.names):
-                out[name] = rows[:, c]
-            blobs.append(b"".join(out[name].tobytes() for name in POSTING.names))
+    blobs = [rows.tobytes() if kind == 0 else b"".join(rows[name].tobytes() for name in POSTING.names) for _, rows in parts]
     return pa.RecordBatch.from_arrays(
         [pa.array([s for s, _ in parts], pa.int64()), pa.array([kind] * len(parts), pa.int32()), pa.array(blobs, pa.binary())],
         names=["shard", "kind", "packed"],
@@ -154,23 +196,34 @@ def _candidates(p: int, q: int):
     join the trees of a posting list.
     """
 
-    def passed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which pairs may be similar enough, and in how many parity bits those differ."""
-        small, large = np.minimum(a["size"], b["size"]), np.maximum(a["size"], b["size"])
-        both = small.astype(np.int64) + large
-        left = np.minimum(a["size"] - a["at"], b["size"] - b["at"]) + np.minimum(a["at"], b["at"])
-        differ = np.zeros(len(both), np.int64)
-        for word in PARITY:
-            differ += np.bitwise_count((b[word] ^ a[word]).view(np.uint64))
-        ok = (p * small >= q * large) & ((p + q) * left >= q * both) & ((p + q) * differ <= (p - q) * both)
-        return ok & ((a["doc"] != b["doc"]) | (a["line"] != b["line"])), differ
-
     def find(table: pa.Table) -> pa.Table:
         rows = _unpacked([b.as_py() for b in table.column("packed")])
         rows = rows[np.lexsort((rows["line"], rows["doc"], rows["token"]))]
-        cuts = np.flatnonzero(np.diff(rows["token"])) + 1
-        starts, ends = np.append(0, cuts), np.append(cuts, len(rows))
-        place = np.arange(len(rows)) - np.repeat(starts, ends - starts)
+        signed = mixed(rows["token"].astype(np.uint64) ^ mixed(rows["size"].astype(np.uint64) << np.uint64(32) | rows["at"].astype(np.uint64)))
+        for word in PARITY:
+            signed = mixed(signed ^ rows[word].view(np.uint64))
+        first, of = np.unique(signed, return_index=True, return_inverse=True)[1:]
+        x, y = [np.flatnonzero(first[of] != np.arange(len(rows)))], []
+        y.append(first[of][x[0]])
+        one = np.sort(first)  # lines that no filter tells apart meet others as one
+        token, size, at, *parity = (np.ascontiguousarray(rows[name][one]) for name in ("token", "size", "at", *PARITY))
+        parity = [word.view(np.uint64) for word in parity]
+
+        def passed(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The pairs that may be similar enough, and in how many parity bits those differ."""
+            a, b = size[i].astype(np.int64), size[j].astype(np.int64)
+            left = np.minimum(a - at[i], b - at[j]) + np.minimum(at[i], at[j])
+            ok = (p * np.minimum(a, b) >= q * np.maximum(a, b)) & ((p + q) * left >= q * (a + b))
+            i, j, both = i[ok], j[ok], (a + b)[ok]
+            differ = np.zeros(len(i), np.int64)
+            for word in parity:
+                differ += np.bitwise_count(word[i] ^ word[j])
+            ok = (p + q) * differ <= (p - q) * both
+            return i[ok], j[ok], differ[ok]
+
+        cuts = np.flatnonzero(np.diff(token)) + 1
+        starts, ends = np.append(0, cuts), np.append(cuts, len(one))
+        place = np.arange(len(one)) - np.repeat(starts, ends - starts)
         short = np.repeat(ends - starts <= SHORT_LIST, ends - starts)
         later = np.flatnonzero(short & (place > 0))
         hits = [np.zeros((3, 0), np.int64)]
@@ -178,8 +231,8 @@ def _candidates(p: int, q: int):
             later = later[place[later] >= back]
             if not len(later):
                 break
-            ok, differ = passed(rows[later], rows[later - back])
-            hits.append(np.stack([later[ok], differ[ok], later[ok] - back]))
+            i, j, differ = passed(later, later - back)
+            hits.append(np.stack([i, differ, j]))
         near = np.concatenate(hits, axis=1)
         near = near[:, np.lexsort((near[2], near[1], near[0]))]
         forest, last, mine, other = Forest(), -1, [], []
@@ -189,22 +242,30 @@ def _candidates(p: int, q: int):
                 mine.append(i)
                 other.append(j)
             last = i
-        x, y = [np.array(mine, np.int64)], [np.array(other, np.int64)]
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if not short.all() else ():
             if e - s <= SHORT_LIST:
                 continue
-            g, forest, mine, other = rows[s:e], Forest(), [], []
-            for i in range(1, len(g)):
-                ok, differ = passed(g[i : i + 1], g[:i])
-                hits = np.flatnonzero(ok)
-                for k, j in enumerate(hits[np.argsort(differ[hits], kind="stable")].tolist()):
-                    if k == 0 or forest.root(i) != forest.root(j):
-                        forest.link(i, j)
-                        mine.append(s + i)
-                        other.append(s + j)
-            x.append(np.array(mine, np.int64))
-            y.append(np.array(other, np.int64))
+            tree = np.arange(e - s)
+            for i in range(s + 1, e):
+                _, j, differ = passed(np.full(i - s, i), np.arange(s, i))
+                if not len(j):
+                    continue
+                best = j[np.argmin(differ)]
+                label = tree[best - s]
+                mine.append(i)
+                other.append(best)
+                tree[i - s] = label
+                others = tree[j - s] != label
+                if others.any():
+                    labels, where = np.unique(tree[j - s][others], return_index=True)
+                    mine += [i] * len(labels)
+                    other += j[others][where].tolist()
+                    tree[np.isin(tree, labels)] = label
+        x.append(one[np.array(mine, np.int64)])
+        y.append(one[np.array(other, np.int64)])
         a, b = rows[np.concatenate(x)], rows[np.concatenate(y)]
+        differs = (a["doc"] != b["doc"]) | (a["line"] != b["line"])
+        a, b = a[differs], b[differs]
         pairs = np.unique(np.stack([a["doc"], a["line"].astype(np.int64), b["doc"], b["line"].astype(np.int64)], axis=1), axis=0)
         return pa.table({c: pairs[:, i] for i, c in enumerate(("doc", "line", "doc0", "line0"))})
 
@@ -241,7 +302,7 @@ def repeated_lines(
 
     Earlier is a smaller (id, line number); lines are judged on the input, whether or not the earlier one
     is removed itself. Words are ordered by rarity; each line is posted under its prefix. In a posting
-    list, length, position and a 256-bit parity sketch (which never drops a true pair) leave the
+    list, length, position and a 128-bit parity sketch (which never drops a true pair) leave the
     candidates; of these, each line's best and a tree of the rest go on to be verified on full sets.
     Lines that this leaves undecided are compared with all earlier ones of their tree.
     """
@@ -262,13 +323,16 @@ def repeated_lines(
     wanted = stored(ends.groupBy("doc").agg(F.collect_set("line").alias("lines")))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, int, bytes]] = []
-            for i, value, lines in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                some = set(lines)
-                out += [(i, n, s.tobytes()) for n, s in line_sets(value.as_py()) if n in some]
+        for batch, texts in _parts(batches, 1):
+            some = batch.column(2)
+            asked = np.repeat(np.arange(len(texts)), pa.compute.list_value_length(some).to_numpy()) << 40
+            asked |= some.flatten().to_numpy()
+            which, line, size, codes = line_sets(texts, NO_WORDS)
+            wanted = np.flatnonzero(np.isin((which << 40) | line, asked))
+            ends = np.cumsum(size)
+            blobs = [codes[ends[k] - size[k] : ends[k]].tobytes() for k in wanted.tolist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())],
+                [batch.column(0).take(pa.array(which[wanted])), pa.array(line[wanted]), pa.array(blobs, pa.binary())],
                 names=["doc", "line", "codes"],
             )
 
@@ -278,12 +342,18 @@ def repeated_lines(
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(4), batch.column(5), strict=True):
-                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-                n = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(p * n >= q * (len(a) + len(b) - n))
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(keep, pa.bool_()))
+            many = []
+            flat = []
+            for column in (4, 5):
+                many.append(pa.compute.binary_length(batch.column(column)).to_numpy() // 8)
+                flat.append(np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint64))
+            pair = np.concatenate([np.repeat(np.arange(len(batch)), n) for n in many])
+            code = np.concatenate(flat)
+            order = np.lexsort((code, pair))
+            pair, code = pair[order], code[order]
+            common = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (code[1:] == code[:-1])], minlength=len(batch))
+            keep = p * common >= q * (many[0] + many[1] - common)
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(keep))
 
     pairs = links.join(sets, ["doc", "line"]).join(second, ["doc0", "line0"]).select("doc", "line", "doc0", "line0", "codes", "codes0")
     true = stored(pairs.mapInArrow(verify, "doc long, line long, doc0 long, line0 long").select("doc", "line").distinct())

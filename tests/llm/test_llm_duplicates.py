@@ -159,6 +159,25 @@ def test_lines_odd_rows(spark):
     assert lines.drop_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_sets():
+    texts = ["", "b a b\n\n \t\nc", "long" * 200 + " " + "x" * 9 + "\n" + "x" * 17, "\u00e9 a\u00a0b a\x0bb\r\n", "a" + "\x00"]
+    which, line, size, codes = lines.line_sets([t.encode() for t in texts], np.zeros(0, np.uint64))
+    want = [(i, n, set(x.encode().split())) for i, t in enumerate(texts) for n, x in enumerate(t.split("\n")) if x.encode().split()]
+    assert list(zip(which, line, size, strict=True)) == [(i, n, len(s)) for i, n, s in want]
+    named = {}
+    for (_, _, s), part in zip(want, np.split(codes, np.cumsum(size)[:-1]), strict=True):
+        assert list(part) == sorted(part)
+        for w in s:
+            named[w] = int(lines.line_words([w])[2][0])
+        assert {named[w] for w in s} == set(part.tolist())
+    assert len(set(named.values())) == len(named)
+    order = codes[::-3].copy()
+    again = np.split(lines.line_sets([t.encode() for t in texts], order)[3], np.cumsum(size)[:-1])
+    rank = {c: k + 1 for k, c in enumerate(order.tolist())}
+    for part, before in zip(again, np.split(codes, np.cumsum(size)[:-1]), strict=True):
+        assert list(part) == sorted(before, key=lambda c: (rank.get(int(c), 0), c))
+
+
 def test_parity_never_exceeds_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(200):
