@@ -11,9 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofspark.llm.blocks import Forest, blocked, groups_of
+from proofspark.llm.blocks import blocked, groups_of
 from proofspark.llm.common import by_bytes, documents, mixed, shard_count, stored
-from proofspark.llm.components import components
 
 #: Frequent words whose order goes to every task; all others count as rare, ordered by their code.
 FREQUENT = 50_000
@@ -149,7 +148,9 @@ def _entries(docs: DataFrame, text: str, id_column: str, shards: int, order: np.
             shard = (flat % np.uint64(shards)).astype(np.int64)
             out = np.zeros(len(flat), POSTING)
             out["token"] = (flat >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            for name, values in (("doc", doc[own]), ("line", line[own]), ("size", size[own]), *zip(PARITY, parity.T, strict=True)):
+            whole = (names[0][own] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            own_columns = {"doc": doc[own], "line": line[own], "size": size[own], "whole": whole} | dict(zip(PARITY, parity.T, strict=True))
+            for name, values in own_columns.items():
                 out[name] = np.repeat(values, n)
             out["at"] = at
             by = np.argsort(shard, kind="stable")
@@ -159,10 +160,10 @@ def _entries(docs: DataFrame, text: str, id_column: str, shards: int, order: np.
     return docs.select(F.col(id_column).cast("long"), text).mapInArrow(post, "shard long, kind int, packed binary")
 
 
-#: Columns of a posting: token, document, line, words, parity bits, place in the prefix.
+#: Columns of a posting: token, document, line, words, parity bits, code of the whole set, place in the prefix.
 PARITY = ("p0", "p1")
 POSTING = np.dtype(
-    [("token", "<i4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), *((p, "<i8") for p in PARITY), ("at", "<i4")]
+    [("token", "<i4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), *((p, "<i8") for p in PARITY), ("whole", "<i4"), ("at", "<i4")]
 )
 
 
@@ -187,27 +188,44 @@ def _unpacked(blobs: list[bytes]) -> np.ndarray:
     return np.concatenate(out)
 
 
-#: Posting lists up to this length are compared offset by offset, longer ones line by line, as trees.
+#: Posting lists up to this length are compared offset by offset, longer ones line by line.
 SHORT_LIST = 64
 
 
+def _labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least reachable number of each of ``n``, over links x - y."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _candidates(p: int, q: int):
-    """For a shard: links (later line, earlier line) that pass all filters: each line's best, and those that
-    join the trees of a posting list.
+    """For a shard, rows (doc, line, doc0, line0, differ) of three kinds.
+
+    Lines equal to an earlier one have null in doc0. Lines with candidates have the best of each posting list
+    as doc0, line0. Lines that candidates join in a posting list share the code of a cluster, with line0 = -1.
     """
 
-    def find(table: pa.Table) -> pa.Table:
+    def find(key: int, table: pa.Table) -> pa.Table:
         rows = _unpacked([b.as_py() for b in table.column("packed")])
         rows = rows[np.lexsort((rows["line"], rows["doc"], rows["token"]))]
         signed = mixed(rows["token"].astype(np.uint64) ^ mixed(rows["size"].astype(np.uint64) << np.uint64(32) | rows["at"].astype(np.uint64)))
-        for word in PARITY:
-            signed = mixed(signed ^ rows[word].view(np.uint64))
+        for word in (*PARITY, "whole"):
+            signed = mixed(signed ^ rows[word].astype(np.int64).view(np.uint64))
         first, of = np.unique(signed, return_index=True, return_inverse=True)[1:]
-        x, y = [np.flatnonzero(first[of] != np.arange(len(rows)))], []
-        y.append(first[of][x[0]])
-        one = np.sort(first)  # lines that no filter tells apart meet others as one
+        # Equal sets, told by their size, parities and code, meet at their first word; the first stands for all.
+        again = (rows["at"] == 0) & ((rows["doc"] != rows["doc"][first[of]]) | (rows["line"] != rows["line"][first[of]]))
+        one = np.sort(first)
         token, size, at, *parity = (np.ascontiguousarray(rows[name][one]) for name in ("token", "size", "at", *PARITY))
         parity = [word.view(np.uint64) for word in parity]
+        line_of = rows[["doc", "line"]][one]
 
         def passed(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """The pairs that may be similar enough, and in how many parity bits those differ."""
@@ -218,7 +236,7 @@ def _candidates(p: int, q: int):
             differ = np.zeros(len(i), np.int64)
             for word in parity:
                 differ += np.bitwise_count(word[i] ^ word[j])
-            ok = (p + q) * differ <= (p - q) * both
+            ok = ((p + q) * differ <= (p - q) * both) & (line_of[i] != line_of[j])
             return i[ok], j[ok], differ[ok]
 
         cuts = np.flatnonzero(np.diff(token)) + 1
@@ -233,41 +251,34 @@ def _candidates(p: int, q: int):
                 break
             i, j, differ = passed(later, later - back)
             hits.append(np.stack([i, differ, j]))
-        near = np.concatenate(hits, axis=1)
-        near = near[:, np.lexsort((near[2], near[1], near[0]))]
-        forest, last, mine, other = Forest(), -1, [], []
-        for i, j in zip(near[0].tolist(), near[2].tolist(), strict=True):
-            if i != last or forest.root(i) != forest.root(j):
-                forest.link(i, j)
-                mine.append(i)
-                other.append(j)
-            last = i
+        i, differ, j = np.concatenate(hits, axis=1)
+        label = _labels(len(one), i, j)
+        order = np.lexsort((j, differ, i))
+        best = order[np.append(True, i[order][1:] != i[order][:-1])[: len(order)]]
+        links = [np.stack([i[best], j[best], differ[best]])]
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if not short.all() else ():
-            if e - s <= SHORT_LIST:
-                continue
-            tree = np.arange(e - s)
-            for i in range(s + 1, e):
+            for i in range(s + 1, e) if e - s > SHORT_LIST else ():
                 _, j, differ = passed(np.full(i - s, i), np.arange(s, i))
-                if not len(j):
-                    continue
-                best = j[np.argmin(differ)]
-                label = tree[best - s]
-                mine.append(i)
-                other.append(best)
-                tree[i - s] = label
-                others = tree[j - s] != label
-                if others.any():
-                    labels, where = np.unique(tree[j - s][others], return_index=True)
-                    mine += [i] * len(labels)
-                    other += j[others][where].tolist()
-                    tree[np.isin(tree, labels)] = label
-        x.append(one[np.array(mine, np.int64)])
-        y.append(one[np.array(other, np.int64)])
-        a, b = rows[np.concatenate(x)], rows[np.concatenate(y)]
-        differs = (a["doc"] != b["doc"]) | (a["line"] != b["line"])
-        a, b = a[differs], b[differs]
-        pairs = np.unique(np.stack([a["doc"], a["line"].astype(np.int64), b["doc"], b["line"].astype(np.int64)], axis=1), axis=0)
-        return pa.table({c: pairs[:, i] for i, c in enumerate(("doc", "line", "doc0", "line0"))})
+                if len(j):
+                    k = np.argmin(differ)
+                    links.append(np.array([[i], [j[k]], [differ[k]]]))
+                    low = label[j].min()
+                    label[i] = low
+                    if (label[j] != low).any():
+                        label[s:i][np.isin(label[s:i], label[j])] = low
+        i, j, differ = np.concatenate(links, axis=1)
+        joined = np.bincount(label, minlength=len(one))[label] > 1
+        cluster = mixed(token.astype(np.uint64) ^ mixed(np.uint64(key) + mixed(label.astype(np.uint64)))).view(np.int64)
+        a, b, c = rows[one[i]], rows[one[j]], rows[one[joined]]
+        sizes = [int(again.sum()), len(i), len(c)]
+        doc = np.concatenate([rows["doc"][again], a["doc"], c["doc"]])
+        line = np.concatenate([rows["line"][again], a["line"], c["line"]]).astype(np.int64)
+        doc0 = np.concatenate([np.zeros(sizes[0], np.int64), b["doc"], cluster[joined]])
+        line0 = np.concatenate([np.zeros(sizes[0], np.int64), b["line"], np.full(sizes[2], -1)]).astype(np.int64)
+        differ = np.concatenate([np.zeros(sizes[0], np.int64), differ, np.zeros(sizes[2], np.int64)])
+        return pa.table({
+            "doc": doc, "line": line, "doc0": pa.array(doc0, mask=np.arange(len(doc)) < sizes[0]), "line0": line0, "differ": differ,
+        })
 
     return find
 
@@ -303,8 +314,9 @@ def repeated_lines(
     Earlier is a smaller (id, line number); lines are judged on the input, whether or not the earlier one
     is removed itself. Words are ordered by rarity; each line is posted under its prefix. In a posting
     list, length, position and a 128-bit parity sketch (which never drops a true pair) leave the
-    candidates; of these, each line's best and a tree of the rest go on to be verified on full sets.
-    Lines that this leaves undecided are compared with all earlier ones of their tree.
+    candidates; each line's best one is verified on full sets. Lines that this leaves undecided are
+    compared with all earlier ones that candidates join to them in a posting list. Equal sets are told by
+    size, parities and a 32-bit code (wrong for a near pair with a chance below 1 in 10^11).
     """
     p, q = above
     rows = docs.where(F.col(id_column).isNotNull())
@@ -313,14 +325,19 @@ def repeated_lines(
     entries = _entries(rows, text, id_column, shards, order, p, q)
     found = stored(
         entries.groupBy("shard", "kind").applyInArrow(
-            lambda key, table: _candidates(p, q)(table) if key[1].as_py() else _repeats(table),
-            "doc long, line long, doc0 long, line0 long",
+            lambda key, table: _candidates(p, q)(key[0].as_py(), table) if key[1].as_py() else _repeats(table),
+            "doc long, line long, doc0 long, line0 long, differ long",
         )
     )
     exact = found.where("doc0 is null").select("doc", "line")
-    links = stored(found.where("doc0 is not null").distinct())
-    ends = links.select("doc", "line").union(links.select("doc0", "line0")).distinct()
-    wanted = stored(ends.groupBy("doc").agg(F.collect_set("line").alias("lines")))
+    members = found.where("line0 = -1").select("doc", "line", F.col("doc0").alias("cluster"))
+    links = (
+        found.where("doc0 is not null and line0 >= 0")
+        .groupBy("doc", "line")
+        .agg(F.min(F.struct("differ", "doc0", "line0")).alias("best"))
+        .select("doc", "line", "best.doc0", "best.line0")
+    )
+    wanted = members.groupBy("doc").agg(F.collect_set("line").alias("lines"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _parts(batches, 1):
@@ -357,18 +374,14 @@ def repeated_lines(
 
     pairs = links.join(sets, ["doc", "line"]).join(second, ["doc0", "line0"]).select("doc", "line", "doc0", "line0", "codes", "codes0")
     true = stored(pairs.mapInArrow(verify, "doc long, line long, doc0 long, line0 long").select("doc", "line").distinct())
-    open_ = stored(links.join(true, ["doc", "line"], "left_anti").select("doc", "line").distinct())
-    if open_.isEmpty():
+    undecided = links.join(true, ["doc", "line"], "left_anti").select("doc", "line", F.lit(True).alias("undecided"))
+    undecided = stored(undecided)
+    if undecided.isEmpty():
         return exact.union(true).distinct()
-    # Codes of lines only steer: a collision makes one cluster of two.
-    tree = components(links.select(F.xxhash64("doc", "line").alias("u"), F.xxhash64("doc0", "line0").alias("v")))
-    named = sets.select("doc", "line").withColumn("id", F.xxhash64("doc", "line"))
-    tree = stored(named.join(tree, "id").select("doc", "line", F.col("component_id").alias("cluster")))
-    undecided = stored(tree.join(open_, ["doc", "line"]))
     members = (
-        tree.join(undecided.select("cluster").distinct(), "cluster", "left_semi")
+        members.join(members.join(undecided, ["doc", "line"]).select("cluster").distinct(), "cluster", "left_semi")
         .join(sets, ["doc", "line"])
-        .join(undecided.select("doc", "line", F.lit(True).alias("undecided")), ["doc", "line"], "left")
+        .join(undecided, ["doc", "line"], "left")
         .fillna(False, ["undecided"])
         .withColumn("id", F.xxhash64("doc", "line"))
     )
@@ -380,7 +393,7 @@ def repeated_lines(
 def _repeats(table: pa.Table) -> pa.Table:
     rows = np.concatenate([np.frombuffer(b.as_py(), np.int64).reshape(-1, 2) for b in table.column("packed")])
     none = pa.nulls(len(rows), pa.int64())
-    return pa.table({"doc": rows[:, 0], "line": rows[:, 1], "doc0": none, "line0": none})
+    return pa.table({"doc": rows[:, 0], "line": rows[:, 1], "doc0": none, "line0": none, "differ": none})
 
 
 def drop_repeated_lines(
