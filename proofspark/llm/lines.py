@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,10 +125,14 @@ def _parity(codes: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, text: str, id_column: str, shards: int, order: np.ndarray, p: int, q: int) -> DataFrame:
-    """Postings of all lines in packed rows (shard, kind, arrays); kind 0 names lines that repeat one of their part."""
+    """Postings of all lines in packed rows (shard, kind, arrays).
+
+    Kind 0 names lines that repeat one of their part; each part has a shard of its own for them.
+    """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _parts(batches, 1):
+        task = TaskContext.get().partitionId() << 32
+        for part_of_task, (batch, texts) in enumerate(_parts(batches, 1)):
             which, line, size, codes = line_sets(texts, order)
             if not len(line):
                 continue
@@ -139,7 +144,7 @@ def _entries(docs: DataFrame, text: str, id_column: str, shards: int, order: np.
             first = by[np.flatnonzero(new)][np.cumsum(new) - 1]
             again = ~new & ((doc[by] != doc[first]) | (line[by] != line[first]))
             if again.any():
-                yield _packed([(-1, np.stack([doc[by][again], line[by][again]], axis=1))], 0)
+                yield _packed([(task + part_of_task, np.stack([doc[by][again], line[by][again]], axis=1))], 0)
             own = np.sort(by[new])
             n = _prefix(size[own], p, q)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)

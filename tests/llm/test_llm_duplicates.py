@@ -159,6 +159,15 @@ def test_lines_odd_rows(spark):
     assert lines.drop_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeats_of_parts_have_groups_of_their_own(spark):
+    docs = make(spark, ["same words here\nsame words here\nother"] * 40).repartition(8)
+    entries = lines._entries(docs, "text", "doc_id", 2, lines.NO_WORDS, 10, 8)
+    groups = [r["count"] for r in entries.where("kind = 0").groupBy("shard").count().collect()]
+    assert len(groups) == 8 and max(groups) == 1
+    gone = lines.repeated_lines(docs)
+    assert {(r.doc, r.line) for r in gone.collect()} == {(i, n) for i in range(40) for n in range(3) if i or n == 1}
+
+
 def test_line_sets():
     texts = ["", "b a b\n\n \t\nc", "long" * 200 + " " + "x" * 9 + "\n" + "x" * 17, "\u00e9 a\u00a0b a\x0bb\r\n", "a" + "\x00"]
     which, line, size, codes = lines.line_sets([t.encode() for t in texts], np.zeros(0, np.uint64))
