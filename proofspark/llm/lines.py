@@ -19,6 +19,10 @@ from proofspark.llm.common import by_bytes, documents, mixed, shard_count, store
 FREQUENT = 50_000
 #: Characters whose postings a task holds at once, and bytes of text that one shard of postings stands for.
 PART_BYTES = 8 << 20
+#: Posting lists beyond so many lines are split into blocks of about so many; how many such lists are told to all tasks.
+HOT_LIST, MOST_HOT = 8192, 100_000
+#: One in so many documents is asked for long posting lists, and each one beyond so many characters.
+SAMPLE, LONG_TEXT = 16, 1 << 16
 NO_WORDS = np.zeros(0, np.uint64)
 SHARD_TEXT = 8 << 20
 
@@ -124,10 +128,44 @@ def _parity(codes: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _entries(docs: DataFrame, text: str, id_column: str, shards: int, order: np.ndarray, p: int, q: int) -> DataFrame:
+def _prefixes(size: np.ndarray, codes: np.ndarray, own: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For some lines, how many postings each has, and the place and code of each posting."""
+    starts = np.cumsum(size) - size
+    n = _prefix(size[own], p, q)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return n, at, mixed(codes[np.repeat(starts[own], n) + at])
+
+
+def hot_tokens(docs: DataFrame, text: str, order: np.ndarray, p: int, q: int, least: int, sample: int = SAMPLE) -> np.ndarray:
+    """Sorted codes of the longest posting lists, of more than about ``least`` lines.
+
+    Counted on a hashed sample of the texts and on all long ones. It only decides how work is split, not results.
+    """
+    long = F.length(text) > LONG_TEXT
+    weight = F.when(long, 1).otherwise(sample).cast("long")
+    some = docs.where(long | (F.pmod(F.xxhash64(text, F.lit(9)), F.lit(sample)) == 0)).select(weight, text)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _parts(batches, 1):
+            which, _, size, codes = line_sets(texts, order)
+            n, _, flat = _prefixes(size, codes, np.arange(len(size)), p, q)
+            each = np.repeat(batch.column(0).to_numpy()[which], n)
+            token, of = np.unique(flat, return_inverse=True)
+            total = np.bincount(of, each, len(token)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(total)], names=["code", "n"])
+
+    counted = some.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    top = counted.orderBy(F.desc("n"), "code").limit(MOST_HOT).collect()
+    return np.sort(np.array([r["code"] for r in top], np.int64).view(np.uint64))
+
+
+def _entries(
+    docs: DataFrame, text: str, id_column: str, shards: int, order: np.ndarray, p: int, q: int, hot: np.ndarray = NO_WORDS
+) -> DataFrame:
     """Postings of all lines in packed rows (shard, kind, arrays).
 
-    Kind 0 names lines that repeat one of their part; each part has a shard of its own for them.
+    Kind 0 names lines that repeat one of their part, kind 2 holds postings of the lists ``hot``, with 64-bit
+    tokens; each part has a shard of its own for these.
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,9 +184,7 @@ def _entries(docs: DataFrame, text: str, id_column: str, shards: int, order: np.
             if again.any():
                 yield _packed([(task + part_of_task, np.stack([doc[by][again], line[by][again]], axis=1))], 0)
             own = np.sort(by[new])
-            n = _prefix(size[own], p, q)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            flat = mixed(codes[np.repeat(starts[own], n) + at])
+            n, at, flat = _prefixes(size, codes, own, p, q)
             parity = _parity(codes, size)[own]
             shard = (flat % np.uint64(shards)).astype(np.int64)
             out = np.zeros(len(flat), POSTING)
@@ -158,9 +194,16 @@ def _entries(docs: DataFrame, text: str, id_column: str, shards: int, order: np.
             for name, values in own_columns.items():
                 out[name] = np.repeat(values, n)
             out["at"] = at
+            if len(hot):
+                long = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] == flat
+                if long.any():
+                    wide = np.concatenate([flat[long].astype("<u8").view(np.uint8), out[long].view(np.uint8)])
+                    yield _packed([(task + part_of_task, wide)], 2)
+                shard, out = shard[~long], out[~long]
             by = np.argsort(shard, kind="stable")
             cuts = np.flatnonzero(np.diff(shard[by])) + 1
-            yield _packed([(int(shard[part[0]]), out[part]) for part in np.split(by, cuts)], 1)
+            if len(by):
+                yield _packed([(int(shard[part[0]]), out[part]) for part in np.split(by, cuts)], 1)
 
     return docs.select(F.col(id_column).cast("long"), text).mapInArrow(post, "shard long, kind int, packed binary")
 
@@ -173,7 +216,7 @@ POSTING = np.dtype(
 
 
 def _packed(parts: list[tuple[int, np.ndarray]], kind: int) -> pa.RecordBatch:
-    blobs = [rows.tobytes() if kind == 0 else b"".join(rows[name].tobytes() for name in POSTING.names) for _, rows in parts]
+    blobs = [rows.tobytes() if kind != 1 else b"".join(rows[name].tobytes() for name in POSTING.names) for _, rows in parts]
     return pa.RecordBatch.from_arrays(
         [pa.array([s for s, _ in parts], pa.int64()), pa.array([kind] * len(parts), pa.int32()), pa.array(blobs, pa.binary())],
         names=["shard", "kind", "packed"],
@@ -211,6 +254,22 @@ def _labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _passing(p: int, q: int, size: np.ndarray, at: np.ndarray, parity: list[np.ndarray], line_of: np.ndarray):
+    def passed(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs that may be similar enough, and in how many parity bits those differ."""
+        a, b = size[i].astype(np.int64), size[j].astype(np.int64)
+        left = np.minimum(a - at[i], b - at[j]) + np.minimum(at[i], at[j])
+        ok = (p * np.minimum(a, b) >= q * np.maximum(a, b)) & ((p + q) * left >= q * (a + b))
+        i, j, both = i[ok], j[ok], (a + b)[ok]
+        differ = np.zeros(len(i), np.int64)
+        for word in parity:
+            differ += np.bitwise_count(word[i] ^ word[j])
+        ok = ((p + q) * differ <= (p - q) * both) & (line_of[i] != line_of[j])
+        return i[ok], j[ok], differ[ok]
+
+    return passed
+
+
 def _candidates(p: int, q: int):
     """For a shard, rows (doc, line, doc0, line0, differ) of three kinds.
 
@@ -232,18 +291,7 @@ def _candidates(p: int, q: int):
         parity = [word.view(np.uint64) for word in parity]
         line_of = rows[["doc", "line"]][one]
 
-        def passed(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """The pairs that may be similar enough, and in how many parity bits those differ."""
-            a, b = size[i].astype(np.int64), size[j].astype(np.int64)
-            left = np.minimum(a - at[i], b - at[j]) + np.minimum(at[i], at[j])
-            ok = (p * np.minimum(a, b) >= q * np.maximum(a, b)) & ((p + q) * left >= q * (a + b))
-            i, j, both = i[ok], j[ok], (a + b)[ok]
-            differ = np.zeros(len(i), np.int64)
-            for word in parity:
-                differ += np.bitwise_count(word[i] ^ word[j])
-            ok = ((p + q) * differ <= (p - q) * both) & (line_of[i] != line_of[j])
-            return i[ok], j[ok], differ[ok]
-
+        passed = _passing(p, q, size, at, parity, line_of)
         cuts = np.flatnonzero(np.diff(token)) + 1
         starts, ends = np.append(0, cuts), np.append(cuts, len(one))
         place = np.arange(len(one)) - np.repeat(starts, ends - starts)
@@ -288,6 +336,83 @@ def _candidates(p: int, q: int):
     return find
 
 
+def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed postings of long lists as rows."""
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            n = len(blob) // (8 + POSTING.itemsize)
+            token, rows = np.frombuffer(blob, "<i8", n), np.frombuffer(blob, POSTING, n, 8 * n)
+            for begin in range(0, n, 1 << 16):
+                part = rows[begin : begin + (1 << 16)]
+                columns = [pa.array(token[begin : begin + len(part)])] + [pa.array(np.ascontiguousarray(part[c])) for c in POSTING.names[1:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", *POSTING.names[1:]])
+
+
+def _hot_candidates(p: int, q: int):
+    """For a pair of blocks of long posting lists, the same links and clusters as ``_candidates``; all sets are distinct."""
+
+    def find(table: pa.Table) -> pa.Table:
+        names = ("token", "doc", "line", "size", "at", *PARITY)
+        token, doc, line, size, at, *parity = (table.column(c).to_numpy() for c in names)
+        earlier = np.empty(len(doc), np.int64)
+        earlier[np.lexsort((line, doc))] = np.arange(len(doc))
+        line_of = np.rec.fromarrays([doc, line], names="doc,line").view(np.ndarray)
+        passed = _passing(p, q, size, at.astype(np.int64), [word.view(np.uint64) for word in parity], line_of)
+        cell = [table.column(c)[0].as_py() if len(doc) else 0 for c in ("_i", "_j")]
+        rows = []
+        for mine, others in groups_of(table, ["token"]):
+            same = mine is others
+            both = mine if same else np.concatenate([mine, others])
+            both = both[np.argsort(earlier[both])]
+            place = np.zeros(len(doc), np.int64)
+            place[both] = np.arange(len(both))
+            best, least = np.full(len(both), -1), np.full(len(both), np.iinfo(np.int64).max)
+            label = np.arange(len(both))
+            for k, i in enumerate(both.tolist()) if same else ((place[i], i) for i in mine.tolist()):
+                right = both[:k] if same else others
+                _, j, differ = passed(np.full(len(right), i), right)
+                if not len(j):
+                    continue
+                j = place[j]
+                late = j > k
+                closer = j[late][differ[late] < least[j[late]]]
+                least[closer], best[closer] = differ[late][differ[late] < least[j[late]]], k
+                if not late.all():
+                    near = np.argmin(differ[~late])
+                    if differ[~late][near] < least[k]:
+                        least[k], best[k] = differ[~late][near], j[~late][near]
+                low = min(label[k], label[j].min())
+                if label[k] != low or (label[j] != low).any():
+                    label[np.isin(label, np.append(label[j], label[k]))] = low
+            linked = np.flatnonzero(best >= 0)
+            joined = np.flatnonzero(np.bincount(label, minlength=len(both))[label] > 1)
+            name = mixed(mixed(token[both[:1]].view(np.uint64) ^ np.uint64(0xC3)) + np.uint64(cell[0] << 32 | cell[1]))
+            cluster = mixed(name ^ mixed(label[joined].astype(np.uint64))).view(np.int64)
+            a, b, c = both[linked], both[best[linked]], both[joined]
+            rows.append((doc[a], line[a], doc[b], line[b], least[linked]))
+            rows.append((doc[c], line[c], cluster, np.full(len(c), -1), np.zeros(len(c), np.int64)))
+        out = [np.concatenate([r[k] for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64) for k in range(5)]
+        return pa.table(dict(zip(("doc", "line", "doc0", "line0", "differ"), out, strict=True)))
+
+    return find
+
+
+def _hot_lists(packed: DataFrame, p: int, q: int, block: int) -> DataFrame:
+    """What ``_candidates`` gives, for long posting lists: pairs of their blocks are tasks, equal sets are one before."""
+    names = [c for c in POSTING.names if c not in ("doc", "line")]
+    types = {"<i4": "int", "<i8": "long"}
+    schema = ", ".join(["token long", *(f"{c} {types[POSTING[c].str]}" for c in POSTING.names[1:])])
+    rows = packed.mapInArrow(_hot_rows, schema)
+    distinct = stored(rows.groupBy(*names).agg(F.min(F.struct("doc", "line")).alias("first")).select(*names, "first.*"))
+    first = distinct.where("at = 0").select(*names, F.col("doc").alias("doc0"), F.col("line").alias("line0"))
+    again = rows.where("at = 0").join(first, names).where("doc != doc0 or line != line0")
+    none = F.lit(None).cast("long")
+    exact = again.select("doc", F.col("line").cast("long").alias("line"), none.alias("doc0"), none.alias("line0"), none.alias("differ"))
+    cells = blocked(distinct.withColumn("id", F.xxhash64("doc", "line")), ["token"], "id", block=block, shard_rows=4 * block)
+    near = cells.groupBy("_cell", "_i", "_j").applyInArrow(_hot_candidates(p, q), "doc long, line long, doc0 long, line0 long, differ long")
+    return stored(exact.union(near))
+
+
 def _settle(p: int, q: int):
     """For a cluster cell: undecided lines with an earlier line that is similar enough."""
 
@@ -319,7 +444,8 @@ def repeated_lines(
     Earlier is a smaller (id, line number); lines are judged on the input, whether or not the earlier one
     is removed itself. Words are ordered by rarity; each line is posted under its prefix. In a posting
     list, length, position and a 128-bit parity sketch (which never drops a true pair) leave the
-    candidates; each line's best one is verified on full sets. Lines that this leaves undecided are
+    candidates; each line's best one is verified on full sets. Lists of more than about ``HOT_LIST`` lines
+    are cut into blocks, and pairs of blocks are tasks. Lines that this leaves undecided are
     compared with all earlier ones that candidates join to them in a posting list. Equal sets are told by
     size, parities and a 32-bit code (wrong for a near pair with a chance below 1 in 10^11).
     """
@@ -327,13 +453,25 @@ def repeated_lines(
     rows = docs.where(F.col(id_column).isNotNull())
     shards = shard_count(docs, text, size=SHARD_TEXT)
     order = frequent_words(rows, text, frequent)
-    entries = _entries(rows, text, id_column, shards, order, p, q)
+    hot = hot_tokens(rows, text, order, p, q, HOT_LIST)
+    entries = _entries(rows, text, id_column, shards, order, p, q, hot)
+    candidates = _candidates(p, q)
+
+    def find(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        kind = key[1].as_py()
+        if kind == 2:
+            none = pa.nulls(len(table), pa.int64())
+            return pa.table({c: none for c in ("doc", "line", "doc0", "line0", "differ")} | {"packed": table.column("packed")})
+        out = candidates(key[0].as_py(), table) if kind else _repeats(table)
+        return out.append_column("packed", pa.nulls(len(out), pa.binary()))
+
     found = stored(
-        entries.groupBy("shard", "kind").applyInArrow(
-            lambda key, table: _candidates(p, q)(key[0].as_py(), table) if key[1].as_py() else _repeats(table),
-            "doc long, line long, doc0 long, line0 long, differ long",
-        )
+        entries.groupBy("shard", "kind").applyInArrow(find, "doc long, line long, doc0 long, line0 long, differ long, packed binary")
     )
+    packed = found.where("packed is not null").select("packed")
+    found = found.where("packed is null").drop("packed")
+    if len(hot):
+        found = found.union(_hot_lists(packed, p, q, HOT_LIST))
     exact = found.where("doc0 is null").select("doc", "line")
     members = found.where("line0 = -1").select("doc", "line", F.col("doc0").alias("cluster"))
     links = (

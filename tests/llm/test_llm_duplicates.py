@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 
@@ -168,6 +169,25 @@ def test_repeats_of_parts_have_groups_of_their_own(spark):
     assert {(r.doc, r.line) for r in gone.collect()} == {(i, n) for i in range(40) for n in range(3) if i or n == 1}
 
 
+def test_long_posting_lists_are_split(spark, monkeypatch):
+    r = random.Random(11)
+    template = "posted by {} on the board of all members today at noon".format
+    texts = ["\n".join([template(f"name{r.randrange(150)}") for _ in range(3)] + [f"u{r.random()} v w{r.randrange(9)} x y"]) for _ in range(80)]
+    texts += variants(3, 10)[:-1]
+    rows = make(spark, texts).repartition(3)
+    monkeypatch.setattr(lines, "HOT_LIST", 16)
+    monkeypatch.setattr(lines, "hot_tokens", functools.partial(lines.hot_tokens, sample=1))
+    cells, sizes = lines.blocked, []
+    monkeypatch.setattr(lines, "blocked", lambda *a, **k: sizes.append(cells(*a, **k)) or sizes[-1])
+    assert {(x.doc, x.line) for x in lines.repeated_lines(rows, frequent=20).collect()} == brute_lines(texts)
+    hot = lines.hot_tokens(rows, "text", lines.NO_WORDS, 10, 8, 16)
+    assert len(hot) and len(lines.hot_tokens(rows, "text", lines.NO_WORDS, 10, 8, 100_000)) == 0
+    assert sizes[0].where("_i < _j").count() > 0
+    kinds = lines._entries(rows, "text", "doc_id", 8, lines.NO_WORDS, 10, 8, hot).where("kind = 1").select("packed").collect()
+    left = lines._unpacked([k.packed for k in kinds])["token"]
+    assert not np.isin(left, (hot >> np.uint64(32)).astype(np.uint32).view(np.int32)).any()
+
+
 def test_line_sets():
     texts = ["", "b a b\n\n \t\nc", "long" * 200 + " " + "x" * 9 + "\n" + "x" * 17, "\u00e9 a\u00a0b a\x0bb\r\n", "a" + "\x00"]
     which, line, size, codes = lines.line_sets([t.encode() for t in texts], np.zeros(0, np.uint64))
