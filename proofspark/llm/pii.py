@@ -7,13 +7,37 @@ from pyspark.sql import functions as F
 
 from proofspark.llm.common import documents
 
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Numbers of the length of their country; of countries not named, of any length up to the next account number."""
+
+    def groups(n: int) -> str:
+        return f"(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+
+    known = [f"(?:{c.replace(' ', '|')})[0-9]{{2}}{groups(n - 4)}" for n, c in IBAN_LENGTHS.items()]
+    named = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    start = f"(?!(?:{named})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2}})"
+    other = f"[A-Z]{{2}}[0-9]{{2}}(?: ?{start}[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+    each = "|".join(f"{k}(?![A-Za-z0-9])" for k in [*known, other])
+    return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{each})"
+
+
 #: What is looked for, in order of precedence; one alternation, so that a place has one kind.
 #: Fixed formats: addresses, numbers and dates of the named kinds.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9][A-Za-z0-9\-]{0,62}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
-    "assigned": r"(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api_?key)(?: ?[=:] ?)[\"']?[A-Za-z0-9_\-/+]{8,128}",
+    "iban": _iban_pattern(),
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-(?:[A-Za-z0-9]{20}|(?=[A-Za-z_\-]*[0-9])[A-Za-z0-9_\-]{20})[A-Za-z0-9_\-]*)(?![A-Za-z0-9])",
+    "assigned": r"(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api_?key)(?: ?[=:] ?)[\"']?[A-Za-z0-9_\-/+]{8}(?:[A-Za-z0-9_\-/+.=~!@#$%^*:?]*[A-Za-z0-9_\-/+=~!@#$%^])?",
     "quoted_key": r"\"[0-9a-f]{32,64}\"",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "iso_date": r"(?<![0-9\-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9\-])",
@@ -25,7 +49,7 @@ PATTERNS = {
 }
 ANY = "(?:" + "|".join(PATTERNS.values()) + ")"
 #: Quick test that spares most texts the search: what every pattern needs.
-HINT = r"[0-9@]|[=:] ?[\"']?[A-Za-z0-9_\-/+]{8}"
+HINT = r"[0-9@]|[=:] ?[\"']?[A-Za-z0-9_\-/+]{8}|gh[pousr]_[A-Za-z]{36}|sk-[A-Za-z]{20}"
 DATES = {"iso_date": "yyyy-MM-dd", "slash_date": "dd/MM/yyyy", "dot_date": "dd.MM.yyyy"}
 #: Dates are permuted among the 270 * 271 days from this one on.
 FIRST_DAY, DAYS = "1900-01-01", (270, 271)
@@ -188,7 +212,10 @@ def _value(m: Column, prefix: str, suffix: str, key: Column, capital: bool = Fal
     head, tail = F.regexp_extract(m, prefix, 0), F.regexp_extract(m, suffix, 0)
     n = F.length(m) - F.length(head) - F.length(tail)
     body = m.substr(F.length(head) + 1, n)
-    stream = F.concat(_hash(key, "value", body), _hash(key, "value2", body))
+    seed = _hash(key, "value", body)
+    more = lambda i: _hash(key, F.concat(F.lit("value"), (i + 1).cast("string")), seed)
+    rest = F.when(n > 128, F.array_join(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.floor((n - 1) / 64).cast("int"))), more), ""))
+    stream = F.concat(seed, _hash(key, "value2", body), F.coalesce(rest, F.lit("")))
     return F.concat(head, (F.upper(stream) if capital else stream).substr(F.lit(1), n), tail)
 
 

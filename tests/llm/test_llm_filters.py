@@ -141,6 +141,34 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert int(number) % 97 == 1 and iban[:2] == "DE" and "DE88370400440532013000" in got[3]
 
 
+def test_account_numbers_before_capitals(spark):
+    ibans = ["AT611904300234573201", "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "SE4550000000058398257466", "DE89 3704 0044 0532 0130 00", "NO9386011117947"]
+    texts = [f"{front}{iban}{end}" for iban in ibans for front in ("", "XX12 ") for end in ("", " BIC", " 7 EUR", " 2024", ".")]
+    got = [r.text for r in pii.pseudonymize(make(spark, texts), "k").orderBy("doc_id").collect()]
+    for t, g, iban in zip(texts, got, [i for i in ibans for _ in range(10)], strict=True):
+        front, end = t.split(iban)
+        new = g.removeprefix(front).removesuffix(end)
+        plain = new.replace(" ", "")
+        assert new != iban and len(new) == len(iban) and g == front + new + end
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert len({g.removeprefix("XX12 ")[:15] for g in got}) == len(ibans)
+
+
+def test_secrets_are_replaced_to_their_end(spark):
+    run = lambda n: "".join("aB3dE6gHjK"[(i * i + i // 7) % 10] for i in range(n))
+    jwt = f"eyJhbGciOiJI.{run(300)}.{run(43)}-_"
+    secrets = [f"sk-{run(100)}", f"sk-proj-{run(70)}_{run(40)}-{run(9)}", "sk-" + "abcdefghij" * 3, f"ghp_{run(60)}", f"token={jwt}", f"password: {run(5000)}", f"api_key='{run(20)}=='", f"secret={run(9)}!x$"]
+    texts = [f"see {s} end." for s in secrets] + [f"see token={jwt}.", "a sk-learn and task-abcdefghijklmnopqrstuvwxyz1"]
+    rows = pii.pseudonymize(make(spark, texts), "k").orderBy("doc_id").collect()
+    got = [r.text for r in rows]
+    assert [r.n_replaced for r in rows] == [1] * 9 + [0] and got[9] == texts[9]
+    for t, g in zip(texts[:9], got[:9], strict=True):
+        assert len(t) == len(g) and g[-5:].lstrip("0123456789abcdefABCDEF") in (t[-5:], "' end."[-5:], " end.", ".")
+        assert not any(t[i : i + 12] in g for i in range(len("see password: "), len(t) - 17))
+    body = got[5].removeprefix("see password: ").removesuffix(" end.")
+    assert len(body) == 5000 and set(body) <= set("0123456789abcdef") and body[:64] != body[64:128] != body[128:192] != body[192:256]
+
+
 def test_pseudonyms_need_no_python(spark, capsys):
     pii.op6_pii(spark, FOLDER).explain()
     assert not any(w in capsys.readouterr().out for w in ("Python", "Arrow", "Pandas"))
