@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,10 @@ from proofspark.llm.common import documents, mixed, shard_count, stored
 GRAM = 16
 #: Bytes of text that one shard stands for; a suffix array takes about 100 bytes a character.
 SHARD_TEXT = 2 << 20
+#: Anchors of more than about so many texts don't gather in a shard; how many of them are told to all tasks.
+HOT_ANCHOR, MOST_HOT = 4096, 100_000
+#: One in so many texts is asked for such anchors, and each one beyond so many characters.
+SAMPLE, LONG_TEXT = 16, 1 << 16
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -196,6 +201,28 @@ def _spans(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray,
     return doc[at], start[at], start[np.append(at[1:], len(doc)) - 1] + length
 
 
+def hot_anchors(rows: DataFrame, length: int, least: int, sample: int = SAMPLE) -> np.ndarray:
+    """Sorted codes of the anchors in most texts, of more than about ``least``.
+
+    Counted on a hashed sample of the texts and on all long ones. It only decides how work is split, not results.
+    """
+    long = F.length("text") > LONG_TEXT
+    weight = F.when(long, 1).otherwise(sample).cast("long")
+    some = rows.where(long | (F.pmod(F.xxhash64("text", F.lit(9)), F.lit(sample)) == 0)).select(weight, "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [np.unique(anchors(v.as_py().encode("utf-8", "surrogatepass"), length)[1]) for v in batch.column(1)]
+            each = np.repeat(batch.column(0).to_numpy(), [len(c) for c in codes])
+            code, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes]), return_inverse=True)
+            total = np.bincount(of, each, len(code)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(total)], names=["code", "n"])
+
+    counted = some.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    top = counted.orderBy(F.desc("n"), "code").limit(MOST_HOT).collect()
+    return np.sort(np.array([r["code"] for r in top], np.int64).view(np.uint64))
+
+
 def repeated_bytes(docs: DataFrame, length: int = 50, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """For each document: id, n_bytes, n_removed, n_spans, kept_sha256 and the remaining bytes as ``kept``.
 
@@ -203,7 +230,8 @@ def repeated_bytes(docs: DataFrame, length: int = 50, text: str = "text", id_col
     in the input. Equal texts are one, owned by the smallest id; its copies go whole. Texts are routed by
     anchors: grams that any string of ``length`` bytes must hold. Anchors that only one text has are
     dropped (codes in packed rows, no text moves); around the others, the segment with all strings that
-    hold the anchor goes to the anchor's shard, where ``least_owners`` finds the strings.
+    hold the anchor goes to the anchor's shard, where ``least_owners`` finds the strings. Around an anchor of
+    very many texts, the strings go one by one and are grouped by their own bytes.
 
     A null text is empty and has no bytes. Rows with a null id are returned whole: nothing is removed from
     them or owned by them. Rows that repeat an id are one document: they own nothing before each other,
@@ -212,9 +240,11 @@ def repeated_bytes(docs: DataFrame, length: int = 50, text: str = "text", id_col
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shards = shard_count(docs, text, size=SHARD_TEXT)
     reach = length - GRAM
+    hot = hot_anchors(rows.where("doc is not null"), length, HOT_ANCHOR)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        task = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(batches):
             own, codes = [], []
             for value in batch.column(0):
                 data = value.as_py().encode("utf-8", "surrogatepass")
@@ -223,6 +253,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, text: str = "text", id_col
                 own.append(np.full(len(some), xxhash.xxh3_64_intdigest(data), np.uint64))
             code, text_code = np.concatenate(codes), np.concatenate(own)
             shard = (mixed(code) % np.uint64(shards)).astype(np.int64)
+            shard[np.isin(code, hot)] = -1 - task - k  # known to be shared: a group a batch
             order = np.argsort(shard, kind="stable")
             cuts = np.flatnonzero(np.diff(shard[order])) + 1
             parts = [p for p in np.split(order, cuts) if len(p)]
@@ -232,13 +263,14 @@ def repeated_bytes(docs: DataFrame, length: int = 50, text: str = "text", id_col
                 names=["shard", "codes", "texts"],
             )
 
-    def shared(table: pa.Table) -> pa.Table:
+    def shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         code, own = (np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in table.column(c)]) for c in ("codes", "texts"))
         order = np.lexsort((own, code))
         code, own = code[order], own[order]
         run = np.append(True, code[1:] != code[:-1])
         other = np.append(False, (own[1:] != own[:-1]) & ~run[1:])
         several = np.logical_or.reduceat(other, np.flatnonzero(run))[np.cumsum(run) - 1] if len(code) else other
+        several |= key[0].as_py() < 0
         code, own = code[several], own[several]
         order = np.argsort(own, kind="stable")
         code, own = code[order], own[order]
@@ -275,7 +307,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, text: str = "text", id_col
                 data = value.as_py().encode("utf-8", "surrogatepass")
                 want = np.unique(np.concatenate([np.frombuffer(c.as_buffer(), np.uint64) for c in some]))
                 at, code = anchors(data, length)
-                hit = np.isin(code, want)
+                hit = np.isin(code, want) & ~np.isin(code, hot)
                 for a, c in zip(at[hit].tolist(), (mixed(code[hit]) % np.uint64(shards)).tolist(), strict=True):
                     low = max(0, a - reach)
                     shard.append(c)
@@ -289,6 +321,23 @@ def repeated_bytes(docs: DataFrame, length: int = 50, text: str = "text", id_col
                     )
                     shard, doc, begin, piece = [], [], [], []
 
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The strings around hot anchors, each place once."""
+        for batch in batches:
+            for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = value.as_py().encode("utf-8", "surrogatepass")
+                at, code = anchors(data, length)
+                at = at[np.isin(code, hot)]
+                edges = np.zeros(len(data) + 1, np.int64)
+                np.add.at(edges, np.maximum(at - reach, 0), 1)
+                np.add.at(edges, at + 1, -1)
+                begin = np.flatnonzero(np.cumsum(edges)[: max(0, len(data) - length + 1)] > 0)
+                for some in np.array_split(begin, len(begin) // 50_000 + 1) if len(begin) else ():
+                    piece = [data[a : a + length] for a in some.tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(some), i)), pa.array(some), pa.array(piece, pa.binary())], names=["doc", "lo", "piece"]
+                    )
+
     def find(table: pa.Table) -> pa.Table:
         doc, begin = table.column("doc").to_numpy(), table.column("begin").to_numpy()
         number: dict[bytes, int] = {}  # equal segments are sorted once
@@ -308,6 +357,11 @@ def repeated_bytes(docs: DataFrame, length: int = 50, text: str = "text", id_col
 
     segments = asked.select("doc", "text", "codes").mapInArrow(cut, "shard long, doc long, begin long, piece binary")
     spans = segments.groupBy("shard").applyInArrow(find, "doc long, lo long, hi long")
+    if len(hot):
+        places = stored(asked.select("doc", "text").mapInArrow(strings, "doc long, lo long, piece binary"))
+        least = places.groupBy("piece").agg(F.min("doc").alias("least"))
+        hits = places.join(least, "piece").where("doc > least")
+        spans = spans.union(hits.select("doc", "lo", (F.col("lo") + length).alias("hi")))
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -268,6 +268,22 @@ def test_bytes(spark):
         assert (texts[i] or "").encode() == kept if r.kept is None else bytes(r.kept) == kept
 
 
+def test_hot_anchors_are_split(spark, monkeypatch):
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    phrase = word(16) + word(20)
+    texts = [f"{word(60)}{r.choice('xy') * 30}{phrase}{r.choice('pq') * 8}{word(60)}" for _ in range(40)]
+    texts += variants(6, 10)[:-1] + ["é" * 60, "aé" * 40, "z" * 500]
+    monkeypatch.setattr(suffix, "HOT_ANCHOR", 6)
+    monkeypatch.setattr(suffix, "hot_anchors", functools.partial(suffix.hot_anchors, sample=1))
+    rows = make(spark, texts).repartition(3)
+    hot = suffix.hot_anchors(rows.fillna(""), 50, 6)
+    assert len(hot) and np.isin(suffix.anchors(texts[0].encode(), 50)[1], hot).any()
+    got = {x.doc_id: x for x in suffix.repeated_bytes(rows).collect()}
+    for i, (n, removed, spans, sha, _) in enumerate(brute_bytes(texts)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (n, removed, spans, sha)
+
+
 def test_bytes_odd_rows(spark):
     long = "q" * 20 + "w" * 40
     rows = [(None, long), (1, long), (1, long), (2, long), (3, None)]
