@@ -72,3 +72,46 @@ SELECT doc_id, n::BIGINT AS n, form,
   sha256(text) AS restored_sha256
 FROM p
 """
+
+PREFIX_TRIE = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS code, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, code, strlen(text) AS bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, code) AS p FROM t
+), c AS (
+  SELECT conv_id AS c, conv_id - conv_id % 5 AS lender, count(*) AS n,
+    xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+      lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) % 9 AS h
+  FROM t GROUP BY conv_id
+), turns AS (
+  SELECT c.c, own.p AS d, code, bytes FROM c JOIN own ON own.conv_id = c.lender AND own.p <= c.h
+  UNION ALL
+  SELECT c.c, own.p - c.h + least(c.h, coalesce(l.n, 0)), code, bytes
+  FROM c JOIN own ON own.conv_id = c.c AND own.p > c.h LEFT JOIN c l ON l.c = c.lender
+), coded AS (
+  SELECT c, d, bytes, string_agg(code, '') OVER (PARTITION BY c ORDER BY d) AS code,
+    d = max(d) OVER (PARTITION BY c) AS last
+  FROM turns
+), paths AS (
+  SELECT c, d, bytes, code, last, coalesce(lag(code) OVER (PARTITION BY c ORDER BY d), '') AS parent FROM coded
+  UNION ALL
+  SELECT c, 0, 0, '', NOT EXISTS (SELECT 1 FROM turns WHERE turns.c = c.c), NULL FROM c
+), nodes AS (
+  SELECT d, code, any_value(parent) AS parent, min(c) AS owner, count(*) AS n, any_value(bytes) AS bytes,
+    coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '') AS ends
+  FROM paths GROUP BY d, code
+), children AS (
+  SELECT d - 1 AS d, parent AS code, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), whole AS (
+  SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (d, code)
+), sums AS (
+  SELECT p.d, p.code, sum((u.n_children = 0)::BIGINT) AS n_leaves, sum((u.n - 1) * u.bytes) AS saved_tokens
+  FROM whole u JOIN paths p ON p.c = u.owner AND p.d <= u.d GROUP BY p.d, p.code
+)
+SELECT w.owner AS conv_id, w.d AS depth, up.owner AS parent_conv_id, w.n AS n_convs, w.n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM whole w JOIN sums s USING (d, code) LEFT JOIN nodes up ON up.d = w.d - 1 AND up.code = w.parent
+"""
