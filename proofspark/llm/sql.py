@@ -115,3 +115,65 @@ SELECT w.owner AS conv_id, w.d AS depth, up.owner AS parent_conv_id, w.n AS n_co
   s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
 FROM whole w JOIN sums s USING (d, code) LEFT JOIN nodes up ON up.d = w.d - 1 AND up.code = w.parent
 """
+
+#: Redirects and canonical links are read where they give a whole address or one from the site's root.
+URL_FILTERS = r"""
+WITH RECURSIVE rules AS (
+  SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+    ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS t(kind, rule_host, rule_path)
+), tags AS (
+  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages
+  WHERE contains(url, '://') AND regexp_matches(html, '(?i)canonical|refresh')
+), links AS (
+  SELECT url, trim(replace(target, '&amp;', '&')) AS target FROM (
+    SELECT url, regexp_extract(tag, '(?is)href\s*=\s*["'']?([^"''>]*)', 1) AS target FROM tags
+    WHERE regexp_matches(tag, '(?is)^<link.*rel\s*=\s*["'']?canonical')
+    UNION ALL
+    SELECT url, regexp_extract(tag, '(?is)content\s*=\s*["'']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*([^"''>]*)', 1) FROM tags
+    WHERE regexp_matches(tag, '(?is)^<meta.*http-equiv\s*=\s*["'']?refresh'))
+), linked AS (
+  SELECT url AS a, CASE WHEN starts_with(target, '/') THEN regexp_extract(url, '^[^/]*//[^/?#]*') || target ELSE target END AS b
+  FROM links WHERE target <> ''
+), addresses AS (
+  SELECT url FROM pages WHERE contains(url, '://') UNION SELECT b FROM linked
+), parts AS (
+  SELECT url, substr(url, position('://' IN url) + 3) AS rest,
+    translate(regexp_extract(substr(url, position('://' IN url) + 3), '^[^/?#]*'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+  FROM addresses
+), plain AS (
+  SELECT url, 'https://'
+    || regexp_replace(regexp_replace(regexp_replace(host, ':(80|443)$', ''), '[.]$', ''), '^(?:www|m)[.]([^.]+[.])', '\1')
+    || regexp_replace(regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1),
+      '/index[.](?:html?|php)$', '/'), '[.]html?$', ''), '/+$', '')
+    || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[a-z]+|ref|fbclid|gclid)(?:=|$)')), '&'), ''), '') AS address
+  FROM parts WHERE host <> ''
+), nodes AS (
+  SELECT url FROM addresses UNION SELECT address FROM plain
+), split AS (
+  SELECT url, translate(regexp_extract(substr(url, position('://' IN url) + 3), '^[^/?#]*'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(url, position('://' IN url) + 3), '^[^/?#]*([^?#]*)', 1) AS path
+  FROM nodes
+), judged AS (
+  SELECT url, host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+    arg_max(kind, length(rule_host || rule_path)) AS kind
+  FROM split LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY url, host, path
+), edges AS (
+  SELECT e.a, e.b FROM (SELECT a, b FROM linked UNION SELECT url, address FROM plain) e
+  JOIN judged ja ON ja.url = e.a JOIN judged jb ON jb.url = e.b
+  WHERE e.a <> e.b AND ja.kind IS DISTINCT FROM 'allow' AND jb.kind IS DISTINCT FROM 'allow'
+), both_ways AS (
+  SELECT a, b FROM edges UNION SELECT b, a FROM edges
+), reached AS (
+  SELECT url FROM judged WHERE kind = 'block'
+  UNION
+  SELECT b FROM reached JOIN both_ways ON a = url
+)
+SELECT page_id, coalesce(j.host, '') AS host, coalesce(j.path, '') AS path, j.rule,
+  CASE WHEN j.kind IS NOT NULL THEN j.kind WHEN r.url IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN j.kind IS NOT NULL THEN 'rule' WHEN r.url IS NOT NULL THEN 'alias' ELSE 'default' END AS by
+FROM pages p LEFT JOIN judged j ON j.url = p.url LEFT JOIN reached r ON r.url = p.url
+"""
