@@ -119,37 +119,47 @@ def linked_addresses(html: Column) -> Column:
     return F.when(html.rlike("(?i)canonical|refresh"), found).otherwise(F.array().cast("array<string>"))
 
 
-def resolved(target: Column, url: Column) -> Column:
-    """An address as written on the page ``url``, made absolute; null if it isn't one of the web."""
-    scheme = F.regexp_extract(url, "(?i)^(https?)://", 1)
-    site = F.concat(scheme, F.lit("://"), F.regexp_extract(_behind_scheme(url), "^[^/?#]*", 0))
-    path = path_of(url)
-    bare = F.regexp_replace(target, "(?s)#.*$", "")
-    own, query = F.regexp_extract(bare, "(?s)^[^?]*", 0), F.regexp_extract(bare, "(?s)[?].*$", 0)
-    joined = F.when(own.startswith("/"), own).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), own))
-    joined = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
-    relative = F.concat(site, F.when(own == "", path).otherwise(_without_dots(joined)), query)
-    return (
+def with_resolved(links: DataFrame) -> DataFrame:
+    """Adds ``to_url``: ``target`` as written on the page ``from_url``, made absolute; null if not of the web."""
+    steps = (
+        {"_scheme": F.regexp_extract("from_url", "(?i)^(https?)://", 1), "_bare": F.regexp_replace("target", "(?s)#.*$", "")},
+        {
+            "_site": F.concat("_scheme", F.lit("://"), F.regexp_extract(_behind_scheme(F.col("from_url")), "^[^/?#]*", 0)),
+            "_path": path_of(F.col("from_url")),
+            "_own": F.regexp_extract("_bare", "(?s)^[^?]*", 0),
+            "_query": F.regexp_extract("_bare", "(?s)[?].*$", 0),
+        },
+        {"_joined": F.when(F.col("_own").startswith("/"), F.col("_own")).otherwise(F.concat(F.regexp_replace("_path", "[^/]*$", ""), "_own"))},
+        {"_joined": F.when(F.col("_joined").startswith("/"), F.col("_joined")).otherwise(F.concat(F.lit("/"), "_joined"))},
+        {"_steps": F.split("_joined", "/", -1)},
+        {"_walked": _without_dots(F.col("_steps"))},
+    )
+    for columns in steps:  # column by column, so that what later steps repeat is worked out once
+        links = links.withColumns(columns)
+    folder = F.when(F.col("_joined").rlike("/[.]{1,2}$") & (F.size("_walked") > 0), "/").otherwise("")
+    dotless = F.when(
+        F.col("_joined").rlike("/[.]{1,2}(?:/|$)"), F.concat(F.lit("/"), F.array_join("_walked", "/"), folder)
+    ).otherwise(F.col("_joined"))
+    bare = F.col("_bare")
+    to_url = (
         F.when(bare == "", None)
         .when(bare.rlike("(?i)^https?://[^/?]"), bare)
-        .when((scheme == "") | bare.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None)
-        .when(bare.startswith("//"), F.concat(scheme, F.lit(":"), bare))
-        .otherwise(relative)
+        .when((F.col("_scheme") == "") | bare.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None)
+        .when(bare.startswith("//"), F.concat("_scheme", F.lit(":"), bare))
+        .otherwise(F.concat("_site", F.when(F.col("_own") == "", F.col("_path")).otherwise(dotless), "_query"))
     )
+    return links.select("from_url", to_url.alias("to_url"))
 
 
-def _without_dots(path: Column) -> Column:
-    """A path from its root without the steps ``.`` and ``..``."""
-    steps = F.slice(F.split(path, "/", -1), F.lit(2), F.size(F.split(path, "/", -1)) - 1)
-    walked = F.aggregate(
-        steps,
+def _without_dots(steps: Column) -> Column:
+    """The steps of a path from its root, without ``.`` and ``..``; the first, empty one is left out."""
+    return F.aggregate(
+        F.slice(steps, F.lit(2), F.greatest(F.size(steps) - 1, F.lit(0))),
         F.array().cast("array<string>"),
         lambda done, s: F.when(s == ".", done)
         .when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
         .otherwise(F.concat(done, F.array(s))),
     )
-    folder = F.when(path.rlike("/[.]{1,2}$") & (F.size(walked) > 0), "/").otherwise("")
-    return F.when(path.rlike("(?:^|/)[.]{1,2}(?:/|$)"), F.concat(F.lit("/"), F.array_join(walked, "/"), folder)).otherwise(path)
 
 
 def _node(url: Column) -> Column:
@@ -166,19 +176,18 @@ def alias_edges(pages: DataFrame, redirects: DataFrame | None = None, url: str =
     u = F.col(url)
     links = None
     if html is not None:
-        links = pages.where(F.instr(u, "://") > 0).select(u.alias("from_url"), F.explode(linked_addresses(F.col(html))).alias("target"))
-        links = links.select("from_url", resolved(F.col("target"), F.col("from_url")).alias("to_url"))
+        written = pages.where(F.instr(u, "://") > 0).select(u.alias("from_url"), F.explode(linked_addresses(F.col(html))).alias("target"))
+        links = with_resolved(stored(written))
     if redirects is not None:
         given = redirects.select("from_url", "to_url")
         links = given if links is None else links.union(given)
-    pairs = pages.select(u.alias("from_url"), plain_address(u).alias("to_url"))
+    urls = pages.select(u.alias("from_url"))
+    pairs = None
     if links is not None:
-        links = links.where("from_url is not null and to_url is not null")
-        ends = F.array("from_url", "to_url")
-        pairs = pairs.union(links).union(
-            links.select(F.explode(ends).alias("from_url")).select("from_url", plain_address(F.col("from_url")).alias("to_url"))
-        )
-    return pairs.where("from_url <> to_url").distinct()
+        pairs = links.where("from_url is not null and to_url is not null")
+        urls = urls.union(pairs.select(F.explode(F.array("from_url", "to_url"))))
+    variants = urls.select("from_url", plain_address(F.col("from_url")).alias("to_url"))
+    return (variants if pairs is None else variants.union(pairs)).where("from_url <> to_url").distinct()
 
 
 def blocked_aliases(edges: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -229,7 +238,9 @@ def filter_urls(
     """
     added = {"host", "path", "rule", "verdict", "by"} - {url.lower()}
     rows = pages.drop(*[c for c in pages.columns if c.lower() in added])
-    aliases = _bounded(stored(blocked_aliases(alias_edges(pages, redirects, url, html), rules)))
+    # written first: the optimizer would else repeat the making of addresses in all that is asked of them
+    edges = stored(alias_edges(pages, redirects, url, html))
+    aliases = _bounded(stored(blocked_aliases(edges, rules)))
     u = F.col(url)
     out = rows.withColumns({"host": F.coalesce(host_of(u), F.lit("")), "path": F.coalesce(path_of(u), F.lit(""))})
     out = out.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_node", F.when(F.col("rule").isNull(), _node(u)))
