@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from proofspark.functions.rounding import whole_degree
 from proofspark.operators.episodes import ELEVATED_FROM, HOT_FROM, OVEN_FROM
-from proofspark.operators.quantiles import SLOT_WIDTH, grouped_quantiles
+from proofspark.operators.quantiles import grouped_quantiles
 from proofspark.sources.readings import with_temperature
 
 
@@ -107,15 +107,19 @@ def zone_breakdown(
 
 
 def elevated_histogram(
-    readings: DataFrame, low: float = ELEVATED_FROM, high: float = OVEN_FROM
+    readings: DataFrame,
+    low: float = ELEVATED_FROM,
+    high: float = OVEN_FROM,
+    ordered: bool = False,
 ) -> DataFrame:
-    """Readings per whole degree inside the elevated zone."""
+    """Readings per whole degree inside the elevated zone; ``ordered`` by the degree."""
     temp = F.col("temperature_f")
-    return (
+    buckets = (
         readings.filter((temp >= low) & (temp < high))
         .groupBy(whole_degree(temp).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
+    return buckets.orderBy("bucket") if ordered else buckets
 
 
 def hot_days(
@@ -142,25 +146,47 @@ def daily_summary(
     readings: DataFrame,
     by: Sequence[str] = ("sensor_id",),
     peak_below: float | None = None,
-    slot_width: float = SLOT_WIDTH,
+    ordered: bool = False,
 ) -> DataFrame:
-    """Readings, peak and median per day (per ``by``); with ``peak_below`` only cooler days."""
+    """Readings, peak and median per day (per ``by``); with ``peak_below`` only cooler days.
+
+    ``ordered`` by the date, then by ``by``.
+    """
     dated = with_temperature(readings).select(
         *by, F.to_date("datetime").alias("date"), "temperature_f"
     )
-    return grouped_quantiles(
+    days = grouped_quantiles(
         dated,
         [*by, "date"],
         "temperature_f",
         {"median_temp": 0.5},
         extras={"peak_temp": (F.max, "temperature_f")},
         having=None if peak_below is None else lambda: F.col("peak_temp") < peak_below,
-        slot_width=slot_width,
+        within=(readings, list(by)) if by else None,
     ).select(*by, "date", F.col("n").alias("total_readings"), "peak_temp", "median_temp")
+    return days.orderBy("date", *by) if ordered else days
 
 
 def cool_days(
+    readings: DataFrame,
+    threshold: float = HOT_FROM,
+    by: Sequence[str] = ("sensor_id",),
+    ordered: bool = False,
+) -> DataFrame:
+    """Days without a hot reading; ``ordered`` as in :func:`daily_summary`."""
+    return daily_summary(readings, by, peak_below=threshold, ordered=ordered)
+
+
+def cool_day_count(
     readings: DataFrame, threshold: float = HOT_FROM, by: Sequence[str] = ("sensor_id",)
 ) -> DataFrame:
-    """Days without a hot reading."""
-    return daily_summary(readings, by, peak_below=threshold)
+    """One row: days with readings, and those without a hot one. Needs no medians."""
+    days = (
+        with_temperature(readings)
+        .groupBy(*by, F.to_date("datetime").alias("date"))
+        .agg(F.max("temperature_f").alias("peak_temp"))
+    )
+    return days.agg(
+        F.count(F.lit(1)).alias("days"),
+        F.count_if(F.col("peak_temp") < threshold).alias("cool_days"),
+    )

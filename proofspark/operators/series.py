@@ -3,28 +3,38 @@
 A window partitioned by sensor would bring a whole series into one task, and one sensor may
 hold a third of all readings. Here a series is cut into chunks of fixed time width. Windows run
 inside (sensor, chunk), and what crosses a chunk's border travels in a table with one row per
-non-empty chunk: its first and last reading and its counts. Only that table is windowed by
-sensor, and its length is bounded by the calendar (8,760 hours a year), not by the readings.
+non-empty chunk: its first and last reading and its counts. That table is scanned as a tree:
+chunks are summed up to blocks of thousands of chunks, blocks to larger blocks, and what came
+before a block is handed down again. So no window holds more than some 16,000 rows, however long
+a sensor's history and however short the chunks.
 
 The chunk is a plain function of the timestamp, so a lost executor's tasks recompute the same
 chunks, and both uses of the chunked rows can share one exchange.
 
 A single chunk can still be too large, say after a bulk load under one timestamp. ``heavy_cells``
 counts the rows per chunk and names those beyond a limit; they are then cut by seconds, heavy
-seconds by microseconds, and heavy microseconds by ranges of ``reading_id``.
+seconds by microseconds, and heavy microseconds by ranks of ``reading_id``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofspark.operators.quantiles import radix_cells
+
 CHUNK_SECONDS = 3600
 HEAVY_ROWS = 20_000_000
 BROADCAST_CELLS = 100_000
+#: Have heavy chunks looked for, with ``HEAVY_ROWS`` as the limit.
+FIND = "find"
+#: Blocks of chunks: every timestamp plus OFFSET microseconds has less than TOP_BITS bits, and a block
+#: has at most 2 to the power of LEVEL_BITS children.
+OFFSET, TOP_BITS, LEVEL_BITS = 1 << 58, 59, 14
+MOST_PIECES = 10_000
 
 ORDER = ("datetime", "reading_id")
 CELL = ("sensor_id", "chunk", "part")
@@ -41,7 +51,7 @@ _MICROSECOND = f"cast(cast(datetime - {_EPOCH} as decimal(20, 6)) * 1000000 as b
 class HeavyCells:
     """Chunks with too many rows: ``(sensor_id, chunk)`` hours, then seconds, then instants.
 
-    Instants also have ``low_id`` and ``step``, the ranges of ``reading_id`` to cut them by.
+    Instants also have ``bounds``, the rising values of ``reading_id`` at which they are cut.
     """
 
     hours: DataFrame
@@ -53,7 +63,7 @@ def with_chunk(
     rows: DataFrame,
     chunk_seconds: int = CHUNK_SECONDS,
     heavy: HeavyCells | None = None,
-    part: str = "floor((cast(reading_id as decimal(20, 0)) - low_id) / step)",
+    part: str = "size(filter(bounds, b -> b <= reading_id))",
 ) -> DataFrame:
     """Adds ``chunk``, the start of a row's stretch of time in microseconds, and ``part``.
 
@@ -83,8 +93,8 @@ def with_chunk(
     if heavy.instants is not None:
         rows = (
             rows.join(heavy.instants, ["sensor_id", "chunk"], "left")
-            .withColumn("part", F.expr(f"if(step is null, 0L, cast({part} as bigint))"))
-            .drop("low_id", "step")
+            .withColumn("part", F.expr(f"if(bounds is null, 0L, cast({part} as bigint))"))
+            .drop("bounds")
         )
     return rows
 
@@ -94,47 +104,40 @@ def heavy_cells(
 ) -> HeavyCells | None:
     """The chunks of more than ``limit`` readings, or None where there are none.
 
-    Runs a counting job that reads no more than ids and times and combines counts before the
-    shuffle; finer counts only look at heavy chunks. The result can be passed to every operator
-    over the same readings.
+    A table of no more rows than ``limit`` is only counted. Else a job reads ids and times and combines
+    counts before the shuffle; finer counts only look at heavy chunks. Heavy instants are cut at ranks of
+    their ids, found by radix selection, so that pieces are even however ids lie. The
+    result can be passed to every operator over the same readings.
     """
-    heavy, rows = None, readings
+    if readings.count() <= limit:
+        return None
+    heavy, rows, keys = None, readings, ["sensor_id", "chunk"]
     for level in ("hours", "seconds", "instants"):
-        counts = (
-            with_chunk(rows, chunk_seconds, heavy)
-            .groupBy("sensor_id", "chunk")
-            .agg(
-                F.expr("count(1) as n"),
-                F.expr("min(reading_id) as low_id"),
-                F.expr("max(reading_id) as high_id"),
-            )
-            .filter(F.col("n") > limit)
-            .selectExpr(
-                "sensor_id",
-                "chunk",
-                "low_id",
-                # wider than bigint: ids may span its whole range
-                "greatest(1, (cast(high_id as decimal(20, 0)) - low_id + 1)"
-                f" div ceil(n / {limit})) as step",
-            )
-        )
-        if level != "instants":
-            counts = counts.drop("low_id", "step")
-        cells = _broadcast_if_few(counts)
+        cut = with_chunk(rows, chunk_seconds, heavy)
+        counts = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+        cells = _broadcast_if_few(counts if level == "instants" else counts.select(*keys))
         if cells is None:
             break
+        if level == "instants":
+            cells = _broadcast_if_few(_id_bounds(cut, cells, limit))
         known = {} if heavy is None else {"hours": heavy.hours, "seconds": heavy.seconds}
         heavy = HeavyCells(**{"hours": cells, **known, level: cells})
         if level == "hours":
-            keys = ["sensor_id", "chunk"]
-            rows = (
-                with_chunk(readings, chunk_seconds)
-                .join(cells.select(*keys), keys, "left_semi")
-                .select(*readings.columns)
-            )
+            rows = cut.join(cells, keys, "left_semi").select(*readings.columns)
     return heavy
 
 
+def _id_bounds(cut: DataFrame, cells: DataFrame, limit: int) -> DataFrame:
+    """Per heavy instant the ids at which it is cut into pieces of about half of ``limit``."""
+    keys = ["sensor_id", "chunk"]
+    ids = cut.join(cells.select(*keys), keys, "left_semi").select(*keys, F.col("reading_id").alias("_order"))
+    ranks = F.expr(
+        f"transform(sequence(1, cast(least({MOST_PIECES}, ceil(2 * n / {limit})) as int) - 1), i ->"
+        f" cast(i as bigint) * n div least({MOST_PIECES}, ceil(2 * n / {limit})))"
+    )
+    return radix_cells(ids, keys, ranks).groupBy(*keys).agg(F.array_sort(F.collect_set("_p")).alias("bounds"))
+
+
 def _broadcast_if_few(cells: DataFrame) -> DataFrame | None:
     """The cells as a broadcast table, or as they are where there are too many; None for none."""
     rows = cells.limit(BROADCAST_CELLS + 1).collect()
@@ -150,11 +153,82 @@ def chunk_of(ts: str, chunk_seconds: int = CHUNK_SECONDS) -> Column:
     return F.expr(f"floor(cast({ts} - {_EPOCH} as bigint) / {chunk_seconds})")
 
 
+def found_heavy(
+    readings: DataFrame,
+    heavy: HeavyCells | None | str,
+    chunk_seconds: int,
+    within: DataFrame | None = None,
+) -> tuple[HeavyCells | None, list[int]]:
+    """What ``heavy`` stands for, and the levels of the tree of chunks.
+
+    ``heavy`` are cells found before, None for none, or ``FIND`` to look for them now. Where a count finds
+    no more readings than one task may hold, nothing is heavy and one level is enough; ``within`` may name
+    a table with at least these rows that is cheaper to count.
+    """
+    if heavy == FIND:
+        if (readings if within is None else within).count() <= HEAVY_ROWS:
+            return None, [TOP_BITS]
+        heavy = heavy_cells(readings, HEAVY_ROWS, chunk_seconds)
+    return heavy, tree_shifts(chunk_seconds, heavy)
+
+
+def tree_shifts(chunk_seconds: int, heavy: HeavyCells | None) -> list[int]:
+    """How many bits of a chunk's start are cut off for its block, level by level, up to a single block."""
+    finest = 0 if heavy is not None else (chunk_seconds * 1_000_000).bit_length() - 1
+    levels = max(1, -(-(TOP_BITS - finest) // LEVEL_BITS))
+    return [finest + (TOP_BITS - finest) * (i + 1) // levels for i in range(levels)]
+
+
+def carried(
+    cells: DataFrame,
+    shifts: list[int],
+    sums: Sequence[str] = (),
+    maxima: Sequence[str] = (),
+    backwards: bool = False,
+    level: int = 0,
+) -> DataFrame:
+    """Adds ``before_`` columns: sums and maxima over a sensor's earlier cells (later ones if ``backwards``).
+
+    Sums are 0 and maxima null where there are none. A cell sees the cells before it inside its block; what
+    came before the block is worked out in the same way on the next level, where a block is one row.
+    """
+    whole = len(shifts) == 1
+    block = f"_block{shifts[0]}"
+    keys = ["sensor_id", block] if shifts[0] < TOP_BITS or level else ["sensor_id"]
+    order = [F.desc(c) if backwards else F.asc(c) for c in ("chunk", "part")]
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if len(keys) > 1:
+        # an array of one row, which keeps both uses below from being pruned to different columns
+        names = [c for c in cells.columns if c not in CELL]
+        cells = cells.withColumn(block, F.shiftright(F.col("chunk") + F.lit(OFFSET), shifts[0]))
+        cells = cells.select(*CELL, block, F.inline(F.array(F.struct(*names))))
+    near = cells.select(
+        "*",
+        *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"before_{n}") for n in sums],
+        *[F.max(n).over(inside).alias(f"before_{n}") for n in maxima],
+    )
+    if whole:
+        return near.drop(block)
+    blocks = near.groupBy("sensor_id", block).agg(
+        F.min("chunk").alias("chunk"),
+        F.min("part").alias("part"),
+        *[F.sum(n).alias(n) for n in sums],
+        *[F.max(n).alias(n) for n in maxima],
+    )
+    above = carried(blocks, shifts[1:], sums, maxima, backwards, level + 1).select(
+        "sensor_id", block, *[F.col(f"before_{n}").alias(f"above_{n}") for n in (*sums, *maxima)]
+    )
+    both = {f"before_{n}": F.col(f"before_{n}") + F.col(f"above_{n}") for n in sums}
+    both |= {f"before_{n}": F.greatest(f"before_{n}", f"above_{n}") for n in maxima}
+    joined = near.join(above, ["sensor_id", block]).withColumns(both)
+    return joined.drop(block, *[f"above_{n}" for n in (*sums, *maxima)])
+
+
 def link_series(
     readings: DataFrame,
     starts: StartFlag | None = None,
     chunk_seconds: int = CHUNK_SECONDS,
-    heavy: HeavyCells | None = None,
+    heavy: HeavyCells | None | str = FIND,
     marked: str | None = None,
 ) -> DataFrame:
     """Adds ``prev_datetime`` and ``prev_temperature_f``, the sensor's previous reading.
@@ -162,12 +236,12 @@ def link_series(
     With ``starts`` also ``island``: how many rows up to and including this one are starts.
     With ``marked``, a condition, also ``prev_marked``: when the last earlier row met it.
     Expects rows with a timestamp and a unique ``reading_id`` per sensor and time. ``chunk`` and
-    ``part`` stay in the result for operators that go on.
+    ``part`` stay in the result for operators that go on. Heavy chunks are found and cut unless
+    ``heavy`` names them or is None.
     """
+    heavy, shifts = found_heavy(readings, heavy, chunk_seconds)
     inside = Window.partitionBy(*CELL).orderBy(*ORDER)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    along = Window.partitionBy("sensor_id").orderBy("chunk", "part")
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
 
     local = with_chunk(readings, chunk_seconds, heavy).select(
         "*",
@@ -187,35 +261,33 @@ def link_series(
         earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
         local = local.withColumn("_marked", latest_marked.over(earlier))
 
-    edge = [
-        F.max(F.when(F.col("_last"), F.col("datetime"))).alias("tail_dt"),
-        F.max(F.when(F.col("_last"), F.col("temperature_f"))).alias("tail_temp"),
-    ]
+    # cells in order, so that the highest of the earlier ones is the last
+    tail = F.struct("chunk", "part", F.col("datetime").alias("dt"), F.col("temperature_f").alias("temp"))
+    edge = [F.max(F.when(F.col("_last"), tail)).alias("tail")]
     if starts is not None:
         edge += [
             F.max(F.when(first, F.col("datetime"))).alias("head_dt"),
             F.max(F.when(first, F.col("temperature_f"))).alias("head_temp"),
             F.sum("_start").alias("inner_starts"),
         ]
+    maxima = ["tail"]
     if marked is not None:
-        edge.append(latest_marked.alias("tail_marked"))
-    edges = local.groupBy(*CELL).agg(*edge)
-    edges = edges.withColumn("carry_dt", F.lag("tail_dt").over(along)).withColumn(
-        "carry_temp", F.lag("tail_temp").over(along)
+        edge.append(latest_marked.alias("marked"))
+        maxima.append("marked")
+    edges = carried(local.groupBy(*CELL).agg(*edge), shifts, maxima=maxima).withColumns(
+        {"carry_dt": F.col("before_tail.dt"), "carry_temp": F.col("before_tail.temp")}
     )
-    carried = ["carry_dt", "carry_temp"]
+    carries = ["carry_dt", "carry_temp"]
+    if marked is not None:
+        carries.append("before_marked")
     if starts is not None:
         head = _flag(starts, "head_dt", "head_temp", "carry_dt", "carry_temp")
-        edges = edges.withColumn("head_start", head)
-        earlier = F.sum(F.col("inner_starts") + F.col("head_start")).over(before)
-        edges = edges.withColumn("base", F.coalesce(earlier, F.lit(0)) + F.col("head_start"))
-        carried.append("base")
-
-    if marked is not None:
-        edges = edges.withColumn("carry_marked", F.max("tail_marked").over(before))
-        carried.append("carry_marked")
+        edges = edges.withColumn("head_start", head).withColumn("starts", F.col("inner_starts") + F.col("head_start"))
+        edges = carried(edges.select(*CELL, "head_start", "starts", *carries), shifts, sums=["starts"])
+        edges = edges.withColumn("base", F.col("before_starts") + F.col("head_start"))
+        carries.append("base")
 
-    joined = local.join(edges.select(*CELL, *carried), list(CELL))
+    joined = local.join(edges.select(*CELL, *carries), list(CELL))
     added = [
         F.when(first, F.col("carry_dt")).otherwise(F.col("_dt")).alias("prev_datetime"),
         F.when(first, F.col("carry_temp")).otherwise(F.col("_temp")).alias("prev_temperature_f"),
@@ -223,7 +295,7 @@ def link_series(
     if starts is not None:
         added.append((F.col("base") + F.col("_run")).alias("island"))
     if marked is not None:
-        added.append(F.coalesce("_marked", "carry_marked").alias("prev_marked"))
+        added.append(F.coalesce("_marked", "before_marked").alias("prev_marked"))
     return joined.select(*readings.columns, "chunk", "part", *added)
 
 
