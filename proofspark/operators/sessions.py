@@ -30,7 +30,8 @@ def resolve_session_bounds(sessions: DataFrame) -> DataFrame:
     No or an empty ``end_spec`` is an open session, whose ``end_ts`` is null. A zone that isn't known
     makes the status ``bad_tz`` and no end; its ``tz`` becomes ``UTC``, so that later stamps can be made.
     """
-    known = "try_to_timestamp(concat('2000-01-01 00 ', tz), 'yyyy-MM-dd HH VV') is not null"
+    # the most common zone needs no test
+    known = "tz = 'UTC' or try_to_timestamp(concat('2000-01-01 00 ', tz), 'yyyy-MM-dd HH VV') is not null"
     checked = sessions.withColumn("_bad", F.expr(f"tz is not null and not ({known})"))
     # an empty text matches neither a duration nor a time, so its end is null as well
     ended = with_end(
