@@ -139,10 +139,12 @@ def interpolate_by_table(
 ) -> DataFrame:
     """Adds ``expected_hours`` and ``target_rise_pct`` from a table of knots, joined by ``profile``.
 
-    For profiles kept in a table instead of in code. Segments become rows per whole degree, so
-    the join has an equality on (profile, degree) beside the range. Their number is counted
-    before they are broadcast; a larger table is joined by a shuffle on the same keys, which
-    spreads one hot profile over its degrees.
+    For profiles kept in a table instead of in code. Segments become rows per whole degree. Their number
+    is counted; few are broadcast and joined on (profile, degree) beside the range. A larger table is
+    merged as of the temperature: rows and segments of a (profile, degree) are sorted together, and a row
+    takes the last segment before it, however many there are. Of the keys, those with more than a
+    hundredth of all rows (at most a hundred) are counted out; their rows are dealt by a hash over as many
+    parts as hold a hundredth, and their segments go to each part.
     """
     extent = knots.agg(F.floor(F.min("temp_f")), F.floor(F.max("temp_f"))).first()
     coldest, hottest = (extent[0] or 0), (extent[1] or 0)
@@ -171,8 +173,7 @@ def interpolate_by_table(
             ),
         )
     )
-    if segments.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        segments = F.broadcast(segments)
+    few = segments.limit(broadcast_limit + 1).count() <= broadcast_limit
     keyed = rows.withColumn(
         "slot",
         F.expr(
@@ -180,12 +181,15 @@ def interpolate_by_table(
             f" floor(greatest({_sql(coldest)}, least({_sql(hottest)}, {temp}))))"
         ),
     )
-    inside = F.expr(f"(lowest or k.{temp} >= t0) and (highest or k.{temp} < t1)")
-    joined = keyed.alias("k").join(
-        segments.alias("s"),
-        (F.col("k.profile") == F.col("s.profile")) & (F.col("k.slot") == F.col("s.slot")) & inside,
-        "left",
-    )
+    if few:
+        inside = F.expr(f"(lowest or k.{temp} >= t0) and (highest or k.{temp} < t1)")
+        joined = keyed.alias("k").join(
+            F.broadcast(segments).alias("s"),
+            (F.col("k.profile") == F.col("s.profile")) & (F.col("k.slot") == F.col("s.slot")) & inside,
+            "left",
+        )
+    else:
+        joined = _merged_as_of(keyed, segments, temp).alias("k")
     clamped = f"greatest(low, least(high, k.{temp}))"
     share = f"coalesce(({clamped} - t0) / (t1 - t0), 0D)"
 
@@ -199,3 +203,48 @@ def interpolate_by_table(
         between("h0", "h1").alias("expected_hours"),
         between("r0", "r1").alias("target_rise_pct"),
     )
+
+
+_SEGMENT = ("t0", "h0", "r0", "t1", "h1", "r1", "low", "high")
+
+
+def _merged_as_of(keyed: DataFrame, segments: DataFrame, temp: str, share: int = 100) -> DataFrame:
+    """``keyed`` with the columns of the last segment of its profile and slot that begins at or below ``temp``."""
+    counts = keyed.filter("profile is not null and slot is not null").groupBy("profile", "slot").agg(F.expr("count(1) as n"))
+    limit = max(1, keyed.count() // share)
+    hot = counts.filter(F.col("n") > limit).selectExpr("profile", "slot", f"cast(ceil(n / {limit}) as int) as parts").collect()
+    parts = F.broadcast(
+        keyed.sparkSession.createDataFrame(hot, "profile string, slot bigint, parts int").withColumnsRenamed({"profile": "_p", "slot": "_s"})
+    )
+    of_key = (F.col("profile") == F.col("_p")) & (F.col("slot") == F.col("_s"))
+    dealt = keyed.join(parts, of_key, "left").withColumn(
+        "_part", F.pmod(F.xxhash64(*keyed.columns), F.coalesce("parts", F.lit(1)))
+    )
+    lookups = dealt.drop("_p", "_s", "parts").withColumns(
+        {"_key": F.col(temp), "_row": F.lit(1), "_segment": F.lit(None).cast(_segment_of(segments))}
+    )
+    begins = segments.join(parts, of_key, "left").select(
+        "profile",
+        "slot",
+        F.expr("explode(sequence(0L, coalesce(parts, 1) - 1L))").alias("_part"),
+        F.expr("if(lowest, double('-Infinity'), t0)").alias("_key"),
+        F.lit(0).alias("_row"),
+        F.struct(*_SEGMENT).alias("_segment"),
+    )
+    known = lookups.filter("profile is not null and slot is not null")
+    along = (
+        Window.partitionBy("profile", "slot", "_part")
+        .orderBy("_key", "_row")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    placed = (
+        known.unionByName(begins, allowMissingColumns=True)
+        .withColumn("_segment", F.last("_segment", ignorenulls=True).over(along))
+        .filter("_row = 1")
+    )
+    rest = lookups.filter("profile is null or slot is null")
+    return placed.unionByName(rest).select(*keyed.columns, *[F.col(f"_segment.{c}").alias(c) for c in _SEGMENT])
+
+
+def _segment_of(segments: DataFrame) -> str:
+    return segments.select(F.struct(*_SEGMENT).alias("s")).schema["s"].dataType.simpleString()

@@ -29,9 +29,10 @@ def as_readings(
 ) -> DataFrame:
     """Brings a table with at least ``datetime`` and ``temperature_f`` to the readings schema.
 
-    Instants become UTC wall-clock times by their microseconds since 1970, in any session time zone.
+    Instants become UTC wall-clock times by their microseconds since 1970, in any session time zone. The
+    result remembers the table, so that bounds of ``readings_since`` and ``on_date`` go to the stored column.
     """
-    when = F.col("datetime")
+    whole, when = table, F.col("datetime")
     zoned = dict(table.dtypes)["datetime"] == "timestamp"
     for bound, inside in ((start, when.__ge__), (end, when.__le__)):
         if bound is not None:
@@ -52,23 +53,41 @@ def as_readings(
         if "reading_id" in table.columns
         else F.shiftright(F.xxhash64("datetime", temp), 2)
     )
-    return table.select(
+    readings = table.select(
         sensor.cast("bigint").alias("sensor_id"),
         reading.cast("bigint").alias("reading_id"),
         when.cast("timestamp_ntz").alias("datetime"),
         temp.alias("temperature_f"),
     )
+    if start is None and end is None:
+        readings._between = lambda low, high: as_readings(whole, low, high)
+    return readings
+
+
+def _between(readings: DataFrame, start: Moment | None, end: Moment | None) -> DataFrame:
+    """The same readings with bounds, given to the column as it is stored where that is known.
+
+    A filter on a converted column does not pass the conversion, so files of instants would be read whole.
+    Bounds that are columns are left to the filters.
+    """
+    again = vars(readings).get("_between")
+    if again is None or isinstance(start, Column) or isinstance(end, Column):
+        return readings
+    return again(start, end)
 
 
 def with_temperature(readings: DataFrame) -> DataFrame:
-    return readings.filter(F.col("temperature_f").isNotNull())
+    kept = readings.filter(F.col("temperature_f").isNotNull())
+    if again := vars(readings).get("_between"):
+        kept._between = lambda low, high: with_temperature(again(low, high))
+    return kept
 
 
 def readings_since(
     readings: DataFrame, start: Moment, end: Moment | None = None, ordered: bool = True
 ) -> DataFrame:
     """Readings with a temperature from ``start`` to ``end``, both included."""
-    kept = with_temperature(readings).filter(F.col("datetime") >= moment(start))
+    kept = with_temperature(_between(readings, start, end)).filter(F.col("datetime") >= moment(start))
     if end is not None:
         kept = kept.filter(F.col("datetime") <= moment(end))
     return kept.orderBy("datetime", "sensor_id", "reading_id") if ordered else kept
@@ -78,7 +97,7 @@ def on_date(readings: DataFrame, day: datetime.date) -> DataFrame:
     """One UTC day as a range of ``datetime``, which reaches the parquet scan."""
     first = datetime.datetime.combine(day, datetime.time())
     after = first + datetime.timedelta(days=1)
-    return readings.filter(
+    return _between(readings, first, after - datetime.timedelta(microseconds=1)).filter(
         (F.col("datetime") >= moment(first)) & (F.col("datetime") < moment(after))
     )
 
