@@ -7,12 +7,14 @@ sums of doubles depend on their order.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofspark.functions.profile import DOUGH, interpolate_by_table, reference_profile
+from proofspark.functions.times import utc_to_local
 from proofspark.operators import episodes, explore
 from proofspark.operators.progress import session_progress
 from proofspark.operators.quantiles import describe
@@ -20,10 +22,11 @@ from proofspark.operators.series import heavy_cells
 from proofspark.operators.sessions import parse_durations, resolve_session_bounds
 from proofspark.plans import report
 from proofspark.session import pin_utc
-from proofspark.sources.readings import as_readings, readings_since, with_temperature
+from proofspark.sources.readings import as_readings, on_date, readings_since, with_temperature
 
 AS_OF = "2024-02-01 00:00:00"
 SINCE, UNTIL = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
+SAMPLE_DATE = "2024-01-10"
 # sensors report a few times a day, so runs are allowed gaps of a day
 GAP_MINUTES = 1440
 
@@ -56,6 +59,33 @@ def fixture_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fixture_zoned_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions in four zones that end at a time of day."""
+    return fixture_sessions(spark, sf_dir).withColumns(
+        {
+            "tz": F.expr(
+                """case cast(session_id % 4 as int) when 0 then 'America/New_York'
+                   when 1 then 'Asia/Kolkata' when 2 then 'Australia/Lord_Howe' else 'UTC' end"""
+            ),
+            "end_spec": F.expr(
+                """case cast(session_id % 3 as int) when 0 then '5:30 pm' when 1 then '02:15'
+                   else '23:59' end"""
+            ),
+        }
+    )
+
+
+def _zoned_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = resolve_session_bounds(fixture_zoned_sessions(spark, sf_dir))
+    return bounds.select(
+        "session_id",
+        F.col("tz").alias("zone"),
+        "start_ts",
+        utc_to_local(F.col("start_ts"), F.col("tz")).alias("local_start"),
+        "end_ts",
+    )
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     """Doubles to six places, and dates as text, which engines hand over in different types."""
 
@@ -158,7 +188,7 @@ def _of_class(name: str) -> Callable[[DataFrame], DataFrame]:
 
 def _describe_sessions(readings: DataFrame) -> DataFrame:
     proofing = _of_class("proofing")(readings)
-    return describe(proofing, ["duration_min", "median_temp"])
+    return describe(proofing, ["duration_min", "median_temp"], within=readings)
 
 
 QUERIES: dict[str, Query] = {
@@ -169,6 +199,10 @@ QUERIES: dict[str, Query] = {
     "session_bounds": lambda s, d: resolve_session_bounds(fixture_sessions(s, d)).select(
         "session_id", "sensor_id", "start_ts", "end_ts", "status"
     ),
+    "session_bounds_zoned": _zoned_bounds,
+    "sample_dates": _on_readings(
+        lambda r: on_date(with_temperature(r), datetime.date.fromisoformat(SAMPLE_DATE))
+    ),
     "session_progress": _on_progress(_progress_columns),
     "progress_elapsed_offsets": _on_offsets(_offset_columns),
     "progress_json": _on_offsets(_json_fields),
@@ -178,15 +212,15 @@ QUERIES: dict[str, Query] = {
     "temp_frequency": _on_readings(explore.temp_frequency),
     "top_temps": _on_readings(explore.top_temps),
     "temp_mode": _on_readings(explore.temp_mode),
-    "hourly_mode": _on_readings(explore.hourly_mode),
-    "monthly_mode": _on_readings(explore.monthly_mode),
+    "hourly_mode": _on_readings(lambda r: explore.hourly_mode(r, ordered=True)),
+    "monthly_mode": _on_readings(lambda r: explore.monthly_mode(r, ordered=True)),
     "describe_temps": _on_readings(lambda r: describe(with_temperature(r), ["temperature_f"])),
     "describe_temps_linear": _on_readings(
-        lambda r: describe(with_temperature(r), ["temperature_f"], "linear")
+        lambda r: describe(with_temperature(r), ["temperature_f"], "linear", within=r)
     ),
     "describe_deltas": _on_readings(
         lambda r: describe(
-            episodes.temp_deltas(r).filter("temp_delta is not null"), ["temp_delta"]
+            episodes.temp_deltas(r).filter("temp_delta is not null"), ["temp_delta"], within=r
         )
     ),
     "describe_sessions": _on_readings(_describe_sessions),
@@ -199,7 +233,7 @@ QUERIES: dict[str, Query] = {
         lambda r: episodes.earliest(episodes.hot_readings(_deltas(r)), 30)
     ),
     "spike_histogram": _on_readings(
-        lambda r: episodes.spike_histogram(episodes.temp_deltas(r))
+        lambda r: episodes.spike_histogram(episodes.temp_deltas(r), ordered=True)
     ),
     "hot_transitions": _on_readings(episodes.hot_transitions),
     "hot_episodes": _on_readings(
@@ -210,9 +244,10 @@ QUERIES: dict[str, Query] = {
     ),
     "hot_days": _on_readings(explore.hot_days),
     "daily_summary": _on_readings(explore.daily_summary),
-    "cool_days": _on_readings(explore.cool_days),
+    "cool_days": _on_readings(lambda r: explore.cool_days(r, ordered=True)),
+    "cool_day_count": _on_readings(explore.cool_day_count),
     "zone_breakdown": _on_readings(explore.zone_breakdown),
-    "elevated_histogram": _on_readings(explore.elevated_histogram),
+    "elevated_histogram": _on_readings(lambda r: explore.elevated_histogram(r, ordered=True)),
     "sustained_sessions": _on_readings(_sustained),
     "proofing_sessions": _on_readings(_of_class("proofing")),
     "oven_sessions": _on_readings(_of_class("oven")),

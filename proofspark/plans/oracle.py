@@ -7,7 +7,7 @@ joins are taken literally.
 from __future__ import annotations
 
 from proofspark.functions.profile import DOUGH_KNOTS
-from proofspark.plans.catalog import AS_OF, GAP_MINUTES, SINCE, UNTIL
+from proofspark.plans.catalog import AS_OF, GAP_MINUTES, SAMPLE_DATE, SINCE, UNTIL
 
 _KNOTS = ", ".join(f"({t}::DOUBLE, {h}::DOUBLE, {r}::DOUBLE)" for t, h, r in DOUGH_KNOTS)
 
@@ -24,6 +24,12 @@ _CTES = {
                     WHEN 2 THEN '3D12H' WHEN 3 THEN '5pm' ELSE '2024-01-20 20:00' END AS end_spec,
                1000.0::DOUBLE AS volume_ml
         FROM events WHERE event_type = 'signup'""",
+    "zoned_sessions": """
+        SELECT event_id AS session_id, ts AS start_ts, CASE CAST(event_id % 4 AS INT)
+                   WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'Asia/Kolkata'
+                   WHEN 2 THEN 'Australia/Lord_Howe' ELSE 'UTC' END AS zone,
+               CASE CAST(event_id % 3 AS INT) WHEN 0 THEN '17:30' WHEN 1 THEN '02:15' ELSE '23:59' END AS end_spec
+        FROM events WHERE event_type = 'signup'""",
     "durations": """
         SELECT *, CASE
             WHEN regexp_full_match(upper(trim(end_spec)), '([0-9]+D)?([0-9]+H)?([0-9]+M)?')
@@ -252,6 +258,7 @@ _REPORT = {
         ),
     ],
 }
+_MESSAGE = f"'no sensor readings found since ' || strftime(start_ts, {_LONG}) || ' UTC'"
 _REPORT_ROWS = " UNION ALL ".join(
     f"SELECT session_id, '{section}' AS section, CAST({i + 1} AS BIGINT) AS ord,"
     f" {label} AS label, {value} AS value FROM offsets WHERE reading_count > 0"
@@ -262,7 +269,9 @@ _REPORT_LINES = f"""
     SELECT *, rpad(label || ':',
                    CAST(max(length(label)) OVER (PARTITION BY session_id, section) + 1 AS INT), ' ')
               || '  ' || value AS line
-    FROM ({_REPORT_ROWS})"""
+    FROM ({_REPORT_ROWS})
+    UNION ALL
+    SELECT session_id, 'message', 1, 'message', {_MESSAGE}, {_MESSAGE} FROM offsets WHERE reading_count = 0"""
 
 
 def _describe(measure: str, value: str, source: str, linear: bool = False) -> str:
@@ -328,6 +337,22 @@ ORACLE_SQL: dict[str, str] = {
            FROM bounds""",
         "bounds",
     ),
+    "session_bounds_zoned": _sql(
+        """SELECT session_id, zone, start_ts, local_start, CASE
+                      WHEN end_utc < start_ts THEN timezone('UTC', timezone(zone, local_end + INTERVAL 1 DAY))
+                      ELSE end_utc END AS end_ts
+           FROM (SELECT *, timezone('UTC', timezone(zone, local_end)) AS end_utc
+                 FROM (SELECT *, try_strptime(strftime(local_start, '%Y-%m-%d') || ' ' || end_spec, '%Y-%m-%d %H:%M')
+                           AS local_end
+                       FROM (SELECT *, timezone(zone, timezone('UTC', start_ts)) AS local_start
+                             FROM zoned_sessions)))""",
+        "zoned_sessions",
+    ),
+    "sample_dates": _sql(
+        f"""SELECT sensor_id, reading_id, datetime, {_r6("temperature_f")} FROM r
+            WHERE CAST(datetime AS DATE) = DATE '{SAMPLE_DATE}'""",
+        "r",
+    ),
     "session_progress": _sql(
         f"""SELECT session_id, sensor_id, start_ts, end_ts, status, {_r6("elapsed_hours")},
                    {_r6("avg_temp_f")}, {_r6("current_temp_f")}, last_reading_at,
@@ -352,15 +377,16 @@ ORACLE_SQL: dict[str, str] = {
                    CAST({_fixed("avg_temp_f", 1)} AS DOUBLE) AS avg_temp_f,
                    CAST(round_even(est_rise_pct, 0) AS BIGINT) AS estimated_rise_pct,
                    CAST(round_even(target_rise_pct, 0) AS BIGINT) AS target_rise_pct,
-                   strftime(as_of, {_LONG}) AS run_at,
+                   CASE WHEN reading_count > 0 THEN strftime(as_of, {_LONG}) END AS run_at,
                    strftime(last_reading_at, {_LONG}) AS last_reading,
-                   reading_count AS temperature_reading_count,
+                   nullif(reading_count, 0) AS temperature_reading_count,
                    {_r6("min_temp_f")}, {_r6("max_temp_f")},
                    CAST({_fixed("integral", 4)} AS DOUBLE) AS fermentation_integral,
                    reference_minutes AS reference_duration_minutes,
                    data_offset_minutes AS reference_offset_minutes,
-                   data_offset_direction AS reference_offset_direction
-            FROM offsets WHERE reading_count > 0""",
+                   data_offset_direction AS reference_offset_direction,
+                   CASE WHEN reading_count = 0 THEN {_MESSAGE} END AS message
+            FROM offsets""",
         "offsets",
     ),
     "progress_report": _sql(_REPORT_LINES, "offsets"),
@@ -369,7 +395,8 @@ ORACLE_SQL: dict[str, str] = {
                    string_agg(line, chr(10) ORDER BY ord) FILTER (section = 'primary')
                    || chr(10) || chr(10)
                    || string_agg(line, chr(10) ORDER BY ord) FILTER (section = 'meta') AS text
-            FROM ({_REPORT_LINES}) GROUP BY session_id""",
+            FROM ({_REPORT_LINES}) WHERE section <> 'message' GROUP BY session_id
+            UNION ALL SELECT session_id, {_MESSAGE} FROM offsets WHERE reading_count = 0""",
         "offsets",
     ),
     "reading_counts": _sql(
@@ -474,6 +501,11 @@ ORACLE_SQL: dict[str, str] = {
             FROM r GROUP BY 1, 2 HAVING max(temperature_f) < 85""",
         "r",
     ),
+    "cool_day_count": _sql(
+        """SELECT count(*) AS days, count(*) FILTER (peak < 85) AS cool_days
+           FROM (SELECT max(temperature_f) AS peak FROM r GROUP BY sensor_id, datetime::DATE)""",
+        "r",
+    ),
     "zone_breakdown": _sql(
         """SELECT zone, count(temperature_f) AS "count",
                   round(100.0::DOUBLE * count(temperature_f) / (SELECT count(*) FROM r), 6) AS pct

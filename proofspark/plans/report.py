@@ -59,9 +59,24 @@ def with_offsets(progress: DataFrame, as_of: Moment | None = None) -> DataFrame:
     return timed.withColumns(offsets)
 
 
+def _message() -> Column:
+    """What is said of a session without readings; null for one with readings."""
+    since = F.concat(long_stamp(F.col("start_ts"), F.col("tz")), F.lit(" "), F.col("tz"))
+    said = (
+        F.when(F.col("status") == "bad_end", F.lit("end of session not understood"))
+        .when(F.col("status") == "bad_tz", F.lit("time zone of session not known"))
+        .otherwise(F.concat(F.lit("no sensor readings found since "), since))
+    )
+    return F.when(F.col("reading_count") == 0, said)
+
+
 def payload(offsets: DataFrame, meta: bool = True) -> DataFrame:
-    """``session_id`` and the struct ``payload`` of each session that has readings."""
+    """``session_id`` and the struct ``payload`` of each session.
+
+    A session without readings has its start and a ``message``, and nulls elsewhere.
+    """
     tz = F.col("tz")
+    # The names of the fields and their order.
     fields = [
         long_stamp(F.col("start_ts"), tz).alias("bulk_start"),
         F.col("span_minutes").alias("elapsed_minutes"),
@@ -83,14 +98,15 @@ def payload(offsets: DataFrame, meta: bool = True) -> DataFrame:
                 F.col("reference_minutes").alias("reference_duration_minutes"),
                 F.col("data_offset_minutes").alias("reference_offset_minutes"),
                 F.col("data_offset_direction").alias("reference_offset_direction"),
-            ).alias("meta")
+            )
         )
-    found = offsets.filter(F.col("reading_count") > 0)
-    return found.select("session_id", F.struct(*fields).alias("payload"))
+        fields[-1] = F.when(F.col("reading_count") > 0, fields[-1]).alias("meta")
+    fields.append(_message().alias("message"))
+    return offsets.select("session_id", F.struct(*fields).alias("payload"))
 
 
 def progress_json(offsets: DataFrame, meta: bool = True) -> DataFrame:
-    """``session_id`` and ``json``, one JSON object per session that has readings."""
+    """``session_id`` and ``json``, one JSON object per session; fields without a value are left out."""
     return payload(offsets, meta).select("session_id", F.to_json("payload").alias("json"))
 
 
@@ -115,12 +131,17 @@ def _with_lines(rows: Column) -> Column:
 
 
 def report_sections(offsets: DataFrame) -> DataFrame:
-    """``session_id`` with the row arrays ``primary`` and ``meta`` of its text report."""
+    """``session_id`` with the row arrays ``primary`` and ``meta`` of its text report.
+
+    A session without readings has none of them, but a ``message``.
+    """
+    # The labels and their order.
     tz = F.col("tz")
     start, last = F.col("start_ts"), F.col("last_reading_at")
     degrees = F.lit("°F")
-    texts = offsets.filter(F.col("reading_count") > 0).select(
+    texts = offsets.select(
         "*",
+        _message().alias("message"),
         fixed_text(F.col("avg_temp_f"), 1).alias("_avg"),
         F.concat(
             fixed_text(F.col("min_temp_f"), 1),
@@ -181,21 +202,36 @@ def report_sections(offsets: DataFrame) -> DataFrame:
         _row("ref. offset (data)", offset("data")),
         _row("ref. offset (wall)", offset("wall")),
     )
-    bare = texts.select("session_id", primary.alias("primary"), meta.alias("meta"))
+    said = F.col("message").isNull()
+    bare = texts.select(
+        "session_id",
+        "message",
+        F.when(said, primary).alias("primary"),
+        F.when(said, meta).alias("meta"),
+    )
     return bare.select(
         "session_id",
+        "message",
         _with_lines(F.col("primary")).alias("primary"),
         _with_lines(F.col("meta")).alias("meta"),
     )
 
 
 def report_rows(offsets: DataFrame, meta: bool = True) -> DataFrame:
-    """One row per line: ``session_id``, ``section``, ``ord``, ``label``, ``value``, ``line``."""
+    """One row per line: ``session_id``, ``section``, ``ord``, ``label``, ``value``, ``line``.
+
+    A session without readings has one line, in the section ``message``.
+    """
     sections = ["primary", "meta"] if meta else ["primary"]
     found = report_sections(offsets)
     named = F.array(
         *[F.struct(F.lit(s).alias("section"), F.col(s).alias("rows")) for s in sections]
     )
+    line = F.struct(
+        F.lit("message").alias("label"), F.col("message").alias("value"), F.col("message").alias("line")
+    )
+    alone = F.array(F.struct(F.lit("message").alias("section"), F.array(line).alias("rows")))
+    named = F.when(F.col("message").isNull(), named).otherwise(alone)
     split = found.select("session_id", F.inline(named))
     return split.select("session_id", "section", F.posexplode("rows")).select(
         "session_id",
@@ -208,9 +244,12 @@ def report_rows(offsets: DataFrame, meta: bool = True) -> DataFrame:
 
 
 def report_text(offsets: DataFrame, meta: bool = True) -> DataFrame:
-    """``session_id`` and its whole report as ``text``, the sections parted by an empty line."""
+    """``session_id`` and its whole report as ``text``, the sections parted by an empty line.
+
+    The text of a session without readings is its message.
+    """
     parts = ["primary", "meta"] if meta else ["primary"]
     blocks = [F.array_join(F.col(p)["line"], "\n") for p in parts]
     return report_sections(offsets).select(
-        "session_id", F.concat_ws("\n\n", *blocks).alias("text")
+        "session_id", F.coalesce("message", F.concat_ws("\n\n", *blocks)).alias("text")
     )

@@ -59,7 +59,11 @@ def test_offsets(offsets):
 
 def test_json(offsets, tmp_path):
     rows = {r.session_id: json.loads(r.json) for r in report.progress_json(offsets).collect()}
-    assert set(rows) == {1, 2}
+    assert set(rows) == {1, 2, 3}
+    assert rows[3] == {
+        "bulk_start": "2026-01-22 Thu 6:00 AM",
+        "message": "no sensor readings found since 2026-01-22 Thu 6:00 AM America/New_York",
+    }
     assert list(rows[1]) == [
         "bulk_start", "elapsed_minutes", "last_temp_f", "last_temp_age_minutes", "avg_temp_f",
         "estimated_rise_pct", "target_rise_pct", "meta",
@@ -73,7 +77,7 @@ def test_json(offsets, tmp_path):
     assert all("meta" not in json.loads(r.json) for r in plain.collect())
     write_json_lines(plain, str(tmp_path / "out"))
     lines = [l for f in (tmp_path / "out").glob("part-*") for l in f.read_text().splitlines()]
-    assert sorted(json.loads(l)["last_temp_f"] for l in lines) == [67.5, 70.25]
+    assert sorted(json.loads(l).get("last_temp_f", 0) for l in lines) == [0, 67.5, 70.25]
 
 
 def test_text(offsets, spark, tmp_path):
@@ -87,6 +91,9 @@ def test_text(offsets, spark, tmp_path):
     assert one[8] == "target volume:     1500 rises to 2821 mL"  # 1500 * 1.88041 at 67.3918
     assert one[9] == "" and len(one) == 20
     assert "temp (14h42m ago):  70.2°F" in rows[2]
+    assert rows[3] == "no sensor readings found since 2026-01-22 Thu 6:00 AM America/New_York"
+    lines = report.report_rows(offsets).filter("session_id = 3").collect()
+    assert [(r.section, r.ord, r.label, r.line) for r in lines] == [("message", 1, "message", rows[3])]
     assert rows[2].split("\n")[1] == "elapsed:            2h"
     primary = report.report_rows(offsets.withColumn("volume_ml", F.lit(None).cast("double")), False)
     assert primary.filter("session_id = 1").count() == 8
