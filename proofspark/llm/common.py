@@ -34,8 +34,22 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for these tables; only for tables that no later job reads."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if "/table-" in path:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored_rows(df: DataFrame) -> DataFrame:
-    """Like ``stored`` for small tables of an iteration, by ``checkpoint``, which cleans up after itself."""
+    """Like ``stored`` for small tables of an iteration, by ``checkpoint``.
+
+    Their files go with the session's references to them where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is true, else they stay as written tables do.
+    """
     scratch(df.sparkSession)
     return df.checkpoint()
 

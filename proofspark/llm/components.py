@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofspark.llm.common import stored_rows
+from proofspark.llm.common import dropped, stored
 
 
 def _leaves(links: DataFrame) -> DataFrame:
@@ -18,11 +18,11 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
     Returns ``id`` and ``component_id``. Each round hangs larger neighbours on the smallest one (large
     star), then smaller ones (small star), until the links no longer change: a star around each smallest
-    id. Hubs are summed up by partial aggregates; rows of a hub are joined, never gathered.
+    id. Each round's table replaces the one before. Hubs are summed up by partial aggregates; rows of a hub are joined, never gathered.
     """
     a, b = links.columns[:2]
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
-    edges = stored_rows(edges)
+    edges = stored(edges)
     before = None
     for _ in range(most):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,12 +33,14 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
             .distinct()
         )
         small = large.join(_leaves(large), "u")
-        edges = stored_rows(
+        after = stored(
             small.select(F.col("v").alias("u"), F.col("least").alias("v"))
             .union(small.select("u", F.col("least").alias("v")))
             .where("u != v")
             .distinct()
         )
+        dropped(edges)
+        edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

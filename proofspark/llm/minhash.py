@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofspark.llm.blocks import Forest, blocked, groups_of
-from proofspark.llm.common import documents, mixed, shingle_codes, stored
+from proofspark.llm.blocks import Forest, blocked_apart, groups_of
+from proofspark.llm.common import documents, dropped, mixed, shingle_codes, stored
 from proofspark.llm.components import components
 
 COORDINATES = 64
@@ -78,7 +78,7 @@ def _short(tokens: Column) -> Column:
 
 
 def postings(reps: DataFrame, least: int) -> DataFrame:
-    """(token, id, sig) for the prefix of each signature, rarest tokens first.
+    """(token, id) for the prefix of each signature, rarest tokens first.
 
     Two signatures that agree in ``least`` of m coordinates share one of the m - ``least`` + 1 rarest
     tokens of each. Tokens of one document lead the order and match nothing, so they only shorten what
@@ -93,8 +93,7 @@ def postings(reps: DataFrame, least: int) -> DataFrame:
         .where(F.size("shared") >= least)
     )
     prefix = by_doc.select("id", F.explode(F.expr(f"slice(shared, 1, size(shared) - {least} + 1)")).alias("p"))
-    short = reps.select("id", _short(F.col("tokens")).alias("sig"))
-    return prefix.select("id", F.col("p.token").alias("token")).join(short, "id")
+    return prefix.select("id", F.col("p.token").alias("token"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, above: tuple[int, int]) -> DataFrame:
@@ -135,10 +134,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, above: tuple[int, int]) -> DataFr
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def _trees(rows: DataFrame, least: int) -> DataFrame:
+def _trees(rows: DataFrame, short: DataFrame, least: int) -> DataFrame:
     """Links (a, b) between components of one posting list that agree in ``least`` short coordinates.
 
     Of each cell only as many as join its components to trees, the best partners of a document first.
+    ``short`` has the short coordinates ``sig`` by id.
     """
 
     def pairs(table: pa.Table) -> pa.Table:
@@ -160,7 +160,7 @@ def _trees(rows: DataFrame, least: int) -> DataFrame:
         both = np.array(chosen, np.int64).reshape(-1, 2)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
-    cells = blocked(rows, ["token"], "id")
+    cells = blocked_apart(rows, ["token"], "id", "component_id").join(short, "id")
     return cells.groupBy("_cell", "_i", "_j").applyInArrow(pairs, "a long, b long").distinct()
 
 
@@ -183,11 +183,11 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096
     return out
 
 
-def _settle(rows: DataFrame, least: int, above: tuple[int, int]) -> DataFrame:
+def _settle(rows: DataFrame, content: DataFrame, least: int, above: tuple[int, int]) -> DataFrame:
     """Confirmed links between components of one cluster: all its pairs, in blocks, as trees.
 
-    ``rows`` has cluster, id, component_id, sig and codes. Nothing but links that join two trees of a cell
-    leaves it, however many pairs are compared.
+    ``rows`` has cluster, id and component_id, ``content`` sig and codes by id. Nothing but links that join
+    two trees of a cell leaves it, however many pairs are compared.
     """
     times, share = above
 
@@ -219,7 +219,7 @@ def _settle(rows: DataFrame, least: int, above: tuple[int, int]) -> DataFrame:
         out = np.array(chosen, np.int64).reshape(-1, 2)
         return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
-    cells = blocked(rows, ["cluster"], "id", block=1024, shard_rows=4096)
+    cells = blocked_apart(rows, ["cluster"], "id", "component_id", block=1024, shard_rows=4096).join(content, "id")
     return cells.groupBy("_cell", "_i", "_j").applyInArrow(pairs, "a long, b long")
 
 
@@ -233,7 +233,9 @@ def _undecided(posted: DataFrame, parts: DataFrame) -> DataFrame:
         .where("lo != hi")
         .select("token")
     )
-    return stored(placed.join(several, "token", "left_semi"))
+    rest = stored(placed.join(several, "token", "left_semi"))
+    dropped(placed)
+    return rest
 
 
 def near_duplicates(
@@ -281,23 +283,37 @@ def near_duplicates(
     )
     sets = stored(sets.join(able, ["id", "set_hash"], "left_semi").dropDuplicates(["id", "set_hash"]).select("id", "codes"))
 
+    short = stored(reps.select("id", _short(F.col("tokens")).alias("sig")).dropDuplicates(["id"]))
     centres = posted.groupBy("token").agg(F.min("id").alias("b"))
     stars = posted.join(centres, "token").where("id != b").select(F.col("id").alias("a"), "b").distinct()
-    links = stored(confirm(stored(stars), sets, above))
+    stars = stored(stars)
+    links = stored(confirm(stars, sets, above))
+    dropped(stars)
     parts = components(links)
     for agree in (above[1] / above[0], (above[1] / above[0] + least / COORDINATES) / 2):
-        likely = stored(_trees(_undecided(posted, parts), int(agree * COORDINATES)))
-        links = stored(links.union(confirm(likely, sets, above)))
+        open_lists = _undecided(posted, parts)
+        likely = stored(_trees(open_lists, short, int(agree * COORDINATES)))
+        found = stored(confirm(likely, sets, above))
+        dropped(open_lists, likely)
+        # components so far are stars; only they and the new links are gone through again
+        old = links
+        links = stored(parts.where("id != component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(found))
+        dropped(old, found)
         parts = components(links)
     able = stored(able.select("id").distinct().join(parts, "id", "left").withColumn("component_id", F.coalesce("component_id", "id")))
     joined = able.where("id != component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-    clusters = components(_trees(_undecided(posted, parts), least).union(joined))
+    open_lists = _undecided(posted, parts)
+    likely = stored(_trees(open_lists, short, least))
+    dropped(open_lists, posted)
+    clusters = components(likely.union(joined))
     named = able.join(clusters.select("id", F.col("component_id").alias("cluster")), "id")
     several = named.groupBy("cluster").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
-    open_ = named.join(several.where("lo != hi").select("cluster"), "cluster", "left_semi")
-    short = reps.select("id", _short(F.col("tokens")).alias("sig")).dropDuplicates(["id"])
-    rest = stored(open_.join(short, "id").join(sets.dropDuplicates(["id"]), "id"))
-    final = components(links.union(_settle(rest, least, above)))
+    open_ = stored(named.join(several.where("lo != hi").select("cluster"), "cluster", "left_semi"))
+    content = short.join(sets.dropDuplicates(["id"]), "id")
+    settled = stored(_settle(open_.select("cluster", "id", "component_id"), content, least, above))
+    dropped(likely, open_, short, sets)
+    final = components(links.union(settled))
+    dropped(links, settled)
     return (
         signed.join(reps.select("set_hash", F.col("id").alias("rep")), "set_hash", "left")
         .join(final.select(F.col("id").alias("rep"), "component_id"), "rep", "left")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from proofspark.llm import embeddings, lines, minhash, suffix
-from proofspark.llm.common import ranked
+from proofspark.llm.common import ranked, stored
 from proofspark.llm.components import components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -100,8 +100,8 @@ def test_clusters_are_settled_in_blocks(spark, monkeypatch):
         for _ in range(r.choice([1, 2])):
             t[r.randrange(60)] = f"x{r.random()}"
         texts.append(" ".join(t))
-    blocked = minhash.blocked
-    monkeypatch.setattr(minhash, "blocked", lambda rows, keys, i, **k: blocked(rows, keys, i, block=10, shard_rows=20))
+    blocked = minhash.blocked_apart
+    monkeypatch.setattr(minhash, "blocked_apart", lambda rows, keys, i, apart, **k: blocked(rows, keys, i, apart, block=10, shard_rows=20))
     got = {x.doc_id: x.component_id for x in minhash.near_duplicates(make(spark, texts)).collect()}
     sets = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts]
     want = roots(90, [(i, j) for i in range(90) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])])
@@ -297,3 +297,33 @@ def test_ranks_are_gapless(spark):
     got = ranked(rows, ["g"], rows.v, "n").toPandas()
     for _, part in got.groupby("g", dropna=False):
         assert sorted(part.n) == list(range(len(part)))
+
+
+def test_blocks_of_rows_that_differ(spark):
+    """Every two rows of a key that differ in their component meet once, whatever the sizes."""
+    from collections import Counter
+
+    from proofspark.llm.blocks import blocked_apart
+
+    sizes = {1: {10: 90, 11: 3, 12: 30}, 2: {10: 55, 13: 1}, 3: {14: 5, 15: 4}, 4: {16: 100, 17: 80}, 5: {18: 70}}
+    rows, i = [], 0
+    for token, comps in sizes.items():
+        for comp, n in comps.items():
+            rows += [(token, i + k, comp) for k in range(n)]
+            i += n
+    df = stored(spark.createDataFrame(rows, "token long, id long, comp long"))
+    cells = blocked_apart(df, ["token"], "id", "comp", block=20, shard_rows=10)
+    met, copies = Counter(), Counter()
+    groups = {}
+    for r in cells.collect():
+        groups.setdefault((r._cell, r._i, r._j, r.token), []).append(r)
+        copies[r.token] += 1
+    for (_, i, j, _), members in groups.items():
+        for x in members:
+            for y in members:
+                if x.id < y.id and x.comp != y.comp and (i == j or {x._own, y._own} == {i, j}):
+                    met[x.id, y.id] += 1
+    comp = {i: (t, c) for t, i, c in rows}
+    want = {(x, y) for x in comp for y in comp if x < y and comp[x][0] == comp[y][0] and comp[x][1] != comp[y][1]}
+    assert set(met) == want and set(met.values()) == {1}
+    assert copies[5] == 0 and copies[2] <= 2 * 56 + 3
