@@ -1,8 +1,7 @@
 """A corpus pipeline: quality rules, line dedup, near-duplicate documents, mixing, packing.
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame. All
-but the last return the columns of ``docs``. Null ids pass the quality stage and the line stage, and end
-at the near-duplicate stage, which cannot place them.
+but the last return the columns of ``docs``. Rows are judged as rows: ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -36,9 +35,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, at a similarity of 0.8."""
-    kept = near_duplicates(docs, above=(100, 80)).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """The document with the smallest id of each near-duplicate group, at a similarity of 0.8.
+
+    A document is a row with its id and text: rows that share an id but not the text are two, equal rows
+    are one, and null ids come last in their group. Rows go by a 64-bit hash; should two different rows
+    ever share it, both stay.
+    """
+    keyed = docs.withColumn("_sha", F.sha2("text", 256)).withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = near_duplicates(keyed.select("_row", "text"), above=(100, 80), id_column="_row").select("_row", "component_id").distinct()
+    who = F.struct("doc_id", "_sha")
+    rows = keyed.groupBy("_row").agg(F.min(who).alias("low"), F.max(who).alias("high"))
+    order = F.struct(F.col("low.doc_id").isNull().alias("last"), F.col("low.doc_id").alias("id"), "_row")
+    first = rows.join(found, "_row").groupBy("component_id").agg(F.min(order).alias("first")).select("first._row")
+    clashes = rows.where(~F.col("low").eqNullSafe(F.col("high"))).select("_row")
+    kept = first.union(clashes).distinct()
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row", "doc_id", "_sha"]).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

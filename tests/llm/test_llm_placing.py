@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 import subprocess
 import sys
 import zlib
@@ -136,6 +137,42 @@ def test_pipeline_runs_on_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_near_dedup_judges_rows_not_ids(spark):
+    """Against a plain search of groups: ids that repeat, null ids, equal rows, chains of near copies."""
+    r = random.Random(12)
+    rows: list = []
+    for _ in range(25):
+        words = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        for _ in range(r.choice([1, 1, 2, 4])):
+            words = list(words)
+            words[r.randrange(60)] = f"x{r.randrange(10**6)}"
+            rows.append((r.choice([None, *range(12)]), " ".join(words)))
+    rows += [rows[3], rows[5], (4, None), (None, None), (4, ""), (5, "few words"), (6, "few words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = sorted(((x.doc_id, x.text) for x in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    single = list(dict.fromkeys(rows))
+    sets = [shingles(t) for _, t in single]
+    group = list(range(len(single)))
+    for a in range(len(single)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    members: dict = {}
+    for at, g in enumerate(group):
+        members.setdefault(g, []).append(at)
+    groups = [[single[i] for i in m] for m in members.values()]
+    ids = lambda rows: [(i is None, i or 0) for i, _ in rows]
+    assert len(found) == len(groups)
+    for own in groups:
+        kept = [x for x in found if x in own]
+        assert len(kept) == 1 and ids(kept)[0] == min(ids(own))
+
+
 def test_entry_without_the_subpackage(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     os.symlink(f"{root}/__spark_entry__.py", tmp_path / "__spark_entry__.py")
