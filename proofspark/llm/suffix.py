@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofspark.llm.common import documents, mixed, shard_count, stored
+from proofspark.llm.common import by_bytes, documents, mixed, shard_count, stored
 
 #: Bytes of a gram; every string of the wanted length holds a chosen one.
 GRAM = 16
@@ -22,6 +24,8 @@ SHARD_TEXT = 2 << 20
 HOT_ANCHOR, MOST_HOT = 4096, 100_000
 #: One in so many texts is asked for such anchors, and each one beyond so many characters.
 SAMPLE, LONG_TEXT = 16, 1 << 16
+#: Bytes of text whose grams are held at once, and strings of a segment at most.
+PART_BYTES, MOST_STRINGS = 1 << 20, 64
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -60,6 +64,48 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, codes[at]
 
 
+def segments_of(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start in all texts joined, strings, code) of runs of strings of ``length`` bytes, and all grams' codes.
+
+    The neighbouring strings of a run have one least gram code; each string of each text is in one run. That code
+    depends on the string alone, so equal strings are in runs of one code.
+    """
+    data = b"".join(texts)
+    codes = grams(data)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    width = length - GRAM + 1
+    if len(codes) < width:
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, np.uint64), codes
+    low = _least(codes, width, np.minimum)
+    new = np.append(True, low[1:] != low[:-1])
+    for edge in (ends - sizes, np.maximum(ends - sizes, ends - length + 1)):  # the first string, and the first that would cross
+        new[edge[edge < len(low)]] = True
+    at = np.flatnonzero(new)
+    many = np.diff(np.append(at, len(low)))
+    cuts = -(-many // MOST_STRINGS)
+    step = (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * MOST_STRINGS
+    at, many = np.repeat(at, cuts) + step, np.minimum(np.repeat(many, cuts) - step, MOST_STRINGS)
+    text = np.searchsorted(ends, at, side="right")
+    inside = at + length <= ends[text]
+    at = at[inside]
+    return text[inside], at, many[inside], low[at], codes
+
+
+def _string_codes(codes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """64-bit codes of the strings of ``length`` bytes at some places, from the codes of all grams."""
+    out = np.zeros(len(at), np.uint64)
+    for k in [*range(0, length - GRAM, GRAM), length - GRAM]:
+        out = mixed(out ^ codes[at + k])
+    return out
+
+
+def _ranges(begins: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """``many`` numbers from each of ``begins`` on."""
+    return np.arange(many.sum()) + np.repeat(begins - (np.cumsum(many) - many), many)
+
+
 def _scatter(pending: list[list[np.ndarray]], at: np.ndarray, t: np.ndarray) -> None:
     """Appends positions to their first character's bucket, in order."""
     if len(at):
@@ -201,6 +247,63 @@ def _spans(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray,
     return doc[at], start[at], start[np.append(at[1:], len(doc)) - 1] + length
 
 
+def _met_twice(codes: np.ndarray) -> np.ndarray:
+    """Which codes may be there more than once; those that are, surely."""
+    bits = max(10, (4 * len(codes)).bit_length())
+    some = np.arange(len(codes))
+    for shift in (64 - bits, 0):
+        slot = ((codes[some] >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        some = some[np.bincount(slot, minlength=1 << bits)[slot] > 1]
+    out = np.zeros(len(codes), bool)
+    out[some] = True
+    return out
+
+
+def repeated_spans(
+    pieces: pa.Array, which: np.ndarray, doc: np.ndarray, begin: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, from, to) of the strings of ``length`` bytes that a smaller document holds too.
+
+    ``pieces`` are distinct segments; segment ``which`` is in ``doc`` at ``begin``. A place whose document isn't
+    the segment's least goes whole. In the least document go the strings that another segment gives a lesser
+    owner; only strings that may be in two segments are sorted for that.
+    """
+    offsets = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, 8 * pieces.offset)
+    data = pieces.buffers()[2].to_pybytes() if len(pieces) else b""
+    owners = np.full(len(pieces), np.iinfo(np.int64).max)
+    np.minimum.at(owners, which, doc)
+    size = np.diff(offsets)
+    late = doc > owners[which]
+    out = [(doc[late], begin[late], begin[late] + size[which[late]])]
+
+    many = np.maximum(size - length + 1, 0)
+    at, segment = _ranges(offsets[:-1], many), np.repeat(np.arange(len(many)), many)
+    some = np.flatnonzero(_met_twice(_string_codes(grams(data), at, length))) if len(at) else at
+    if len(some):
+        at, segment = at[some], segment[some]
+        first = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(segment) != 0)))
+        last = np.append(first[1:], len(at)) - 1
+        number: dict[bytes, int] = {}  # equal parts of segments are sorted once
+        kind = np.array(
+            [number.setdefault(data[a:b], len(number)) for a, b in zip(at[first].tolist(), (at[last] + length).tolist(), strict=True)]
+        )
+        owner = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(owner, kind, owners[segment[first]])
+        of, offset, least = least_owners(list(number), owner, length)
+        least = least[np.lexsort((offset, of))]
+        strings = np.bincount(of, minlength=len(number))
+        least = least[_ranges((np.cumsum(strings) - strings)[kind], strings[kind])]
+        hit = least < owners[segment]
+        seg, lo, hi = _spans(segment[hit], (at - offsets[segment])[hit], length)
+        own = np.flatnonzero(~late)
+        own = own[np.argsort(which[own], kind="stable")]
+        places = np.searchsorted(which[own], np.arange(len(pieces) + 1))
+        times = np.diff(places)[seg]
+        place = own[_ranges(places[seg], times)]
+        out.append((doc[place], begin[place] + np.repeat(lo, times), begin[place] + np.repeat(hi, times)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def hot_anchors(rows: DataFrame, length: int, least: int, sample: int = SAMPLE) -> np.ndarray:
     """Sorted codes of the anchors in most texts, of more than about ``least``.
 
@@ -223,15 +326,23 @@ def hot_anchors(rows: DataFrame, length: int, least: int, sample: int = SAMPLE)
     return np.sort(np.array([r["code"] for r in top], np.int64).view(np.uint64))
 
 
+def _text_parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches with about ``PART_BYTES`` of text, and those texts as bytes."""
+    for batch in batches:
+        texts = [v.encode("utf-8", "surrogatepass") for v in batch.column(column).to_pylist()]
+        for begin, end in by_bytes(texts, PART_BYTES):
+            yield batch.slice(begin, end - begin), texts[begin:end]
+
+
 def repeated_bytes(docs: DataFrame, length: int = 50, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """For each document: id, n_bytes, n_removed, n_spans, kept_sha256 and the remaining bytes as ``kept``.
 
     A byte is removed if a string of ``length`` bytes over it also starts in a document with a smaller id,
     in the input. Equal texts are one, owned by the smallest id; its copies go whole. Texts are routed by
-    anchors: grams that any string of ``length`` bytes must hold. Anchors that only one text has are
-    dropped (codes in packed rows, no text moves); around the others, the segment with all strings that
-    hold the anchor goes to the anchor's shard, where ``least_owners`` finds the strings. Around an anchor of
-    very many texts, the strings go one by one and are grouped by their own bytes.
+    anchors: the least gram of each string of ``length`` bytes. Anchors that only one text has are
+    dropped (codes in packed rows, no text moves); for the others, the segment of the neighbouring strings of
+    that anchor goes to the anchor's shard, where ``repeated_spans`` finds the strings. Strings of an anchor of
+    very many texts go one by one to the shards of their own bytes.
 
     A null text is empty and has no bytes. Rows with a null id are returned whole: nothing is removed from
     them or owned by them. Rows that repeat an id are one document: they own nothing before each other,
@@ -239,21 +350,15 @@ def repeated_bytes(docs: DataFrame, length: int = 50, text: str = "text", id_col
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shards = shard_count(docs, text, size=SHARD_TEXT)
-    reach = length - GRAM
     hot = hot_anchors(rows.where("doc is not null"), length, HOT_ANCHOR)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
-        for k, batch in enumerate(batches):
-            own, codes = [], []
-            for value in batch.column(0):
-                data = value.as_py().encode("utf-8", "surrogatepass")
-                some = np.unique(anchors(data, length)[1])
-                codes.append(some)
-                own.append(np.full(len(some), xxhash.xxh3_64_intdigest(data), np.uint64))
-            code, text_code = np.concatenate(codes), np.concatenate(own)
+        for k, (_, texts) in enumerate(_text_parts(batches, 0)):
+            text, _, _, code, _ = segments_of(texts, length)
+            text_code = np.array([xxhash.xxh3_64_intdigest(d) for d in texts], np.uint64)[text]
             shard = (mixed(code) % np.uint64(shards)).astype(np.int64)
-            shard[np.isin(code, hot)] = -1 - task - k  # known to be shared: a group a batch
+            shard[np.isin(code, hot)] = -1 - task - k  # known to be shared: a group a part
             order = np.argsort(shard, kind="stable")
             cuts = np.flatnonzero(np.diff(shard[order])) + 1
             parts = [p for p in np.split(order, cuts) if len(p)]
@@ -300,76 +405,73 @@ def repeated_bytes(docs: DataFrame, length: int = 50, text: str = "text", id_col
     asked = stored(rows.join(asked, "doc"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shard, doc, begin, piece = [], [], [], []
-            last = len(batch) - 1
-            for k, (i, value, some) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True)):
-                data = value.as_py().encode("utf-8", "surrogatepass")
-                want = np.unique(np.concatenate([np.frombuffer(c.as_buffer(), np.uint64) for c in some]))
-                at, code = anchors(data, length)
-                hit = np.isin(code, want) & ~np.isin(code, hot)
-                for a, c in zip(at[hit].tolist(), (mixed(code[hit]) % np.uint64(shards)).tolist(), strict=True):
-                    low = max(0, a - reach)
-                    shard.append(c)
-                    doc.append(i)
-                    begin.append(low)
-                    piece.append(data[low : a + length])
-                if len(piece) > 50_000 or k == last:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(shard, pa.int64()), pa.array(doc, pa.int64()), pa.array(begin, pa.int64()), pa.array(piece, pa.binary())],
-                        names=["shard", "doc", "begin", "piece"],
-                    )
-                    shard, doc, begin, piece = [], [], [], []
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The strings around hot anchors, each place once."""
-        for batch in batches:
-            for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = value.as_py().encode("utf-8", "surrogatepass")
-                at, code = anchors(data, length)
-                at = at[np.isin(code, hot)]
-                edges = np.zeros(len(data) + 1, np.int64)
-                np.add.at(edges, np.maximum(at - reach, 0), 1)
-                np.add.at(edges, at + 1, -1)
-                begin = np.flatnonzero(np.cumsum(edges)[: max(0, len(data) - length + 1)] > 0)
-                for some in np.array_split(begin, len(begin) // 50_000 + 1) if len(begin) else ():
-                    piece = [data[a : a + length] for a in some.tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(some), i)), pa.array(some), pa.array(piece, pa.binary())], names=["doc", "lo", "piece"]
-                    )
+        """Segments in packed rows: distinct ones of a part and their sizes, and which one is where."""
+        for batch, texts in _text_parts(batches, 1):
+            text, at, many, code, codes = segments_of(texts, length)
+            wanted = [b"".join(c) for c in batch.column(2).to_pylist()]
+            of = np.repeat(np.arange(len(texts)), [len(w) // 8 for w in wanted]).astype(np.uint64)
+            want = mixed(np.frombuffer(b"".join(wanted), np.uint64) ^ mixed(of))
+            hit = np.isin(mixed(code ^ mixed(text.astype(np.uint64))), want)
+            text, at, many, code = text[hit], at[hit], many[hit], code[hit]
+            one = np.isin(code, hot)  # these go string by string, by their own bytes
+            alone = _ranges(at[one], many[one])
+            code = np.concatenate([code[~one], _string_codes(codes, alone, length)])
+            text = np.concatenate([text[~one], np.repeat(text[one], many[one])])
+            at, size = np.concatenate([at[~one], alone]), np.append(many[~one], np.ones(len(alone), np.int64)) + (length - 1)
+            if not len(at):
+                continue
+            data = b"".join(texts)
+            number: dict[bytes, int] = {}
+            piece = np.array([number.setdefault(data[a:b], len(number)) for a, b in zip(at.tolist(), (at + size).tolist(), strict=True)])
+            sizes = np.array([len(t) for t in texts])
+            doc, begin = batch.column(0).to_numpy()[text], at - (np.cumsum(sizes) - sizes)[text]
+            shard = (mixed(code) % np.uint64(shards)).astype(np.int64)
+            order = np.lexsort((piece, shard))
+            shard, piece, doc, begin, size = shard[order], piece[order], doc[order], begin[order], size[order]
+            new = np.append(True, (piece[1:] != piece[:-1]) | (shard[1:] != shard[:-1]))
+            which = np.cumsum(new) - 1
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            pieces = list(number)
+            rows: list[list] = [[], [], [], [], [], []]
+            for a, b in itertools.pairwise(cuts):
+                some = new[a:b]
+                values = (
+                    int(shard[a]), doc[a:b].astype("<i8").tobytes(), begin[a:b].astype("<i8").tobytes(), (which[a:b] - which[a]).astype("<i4").tobytes(),
+                    size[a:b][some].astype("<i8").tobytes(), b"".join([pieces[k] for k in piece[a:b][some].tolist()]),
+                )
+                for column, x in zip(rows, values, strict=True):
+                    column.append(x)
+            kinds = [pa.int64(), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
 
     def find(table: pa.Table) -> pa.Table:
-        doc, begin = table.column("doc").to_numpy(), table.column("begin").to_numpy()
-        number: dict[bytes, int] = {}  # equal segments are sorted once
-        which = np.array([number.setdefault(p.as_py(), len(number)) for p in table.column("piece")], np.int64)
-        owners = np.full(len(number), np.iinfo(np.int64).max)
-        np.minimum.at(owners, which, doc)
-        segment, offset, least = least_owners(list(number), owners, length)
-        by = np.argsort(which, kind="stable")  # the places of each segment
-        begins = np.searchsorted(which[by], np.arange(len(number) + 1))
-        many = (begins[1:] - begins[:-1])[segment]
-        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        place = by[np.repeat(begins[segment], many) + step]
-        hit = doc[place] > np.repeat(least, many)
-        place = place[hit]
-        d, lo, hi = _spans(doc[place], begin[place] + np.repeat(offset, many)[hit], length)
+        doc, begin, size = (np.frombuffer(b"".join(table.column(c).to_pylist()), "<i8") for c in ("docs", "begins", "sizes"))
+        before = np.cumsum([0, *(len(b) // 8 for b in table.column("sizes").to_pylist())])
+        which = np.concatenate([np.frombuffer(b, "<i4") + n for b, n in zip(table.column("which").to_pylist(), before.tolist(), strict=False)])
+        offsets = np.append(0, np.cumsum(size)).astype(np.int64)
+        pieces = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(table.column("pieces").to_pylist()))]
+        ).dictionary_encode()
+        which = pieces.indices.to_numpy().astype(np.int64)[which]
+        d, lo, hi = repeated_spans(pieces.dictionary, which, doc, begin, length)
         return pa.table({"doc": d, "lo": lo, "hi": hi})
 
-    segments = asked.select("doc", "text", "codes").mapInArrow(cut, "shard long, doc long, begin long, piece binary")
+    names = ["shard", "docs", "begins", "which", "sizes", "pieces"]
+    schema = ", ".join(["shard long", *(f"{c} binary" for c in names[1:])])
+    segments = asked.select("doc", "text", "codes").mapInArrow(cut, schema)
     spans = segments.groupBy("shard").applyInArrow(find, "doc long, lo long, hi long")
-    if len(hot):
-        places = stored(asked.select("doc", "text").mapInArrow(strings, "doc long, lo long, piece binary"))
-        least = places.groupBy("piece").agg(F.min("doc").alias("least"))
-        hits = places.join(least, "piece").where("doc > least")
-        spans = spans.union(hits.select("doc", "lo", (F.col("lo") + length).alias("hi")))
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for i, value, some in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            spans = batch.column(2)
+            ends = np.cumsum(pa.compute.list_value_length(spans).to_numpy()).tolist()
+            bounds = spans.flatten()
+            lows, highs = (bounds.field(c).to_numpy() for c in ("lo", "hi"))
+            for i, value, begin, end in zip(batch.column(0).to_pylist(), batch.column(1), [0, *ends], ends, strict=False):
                 data = value.as_py().encode("utf-8", "surrogatepass")
-                lo, hi = (np.array([s[c] for s in some], np.int64) for c in ("lo", "hi"))
+                lo, hi = lows[begin:end], highs[begin:end]
                 edges = np.zeros(len(data) + 1, np.int64)
                 np.add.at(edges, np.minimum(lo, len(data)), 1)
                 np.add.at(edges, np.minimum(hi, len(data)), -1)

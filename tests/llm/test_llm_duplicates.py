@@ -7,6 +7,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from proofspark.llm import embeddings, lines, minhash, suffix
@@ -284,6 +285,44 @@ def test_hot_anchors_are_split(spark, monkeypatch):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (n, removed, spans, sha)
 
 
+def test_segments_hold_each_string_once():
+    r = random.Random(5)
+    texts = [bytes(r.choice(b"abc") for _ in range(r.choice([0, 10, 49, 50, 51, 300]))) for _ in range(60)]
+    texts += [b"z" * 500, b"ab" * 200, b"", b"q" * 50]
+    begins = np.cumsum([0, *map(len, texts)])
+    text, at, many, code, _ = suffix.segments_of(texts, 50)
+    places = [(i, a - begins[i] + k, c) for i, a, n, c in zip(text, at, many, code, strict=True) for k in range(n)]
+    assert sorted(p[:2] for p in places) == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 49)]
+    codes: dict = {}
+    assert all(codes.setdefault(texts[i][k : k + 50], c) == c for i, k, c in places)
+
+
+def test_only_strings_of_two_segments_are_sorted(monkeypatch):
+    r = random.Random(6)
+    word = lambda n: bytes(r.choice(b"abcdefgh") for _ in range(n))
+    common, sorted_bytes = word(55), []
+    pieces = [word(80) for _ in range(40)] + [common + word(20), word(20) + common]
+    which = np.array([*range(42), 0, 0, 41])
+    doc, begin = np.array([*range(100, 142), 300, 99, 150]), np.arange(45) * 1000
+    whole = suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda t, depth: (sorted_bytes.append(len(t)), whole(t, depth))[1])
+    got = suffix.repeated_spans(pa.array(pieces, pa.large_binary()), which, doc, begin, 50)
+    # 99 owns piece 0, 141 owns piece 41 but for its common part, which 140 owns
+    want = [(100, 0, 80), (300, 42_000, 42_080), (150, 44_000, 44_075), (141, 41_020, 41_075)]
+    assert sorted(zip(*(c.tolist() for c in got), strict=True)) == sorted(want)
+    assert sum(sorted_bytes) < 500
+
+
+def test_strings_of_hot_anchors_are_not_joined(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT_ANCHOR", 2)
+    monkeypatch.setattr(suffix, "hot_anchors", functools.partial(suffix.hot_anchors, sample=1))
+    phrase = "".join(random.Random(8).choice("abcdefghij") for _ in range(70))
+    rows = suffix.repeated_bytes(make(spark, [f"{phrase}{i:030d}" for i in range(8)]))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "piece" in line]
+    assert {r.doc_id: r.n_removed for r in rows.collect()} == {0: 0} | {i: 99 for i in range(1, 8)}
+
+
 def test_bytes_odd_rows(spark):
     long = "q" * 20 + "w" * 40
     rows = [(None, long), (1, long), (1, long), (2, long), (3, None)]
