@@ -62,18 +62,44 @@ def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, line - first[text], code
 
 
+def _ranks(code: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """1 and up for codes by their place in ``order``, 0 for others; by a table over the leading 20 bits."""
+    rank = np.zeros(len(code), np.int64)
+    by_code = np.argsort(order, kind="stable")
+    ordered = order[by_code]
+    first = np.searchsorted(ordered, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32) if len(code) else NO_WORDS
+    left, at = np.arange(len(code)), first[code >> np.uint64(44)] if len(code) else NO_WORDS
+    while len(left):
+        some = np.flatnonzero(at < len(ordered))
+        left, at = left[some], at[some]
+        found, mine = ordered[at], code[left]
+        hit = found == mine
+        rank[left[hit]] = by_code[at[hit]] + 1
+        more = found < mine
+        left, at = left[more], at[more] + 1
+    return rank
+
+
+def _sorted_words(number: np.ndarray, rank: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Places of words by line number, rank and code: sorted by one 64-bit key, by all three if two words share one."""
+    if len(number) and number[-1] < 1 << 24 and rank.max() < 1 << 39:
+        within = np.where(rank > 0, rank.astype(np.uint64) | np.uint64(1 << 39), code >> np.uint64(25))
+        key = (number.astype(np.uint64) << np.uint64(40)) | within
+        at = np.argsort(key)
+        if not ((np.diff(key[at]) == 0) & (np.diff(code[at]) != 0)).any():
+            return at
+    return np.lexsort((code, rank, number))
+
+
 def line_sets(texts: list[bytes], order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines with a word as (text, line number, words), and their distinct word codes, rarest first, one line
     after another. ``order`` has the codes of frequent words, rarest first; others come before them by code.
     """
     text, line, code = line_words(texts)
-    rank = np.zeros(len(code), np.int64)
-    if len(order) and len(code):
-        by_code = np.argsort(order, kind="stable")
-        where = np.minimum(np.searchsorted(order[by_code], code), len(order) - 1)
-        rank = np.where(order[by_code][where] == code, by_code[where] + 1, 0)
+    rank = _ranks(code, order)
     new = np.append(True, (text[1:] != text[:-1]) | (line[1:] != line[:-1]))[: len(code)]
-    at = np.lexsort((code, (np.cumsum(new) - 1) * (len(order) + 1) + rank))
+    number = np.cumsum(new) - 1
+    at = _sorted_words(number, rank, code)
     text, line, code = text[at], line[at], code[at]
     new = np.append(True, (text[1:] != text[:-1]) | (line[1:] != line[:-1]))[: len(code)]
     keep = new | np.append(True, code[1:] != code[:-1])[: len(code)]
@@ -236,8 +262,9 @@ def _unpacked(blobs: list[bytes]) -> np.ndarray:
     return np.concatenate(out)
 
 
-#: Posting lists up to this length are compared offset by offset, longer ones line by line.
-SHORT_LIST = 64
+#: Posting lists up to this length are compared in one go; links of longer ones are summed up after as many offsets,
+#: and after so many links, so that a list of near copies is not held pair by pair.
+SHORT_LIST, MOST_LINKS = 64, 2_000_000
 
 
 def _labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -270,6 +297,44 @@ def _passing(p: int, q: int, size: np.ndarray, at: np.ndarray, parity: list[np.n
     return passed
 
 
+def _nearest(
+    p: int, q: int, token: np.ndarray, size: np.ndarray, at: np.ndarray, parity: list[np.ndarray], line_of: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For postings by token and line: those with candidates before them in their list, the best of these, in how many
+    parity bits it differs, and for all the least posting that candidates join to each.
+
+    A list is ordered by size and compared offset by offset, all lists at once; a line leaves when the next one
+    before it is too small, as are all the others then.
+    """
+    n = len(token)
+    by = np.lexsort((size, token))
+    passed = _passing(p, q, size[by], at[by], [word[by] for word in parity], line_of[by])
+    sizes = size[by].astype(np.int64)
+    first = np.append(True, np.diff(token[by]) != 0)
+    place = np.arange(n) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    none = np.iinfo(np.int64).max
+    best = np.full(n, none)
+    links, held = [], 0
+    later, back = np.flatnonzero(place > 0), 1
+    while len(later):
+        x, y, differ = passed(later, later - back)
+        if len(x):
+            i, j = np.maximum(by[x], by[y]), np.minimum(by[x], by[y])
+            np.minimum.at(best, i, differ << 40 | j)
+            links.append(np.stack([i, j]))
+            held += len(i)
+        if held and (held > MOST_LINKS or back % SHORT_LIST == 0):
+            label = _labels(n, *np.concatenate(links, axis=1))
+            i = np.flatnonzero(label != np.arange(n))
+            links, held = [np.stack([i, label[i]])], 0
+        back += 1
+        later = later[place[later] >= back]
+        later = later[p * sizes[later - back] >= q * sizes[later]]
+    label = _labels(n, *np.concatenate([np.zeros((2, 0), np.int64), *links], axis=1))
+    i = np.flatnonzero(best != none)
+    return i, best[i] & ((1 << 40) - 1), best[i] >> 40, label
+
+
 def _candidates(p: int, q: int):
     """For a shard, rows (doc, line, doc0, line0, differ) of three kinds.
 
@@ -291,35 +356,7 @@ def _candidates(p: int, q: int):
         parity = [word.view(np.uint64) for word in parity]
         line_of = rows[["doc", "line"]][one]
 
-        passed = _passing(p, q, size, at, parity, line_of)
-        cuts = np.flatnonzero(np.diff(token)) + 1
-        starts, ends = np.append(0, cuts), np.append(cuts, len(one))
-        place = np.arange(len(one)) - np.repeat(starts, ends - starts)
-        short = np.repeat(ends - starts <= SHORT_LIST, ends - starts)
-        later = np.flatnonzero(short & (place > 0))
-        hits = [np.zeros((3, 0), np.int64)]
-        for back in range(1, SHORT_LIST):
-            later = later[place[later] >= back]
-            if not len(later):
-                break
-            i, j, differ = passed(later, later - back)
-            hits.append(np.stack([i, differ, j]))
-        i, differ, j = np.concatenate(hits, axis=1)
-        label = _labels(len(one), i, j)
-        order = np.lexsort((j, differ, i))
-        best = order[np.append(True, i[order][1:] != i[order][:-1])[: len(order)]]
-        links = [np.stack([i[best], j[best], differ[best]])]
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if not short.all() else ():
-            for i in range(s + 1, e) if e - s > SHORT_LIST else ():
-                _, j, differ = passed(np.full(i - s, i), np.arange(s, i))
-                if len(j):
-                    k = np.argmin(differ)
-                    links.append(np.array([[i], [j[k]], [differ[k]]]))
-                    low = label[j].min()
-                    label[i] = low
-                    if (label[j] != low).any():
-                        label[s:i][np.isin(label[s:i], label[j])] = low
-        i, j, differ = np.concatenate(links, axis=1)
+        i, j, differ, label = _nearest(p, q, token, size, at, parity, line_of)
         joined = np.bincount(label, minlength=len(one))[label] > 1
         cluster = mixed(token.astype(np.uint64) ^ mixed(np.uint64(key) + mixed(label.astype(np.uint64)))).view(np.int64)
         a, b, c = rows[one[i]], rows[one[j]], rows[one[joined]]

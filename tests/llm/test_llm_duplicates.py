@@ -189,6 +189,40 @@ def test_long_posting_lists_are_split(spark, monkeypatch):
     assert not np.isin(left, (hot >> np.uint64(32)).astype(np.uint32).view(np.int32)).any()
 
 
+@pytest.mark.parametrize("most", [20, 2_000_000])
+def test_long_posting_lists_are_compared_together(monkeypatch, most):
+    rng = np.random.default_rng(7)
+    n = 400
+    size = rng.integers(5, 200, n)
+    size[:30] = 40
+    rows = np.zeros(n, lines.POSTING)
+    rows["doc"], rows["size"], rows["token"], rows["whole"] = rng.permutation(n), size, 9, np.arange(n)
+    parity = rng.integers(0, 1 << 60, (n, 2))
+    parity[:30] = parity[0] ^ (1 << rng.integers(0, 3, (30, 2)))  # near copies
+    rows["p0"], rows["p1"] = parity.T
+    passing, compared = lines._passing, []
+    count = lambda passed: lambda i, j: (compared.append(len(i)), passed(i, j))[1]
+    monkeypatch.setattr(lines, "_passing", lambda *a: count(passing(*a)))
+    monkeypatch.setattr(lines, "MOST_LINKS", most, raising=False)
+    found = lines._candidates(10, 8)(0, pa.table({"packed": [lines._packed([(0, rows)], 1).column(2)[0].as_py()]})).to_pylist()
+    assert len(compared) < 250 and sum(compared) < n * n // 4  # not line by line, and not sizes that are too far apart
+    rows = rows[np.argsort(rows["doc"])]
+    passed = passing(10, 8, rows["size"], rows["at"], [rows[c].view(np.uint64) for c in ("p0", "p1")], rows[["doc", "line"]])
+    want, label = {}, np.arange(n)
+    for i in range(1, n):
+        _, j, differ = passed(np.full(i, i), np.arange(i))
+        if len(j):
+            want[i] = (int(j[np.argmin(differ)]), int(differ.min()))
+            label[np.isin(label, np.append(label[j], label[i]))] = label[j].min()
+    assert len(want) >= 29
+    assert {r["doc"]: (r["doc0"], r["differ"]) for r in found if r["line0"] >= 0} == want
+    joined: dict = {}
+    for r in found:
+        if r["line0"] < 0:
+            joined.setdefault(r["doc0"], set()).add(r["doc"])
+    assert sorted(map(sorted, joined.values())) == sorted(g for k in set(label) if len(g := np.flatnonzero(label == k).tolist()) > 1)
+
+
 def test_line_sets():
     texts = ["", "b a b\n\n \t\nc", "long" * 200 + " " + "x" * 9 + "\n" + "x" * 17, "\u00e9 a\u00a0b a\x0bb\r\n", "a" + "\x00"]
     which, line, size, codes = lines.line_sets([t.encode() for t in texts], np.zeros(0, np.uint64))
