@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofspark.llm.blocks import blocked, groups_of
-from proofspark.llm.common import by_bytes, documents, mixed, shard_count, stored
+from proofspark.llm.common import by_bytes, documents, mixed, stored
 
 #: Frequent words whose order goes to every task; all others count as rare, ordered by their code.
 FREQUENT = 50_000
@@ -21,95 +21,119 @@ FREQUENT = 50_000
 PART_BYTES = 8 << 20
 #: Posting lists beyond so many lines are split into blocks of about so many; how many such lists are told to all tasks.
 HOT_LIST, MOST_HOT = 8192, 100_000
-#: One in so many documents is asked for long posting lists, and each one beyond so many characters.
+#: One in so many documents is asked for long posting lists, and each one beyond so many bytes.
 SAMPLE, LONG_TEXT = 16, 1 << 16
 NO_WORDS = np.zeros(0, np.uint64)
 SHARD_TEXT = 8 << 20
-
+#: Counted words that a task holds before it hands them on.
+MOST_COUNTED = 1 << 20
 
 #: Bytes that end a word, and masks of the first 0 to 8 bytes of a little-endian integer.
 SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Words beyond so many bytes are coded one by one.
 LONG_WORD = 512
+LENGTHS = mixed(np.arange(LONG_WORD + 1, dtype=np.uint64))
+#: Bytes of text whose words are coded and sorted at once, so that their arrays stay in a core's cache.
+CACHED_BYTES = 1 << 18
 
 
-def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line number, 64-bit code) of every word of some texts, in their order.
+def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line number) of every line with a word, the 64-bit codes of all words in their order, words per line.
 
     Words of up to 8 bytes have codes of their own; longer ones share one with a chance of 2^-64.
     """
-    data = b"\n".join(texts) + b"\n"
-    n = len(data)
-    chars = np.frombuffer(data, np.uint8)
-    edges = np.diff(SPACES[chars].view(np.int8), prepend=np.int8(1))
-    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-    eight = np.ndarray((n,), "<u8", buffer=data + bytes(8), strides=(1,))
+    data = b"\n".join([b"", *texts, bytes(8)])
+    n = len(data) - 8
+    chars = np.frombuffer(data, np.uint8, n)
+    space = SPACES[chars]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    eight = np.ndarray((n,), "<u8", buffer=data, strides=(1,))
     length = ends - starts
-    code = mixed(length.astype(np.uint64))
-    left, at = np.flatnonzero(length <= LONG_WORD), 0
+    code = mixed(LENGTHS[np.minimum(length, LONG_WORD)] ^ (eight[starts] & MASKS[np.minimum(length, 8)]))
+    left, at = np.flatnonzero((length > 8) & (length <= LONG_WORD)), 8
     while len(left):
         rest = length[left] - at
         code[left] = mixed(code[left] ^ (eight[starts[left] + at] & MASKS[np.minimum(rest, 8)]))
         left, at = left[rest > 8], at + 8
     for k in np.flatnonzero(length > LONG_WORD).tolist():
         code[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
-    breaks = np.flatnonzero(chars == 10)
+    breaks = np.flatnonzero(chars == 10)  # one before each line, and one at the end
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     first = np.searchsorted(breaks, np.cumsum(sizes) - sizes)
-    line = np.searchsorted(breaks, starts)
-    text = np.searchsorted(first, line, side="right") - 1
-    return text, line - first[text], code
+    text = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(breaks) - 1)))
+    words = np.diff(np.searchsorted(starts, breaks))
+    some = np.flatnonzero(words)
+    text = text[some]
+    return text, some - first[text], code, words[some]
 
 
-def _ranks(code: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """1 and up for codes by their place in ``order``, 0 for others; by a table over the leading 20 bits."""
-    rank = np.zeros(len(code), np.int64)
+def _rank_table(order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes in ascending order, their ranks from 1 by their place in ``order``, and where each leading 17 bits begin."""
     by_code = np.argsort(order, kind="stable")
-    ordered = order[by_code]
-    first = np.searchsorted(ordered, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32) if len(code) else NO_WORDS
-    left, at = np.arange(len(code)), first[code >> np.uint64(44)] if len(code) else NO_WORDS
+    ordered = np.append(order[by_code], np.uint64((1 << 64) - 1))
+    first = np.searchsorted(ordered[:-1], np.arange(1 << 17, dtype=np.uint64) << np.uint64(47)).astype(np.int32)
+    return ordered, np.append(by_code + 1, 0), first
+
+
+def _ranks(code: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """1 and up for codes by their place in the order of ``_rank_table``, 0 for others."""
+    ordered, ranks, first = table
+    at = first[code >> np.uint64(47)]
+    found = ordered[at]
+    rank = np.where(found == code, ranks[at], 0)
+    left = np.flatnonzero(found < code)
+    at = at[left] + 1
     while len(left):
-        some = np.flatnonzero(at < len(ordered))
-        left, at = left[some], at[some]
         found, mine = ordered[at], code[left]
         hit = found == mine
-        rank[left[hit]] = by_code[at[hit]] + 1
+        rank[left[hit]] = ranks[at[hit]]
         more = found < mine
         left, at = left[more], at[more] + 1
     return rank
 
 
-def _sorted_words(number: np.ndarray, rank: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Places of words by line number, rank and code: sorted by one 64-bit key, by all three if two words share one."""
+def _sorted_words(number: np.ndarray, rank: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes by line number, rank and code, and which of them are new in their line.
+
+    Sorted by one 64-bit key, by all three if two words share one.
+    """
     if len(number) and number[-1] < 1 << 24 and rank.max() < 1 << 39:
         within = np.where(rank > 0, rank.astype(np.uint64) | np.uint64(1 << 39), code >> np.uint64(25))
         key = (number.astype(np.uint64) << np.uint64(40)) | within
-        at = np.argsort(key)
-        if not ((np.diff(key[at]) == 0) & (np.diff(code[at]) != 0)).any():
-            return at
-    return np.lexsort((code, rank, number))
+        by = np.argsort(key)
+        key, sorted_code = key[by], code[by]
+        same_key, same = key[1:] == key[:-1], sorted_code[1:] == sorted_code[:-1]
+        if not (same_key & ~same).any():
+            return sorted_code, np.append(True, ~same_key)
+    by = np.lexsort((code, rank, number))
+    number, code = number[by], code[by]
+    return code, np.append(True, (number[1:] != number[:-1]) | (code[1:] != code[:-1]))[: len(code)]
+
+
+def _cached_sets(texts: list[bytes], order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``line_sets`` gives, for about ``CACHED_BYTES`` of texts after another."""
+    table = _rank_table(order)
+    for begin, end in by_bytes(texts, CACHED_BYTES):
+        text, line, code, words = line_words(texts[begin:end])
+        if not len(text):
+            continue
+        code, keep = _sorted_words(np.repeat(np.arange(len(words)), words), _ranks(code, table), code)
+        yield text + begin, line, np.add.reduceat(keep, np.cumsum(words) - words, dtype=np.int64), code[keep]
 
 
 def line_sets(texts: list[bytes], order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines with a word as (text, line number, words), and their distinct word codes, rarest first, one line
     after another. ``order`` has the codes of frequent words, rarest first; others come before them by code.
     """
-    text, line, code = line_words(texts)
-    rank = _ranks(code, order)
-    new = np.append(True, (text[1:] != text[:-1]) | (line[1:] != line[:-1]))[: len(code)]
-    number = np.cumsum(new) - 1
-    at = _sorted_words(number, rank, code)
-    text, line, code = text[at], line[at], code[at]
-    new = np.append(True, (text[1:] != text[:-1]) | (line[1:] != line[:-1]))[: len(code)]
-    keep = new | np.append(True, code[1:] != code[:-1])[: len(code)]
-    text, line, code, new = text[keep], line[keep], code[keep], new[keep]
-    starts = np.flatnonzero(new)
-    return text[starts], line[starts], np.diff(np.append(starts, len(code))), code
+    none = np.zeros(0, np.int64)
+    text, line, size, codes = zip((none, none, none, NO_WORDS), *_cached_sets(texts, order))
+    return np.concatenate(text), np.concatenate(line), np.concatenate(size), np.concatenate(codes)
 
 
 def _texts(column: pa.Array) -> list[bytes]:
-    return [(v or "").encode("utf-8", "surrogatepass") for v in column.to_pylist()]
+    return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
 
 
 def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -120,18 +144,39 @@ def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             yield batch.slice(begin, end - begin), texts[begin:end]
 
 
-def frequent_words(docs: DataFrame, text: str, most: int) -> np.ndarray:
-    """Codes of the ``most`` words met most often, rarest first. Words met once in a part of a task count as rare."""
+def frequent_words(docs: DataFrame, text: str, most: int) -> tuple[np.ndarray, int]:
+    """Codes of the ``most`` words met most often, rarest first, and the bytes of all texts.
+
+    Words met once in a part of a task count as rare.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            codes, of = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            return codes, np.bincount(of, np.concatenate([n for _, n in held]), len(codes)).astype(np.int64)
+
         for _, texts in _parts(batches, 0):
-            codes, n = np.unique(line_words(texts)[2], return_counts=True)
-            some = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(codes[some].view(np.int64)), pa.array(n[some])], names=["code", "n"])
+            total += sum(map(len, texts))
+            part = [line_words(texts[begin:end])[2] for begin, end in by_bytes(texts, CACHED_BYTES)]
+            codes, n = np.unique(np.concatenate(part), return_counts=True)
+            held.append((codes[n > 1], n[n > 1]))
+            if sum(len(c) for c, _ in held) > MOST_COUNTED:
+                yield _counts(*summed())
+                held = []
+        if held:
+            yield _counts(*summed())
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([total])], names=["code", "n"])
 
     counted = docs.select(text).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "code").limit(most).collect()
-    return np.array([r["code"] for r in reversed(top)], np.int64).view(np.uint64)
+    top = counted.orderBy(F.col("code").isNull().desc(), F.desc("n"), "code").limit(most + 1).collect()
+    total = top[0]["n"] if top else 0
+    return np.array([r["code"] for r in reversed(top[1:])], np.int64).view(np.uint64), total
+
+
+def _counts(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n)], names=["code", "n"])
 
 
 def _prefix(size: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -167,7 +212,7 @@ def hot_tokens(docs: DataFrame, text: str, order: np.ndarray, p: int, q: int, le
 
     Counted on a hashed sample of the texts and on all long ones. It only decides how work is split, not results.
     """
-    long = F.length(text) > LONG_TEXT
+    long = F.octet_length(text) > LONG_TEXT
     weight = F.when(long, 1).otherwise(sample).cast("long")
     some = docs.where(long | (F.pmod(F.xxhash64(text, F.lit(9)), F.lit(sample)) == 0)).select(weight, text)
 
@@ -178,7 +223,7 @@ def hot_tokens(docs: DataFrame, text: str, order: np.ndarray, p: int, q: int, le
             each = np.repeat(batch.column(0).to_numpy()[which], n)
             token, of = np.unique(flat, return_inverse=True)
             total = np.bincount(of, each, len(token)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(total)], names=["code", "n"])
+            yield _counts(token, total)
 
     counted = some.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") > least)
     top = counted.orderBy(F.desc("n"), "code").limit(MOST_HOT).collect()
@@ -197,12 +242,15 @@ def _entries(
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
         for part_of_task, (batch, texts) in enumerate(_parts(batches, 1)):
-            which, line, size, codes = line_sets(texts, order)
-            if not len(line):
+            cached = []
+            for which, line, size, codes in _cached_sets(texts, order):
+                starts = np.cumsum(size) - size
+                names = [np.add.reduceat(mixed(codes ^ np.uint64(salt)), starts) for salt in (0x51, 0xA7)]  # of whole sets
+                cached.append((which, line, size, *names, _parity(codes, size), *_prefixes(size, codes, np.arange(len(size)), p, q)))
+            if not cached:
                 continue
+            which, line, size, *names, parity, n, at, flat = map(np.concatenate, zip(*cached, strict=True))
             doc = batch.column(0).to_numpy(zero_copy_only=False)[which]
-            starts = np.cumsum(size) - size
-            names = [np.add.reduceat(mixed(codes ^ np.uint64(salt)), starts) for salt in (0x51, 0xA7)]  # of whole sets
             by = np.lexsort((line, doc, names[1], names[0]))
             new = np.append(True, (names[0][by][1:] != names[0][by][:-1]) | (names[1][by][1:] != names[1][by][:-1]))
             first = by[np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -210,26 +258,36 @@ def _entries(
             if again.any():
                 yield _packed([(task + part_of_task, np.stack([doc[by][again], line[by][again]], axis=1))], 0)
             own = np.sort(by[new])
-            n, at, flat = _prefixes(size, codes, own, p, q)
-            parity = _parity(codes, size)[own]
-            shard = (flat % np.uint64(shards)).astype(np.int64)
-            out = np.zeros(len(flat), POSTING)
-            out["token"] = (flat >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            posted = np.repeat(np.isin(np.arange(len(n)), own), n)
+            n, at, flat, parity = n[own], at[posted], flat[posted], parity[own]
             whole = (names[0][own] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             own_columns = {"doc": doc[own], "line": line[own], "size": size[own], "whole": whole} | dict(zip(PARITY, parity.T, strict=True))
-            for name, values in own_columns.items():
-                out[name] = np.repeat(values, n)
-            out["at"] = at
+            of = np.repeat(np.arange(len(own)), n)
+
+            def postings(some: np.ndarray, own_columns=own_columns, of=of, flat=flat, at=at) -> dict[str, np.ndarray]:
+                token = (flat[some] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                columns = {"token": token, "at": at[some]} | {name: values[of[some]] for name, values in own_columns.items()}
+                return {name: columns[name].astype(POSTING[name]) for name in POSTING.names}
+
+            short = np.ones(len(flat), bool)
             if len(hot):
-                long = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] == flat
-                if long.any():
-                    wide = np.concatenate([flat[long].astype("<u8").view(np.uint8), out[long].view(np.uint8)])
+                short = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] != flat
+                if not short.all():
+                    long = np.flatnonzero(~short)
+                    out = np.zeros(len(long), POSTING)
+                    for name, values in postings(long).items():
+                        out[name] = values
+                    wide = np.concatenate([flat[long].astype("<u8").view(np.uint8), out.view(np.uint8)])
                     yield _packed([(task + part_of_task, wide)], 2)
-                shard, out = shard[~long], out[~long]
-            by = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.diff(shard[by])) + 1
-            if len(by):
-                yield _packed([(int(shard[part[0]]), out[part]) for part in np.split(by, cuts)], 1)
+            some = np.flatnonzero(short)
+            shard = (flat[some] % np.uint64(shards)).astype(np.int64)
+            by = np.argsort(shard)
+            shard, columns = shard[by], postings(some[by])
+            starts = np.flatnonzero(np.diff(shard, prepend=-1))
+            ends = [*starts[1:].tolist(), len(shard)]
+            if len(shard):
+                parts = [(int(shard[a]), {name: v[a:b] for name, v in columns.items()}) for a, b in zip(starts.tolist(), ends, strict=True)]
+                yield _packed(parts, 1)
 
     return docs.select(F.col(id_column).cast("long"), text).mapInArrow(post, "shard long, kind int, packed binary")
 
@@ -241,7 +299,7 @@ POSTING = np.dtype(
 )
 
 
-def _packed(parts: list[tuple[int, np.ndarray]], kind: int) -> pa.RecordBatch:
+def _packed(parts: list[tuple[int, np.ndarray | dict[str, np.ndarray]]], kind: int) -> pa.RecordBatch:
     blobs = [rows.tobytes() if kind != 1 else b"".join(rows[name].tobytes() for name in POSTING.names) for _, rows in parts]
     return pa.RecordBatch.from_arrays(
         [pa.array([s for s, _ in parts], pa.int64()), pa.array([kind] * len(parts), pa.int32()), pa.array(blobs, pa.binary())],
@@ -249,17 +307,15 @@ def _packed(parts: list[tuple[int, np.ndarray]], kind: int) -> pa.RecordBatch:
     )
 
 
-def _unpacked(blobs: list[bytes]) -> np.ndarray:
-    out = []
+def _unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    """The columns of packed postings."""
+    out: dict[str, list[np.ndarray]] = {name: [] for name in POSTING.names}
     for blob in blobs:
         n, begin = len(blob) // POSTING.itemsize, 0
-        rows = np.zeros(n, POSTING)
         for name in POSTING.names:
-            width = POSTING[name].itemsize
-            rows[name] = np.frombuffer(blob[begin : begin + n * width], POSTING[name])
-            begin += n * width
-        out.append(rows)
-    return np.concatenate(out)
+            out[name].append(np.frombuffer(blob, POSTING[name], n, begin))
+            begin += n * POSTING[name].itemsize
+    return {name: np.concatenate(parts) for name, parts in out.items()}
 
 
 #: Posting lists up to this length are compared in one go; links of longer ones are summed up after as many offsets,
@@ -300,14 +356,14 @@ def _passing(p: int, q: int, size: np.ndarray, at: np.ndarray, parity: list[np.n
 def _nearest(
     p: int, q: int, token: np.ndarray, size: np.ndarray, at: np.ndarray, parity: list[np.ndarray], line_of: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For postings by token and line: those with candidates before them in their list, the best of these, in how many
+    """For postings ordered by line: those with candidates before them in their list, the best of these, in how many
     parity bits it differs, and for all the least posting that candidates join to each.
 
     A list is ordered by size and compared offset by offset, all lists at once; a line leaves when the next one
     before it is too small, as are all the others then.
     """
     n = len(token)
-    by = np.lexsort((size, token))
+    by = np.argsort(token.astype(np.int64) << 32 | size)
     passed = _passing(p, q, size[by], at[by], [word[by] for word in parity], line_of[by])
     sizes = size[by].astype(np.int64)
     first = np.append(True, np.diff(token[by]) != 0)
@@ -344,23 +400,31 @@ def _candidates(p: int, q: int):
 
     def find(key: int, table: pa.Table) -> pa.Table:
         rows = _unpacked([b.as_py() for b in table.column("packed")])
-        rows = rows[np.lexsort((rows["line"], rows["doc"], rows["token"]))]
-        signed = mixed(rows["token"].astype(np.uint64) ^ mixed(rows["size"].astype(np.uint64) << np.uint64(32) | rows["at"].astype(np.uint64)))
-        for word in (*PARITY, "whole"):
-            signed = mixed(signed ^ rows[word].astype(np.int64).view(np.uint64))
-        first, of = np.unique(signed, return_index=True, return_inverse=True)[1:]
+        signed = mixed(rows["token"].astype(np.uint64) << np.uint64(32) | rows["whole"].view(np.uint32))
+        signed = mixed(signed ^ (rows["size"].astype(np.uint64) << np.uint64(32) | rows["at"].astype(np.uint64)))
+        for word in PARITY:
+            signed = mixed(signed ^ rows[word].view(np.uint64))
+        by = np.argsort(signed)
+        rows = {name: values[by] for name, values in rows.items()}
+        signed, doc, line = signed[by], rows["doc"], rows["line"]
         # Equal sets, told by their size, parities and code, meet at their first word; the first stands for all.
-        again = (rows["at"] == 0) & ((rows["doc"] != rows["doc"][first[of]]) | (rows["line"] != rows["line"][first[of]]))
-        one = np.sort(first)
-        token, size, at, *parity = (np.ascontiguousarray(rows[name][one]) for name in ("token", "size", "at", *PARITY))
+        new = np.append(True, signed[1:] != signed[:-1])
+        of, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        first = doc == np.minimum.reduceat(doc, starts)[of]
+        first &= line == np.minimum.reduceat(np.where(first, line, np.iinfo(np.int32).max), starts)[of]
+        again = ~first & (rows["at"] == 0)
+        one = np.flatnonzero(first)
+        one = one[np.append(True, np.diff(of[one]) != 0)]
+        one = one[np.lexsort((line[one], doc[one]))]
+        token, size, at, *parity = (rows[name][one] for name in ("token", "size", "at", *PARITY))
         parity = [word.view(np.uint64) for word in parity]
-        line_of = rows[["doc", "line"]][one]
+        line_of = np.cumsum(np.append(False, (np.diff(doc[one]) != 0) | (np.diff(line[one]) != 0)))
 
         i, j, differ, label = _nearest(p, q, token, size, at, parity, line_of)
         joined = np.bincount(label, minlength=len(one))[label] > 1
         cluster = mixed(token.astype(np.uint64) ^ mixed(np.uint64(key) + mixed(label.astype(np.uint64)))).view(np.int64)
-        a, b, c = rows[one[i]], rows[one[j]], rows[one[joined]]
-        sizes = [int(again.sum()), len(i), len(c)]
+        a, b, c = ({name: rows[name][at] for name in ("doc", "line")} for at in (one[i], one[j], one[joined]))
+        sizes = [int(again.sum()), len(i), len(c["doc"])]
         doc = np.concatenate([rows["doc"][again], a["doc"], c["doc"]])
         line = np.concatenate([rows["line"][again], a["line"], c["line"]]).astype(np.int64)
         doc0 = np.concatenate([np.zeros(sizes[0], np.int64), b["doc"], cluster[joined]])
@@ -457,16 +521,20 @@ def _settle(p: int, q: int):
         doc, line = table.column("doc").to_numpy(), table.column("line").to_numpy()
         undecided = table.column("undecided").to_numpy(zero_copy_only=False)
         sets = [np.frombuffer(c.as_buffer(), np.uint64) for c in table.column("codes")]
+        size = np.array([len(c) for c in sets], np.int64)
+        parity = _parity(np.concatenate([NO_WORDS, *sets]), size).view(np.uint64)
         found = set()
         for left, right in groups_of(table, ["cluster"]):
-            for mine, other in {(tuple(left), tuple(right)), (tuple(right), tuple(left))}:
-                for i in (i for i in mine if undecided[i] and i not in found):
-                    for j in other:
-                        if (doc[j], line[j]) < (doc[i], line[i]):
-                            n = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                            if p * n >= q * (len(sets[i]) + len(sets[j]) - n):
-                                found.add(i)
-                                break
+            for mine, other in [(left, right)] if left is right else [(left, right), (right, left)]:
+                for i in (i for i in mine.tolist() if undecided[i] and i not in found):
+                    near = other[(doc[other] < doc[i]) | (doc[other] == doc[i]) & (line[other] < line[i])]
+                    near = near[p * np.minimum(size[near], size[i]) >= q * np.maximum(size[near], size[i])]
+                    differ = np.bitwise_count(parity[near] ^ parity[i]).sum(axis=1, dtype=np.int64)
+                    for j in near[(p + q) * differ <= (p - q) * (size[near] + size[i])].tolist():
+                        n = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if p * n >= q * (size[i] + size[j] - n):
+                            found.add(i)
+                            break
         at = np.array(sorted(found), np.int64)
         return pa.table({"doc": doc[at], "line": line[at]})
 
@@ -476,7 +544,12 @@ def _settle(p: int, q: int):
 def repeated_lines(
     docs: DataFrame, above: tuple[int, int] = (10, 8), text: str = "text", id_column: str = "doc_id", frequent: int = FREQUENT
 ) -> DataFrame:
-    """(doc, line) of every line with an earlier line at p * intersection >= q * union of their word sets.
+    """``_repeated_lines``, each once."""
+    return _repeated_lines(docs, above, text, id_column, frequent).distinct()
+
+
+def _repeated_lines(docs: DataFrame, above: tuple[int, int], text: str, id_column: str, frequent: int) -> DataFrame:
+    """(doc, line), once or more, of every line with an earlier line at p * intersection >= q * union of their word sets.
 
     Earlier is a smaller (id, line number); lines are judged on the input, whether or not the earlier one
     is removed itself. Words are ordered by rarity; each line is posted under its prefix. In a posting
@@ -488,8 +561,8 @@ def repeated_lines(
     """
     p, q = above
     rows = docs.where(F.col(id_column).isNotNull())
-    shards = shard_count(docs, text, size=SHARD_TEXT)
-    order = frequent_words(rows, text, frequent)
+    order, total = frequent_words(rows, text, frequent)
+    shards = max(8, total // SHARD_TEXT + 1)
     hot = hot_tokens(rows, text, order, p, q, HOT_LIST)
     entries = _entries(rows, text, id_column, shards, order, p, q, hot)
     candidates = _candidates(p, q)
@@ -533,7 +606,7 @@ def repeated_lines(
                 names=["doc", "line", "codes"],
             )
 
-    joined = rows.select(F.col(id_column).cast("long").alias("doc"), F.col(text).alias("text")).join(wanted, "doc")
+    joined = rows.select(F.col(id_column).cast("long").alias("doc"), F.col(text).alias("text")).join(wanted.hint("shuffle_hash"), "doc")
     sets = stored(joined.select("doc", "text", "lines").mapInArrow(sets_of, "doc long, line long, codes binary").dropDuplicates(["doc", "line"]))
     second = sets.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("codes").alias("codes0"))
 
@@ -550,24 +623,23 @@ def repeated_lines(
             pair, code = pair[order], code[order]
             common = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (code[1:] == code[:-1])], minlength=len(batch))
             keep = p * common >= q * (many[0] + many[1] - common)
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keep)], names=["doc", "line", "similar"])
 
     pairs = links.join(sets, ["doc", "line"]).join(second, ["doc0", "line0"]).select("doc", "line", "doc0", "line0", "codes", "codes0")
-    true = stored(pairs.mapInArrow(verify, "doc long, line long, doc0 long, line0 long").select("doc", "line").distinct())
-    undecided = links.join(true, ["doc", "line"], "left_anti").select("doc", "line", F.lit(True).alias("undecided"))
-    undecided = stored(undecided)
+    verified = stored(pairs.mapInArrow(verify, "doc long, line long, similar boolean"))
+    true = verified.where("similar").select("doc", "line")
+    undecided = verified.where("not similar").select("doc", "line", F.lit(True).alias("undecided"))
     if undecided.isEmpty():
-        return exact.union(true).distinct()
+        return exact.union(true)
     members = (
         members.join(members.join(undecided, ["doc", "line"]).select("cluster").distinct(), "cluster", "left_semi")
-        .join(sets, ["doc", "line"])
         .join(undecided, ["doc", "line"], "left")
         .fillna(False, ["undecided"])
         .withColumn("id", F.xxhash64("doc", "line"))
     )
-    cells = blocked(stored(members), ["cluster"], "id", block=512, shard_rows=4096)
+    cells = blocked(stored(members), ["cluster"], "id", block=512, shard_rows=4096).join(sets, ["doc", "line"])
     rest = cells.groupBy("_cell", "_i", "_j").applyInArrow(_settle(p, q), "doc long, line long")
-    return exact.union(true).union(rest).distinct()
+    return exact.union(true).union(rest)
 
 
 def _repeats(table: pa.Table) -> pa.Table:
@@ -585,9 +657,9 @@ def drop_repeated_lines(
     stays as it is. Rows with one id are one document: a line number that repeats goes in all of them.
     Columns whose names clash with the added one are replaced. An empty table stays empty.
     """
-    gone = repeated_lines(docs, above, text, id_column, frequent).groupBy("doc").agg(F.collect_set("line").alias("_gone"))
+    gone = _repeated_lines(docs, above, text, id_column, frequent).groupBy("doc").agg(F.collect_set("line").alias("_gone"))
     rows = docs.drop("n_removed_lines") if text != "n_removed_lines" else docs
-    joined = rows.join(gone, F.col(id_column).cast("long") == F.col("doc"), "left").drop("doc")
+    joined = rows.join(gone.hint("shuffle_hash"), F.col(id_column).cast("long") == F.col("doc"), "left").drop("doc")
     kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_gone", i.cast("long")))
     return (
         joined.withColumn("n_removed_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))

@@ -242,6 +242,43 @@ def test_line_sets():
         assert list(part) == sorted(before, key=lambda c: (rank.get(int(c), 0), c))
 
 
+def test_words_are_coded_in_pieces_that_stay_in_cache(monkeypatch):
+    r = random.Random(4)
+    texts = ["\n".join(" ".join(f"w{r.randrange(4000)}" for _ in range(12)) for _ in range(30)).encode() for _ in range(900)]
+    order = lines.line_words(texts)[2][::5].copy()
+    order = order[np.sort(np.unique(order, return_index=True)[1])]
+    words, coded = lines.line_words, []
+    monkeypatch.setattr(lines, "line_words", lambda some: coded.append(sum(map(len, some))) or words(some))
+    pieces = lines.line_sets(texts, order)
+    assert sum(coded) == sum(map(len, texts)) > 4 * max(coded) and max(coded) < (1 << 18) + 4096
+    monkeypatch.setattr(lines, "CACHED_BYTES", 1 << 40, raising=False)
+    assert all((a == b).all() for a, b in zip(pieces, lines.line_sets(texts, order), strict=True))
+
+
+def test_undecided_lines_are_compared_where_sizes_and_parities_allow(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 60, rng.integers(5, 60))).astype(np.uint64) for _ in range(120)]
+    sets += [np.append(s[:-1], np.uint64(7)) for s in sets[:10]]
+    n = len(sets)
+    doc, line = rng.permutation(n) // 2, np.zeros(n, np.int64)
+    line[np.unique(doc, return_index=True)[1]] = 1
+    undecided = np.arange(n) % 3 > 0
+    near = lambda a, b: 10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b))
+    want = {
+        (doc[i], line[i]) for i in range(n) for j in range(n)
+        if undecided[i] and (doc[j], line[j]) < (doc[i], line[i]) and near(sets[i], sets[j])
+    }
+    common, calls = np.intersect1d, []
+    monkeypatch.setattr(np, "intersect1d", lambda *a, **k: calls.append(a) or common(*a, **k))
+    for own in (np.zeros(n, np.int64), np.arange(n) % 2):
+        columns = {"doc": doc, "line": line, "undecided": undecided, "cluster": np.full(n, 5), "_own": own}
+        table = pa.table(columns | {"_i": np.zeros(n, np.int64), "_j": np.full(n, own.max()), "codes": [s.tobytes() for s in sets]})
+        got = lines._settle(10, 8)(table)
+        found = set(zip(got["doc"].to_pylist(), got["line"].to_pylist(), strict=True))
+        assert found <= want and (own.any() or found == want)
+    assert want and len(calls) < n
+
+
 def test_parity_never_exceeds_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(200):
