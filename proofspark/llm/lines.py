@@ -544,7 +544,7 @@ def _settle(p: int, q: int):
 def repeated_lines(
     docs: DataFrame, above: tuple[int, int] = (10, 8), text: str = "text", id_column: str = "doc_id", frequent: int = FREQUENT
 ) -> DataFrame:
-    """``_repeated_lines``, each once."""
+    """(doc, line) of every line that ``_repeated_lines`` finds, each once."""
     return _repeated_lines(docs, above, text, id_column, frequent).distinct()
 
 
