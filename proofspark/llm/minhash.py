@@ -267,7 +267,7 @@ def near_duplicates(
         .agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
     )
     posted = stored(postings(reps, least))
-    able = posted.select("id").distinct().join(reps.select("id", "set_hash"), "id")
+    able = stored(posted.select("id").distinct().join(reps.select("id", "set_hash"), "id"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +300,9 @@ def near_duplicates(
         links = stored(parts.where("id != component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(found))
         dropped(old, found)
         parts = components(links)
+    hashed = able
     able = stored(able.select("id").distinct().join(parts, "id", "left").withColumn("component_id", F.coalesce("component_id", "id")))
+    dropped(hashed)
     joined = able.where("id != component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
     open_lists = _undecided(posted, parts)
     likely = stored(_trees(open_lists, short, least))

@@ -143,14 +143,17 @@ def mix(
 def _scale(raked: DataFrame, wanted: float, top: float) -> float:
     """The factor at which min(1, ratio * factor) of all tokens are ``wanted``; all there are if that is less.
 
-    Each job sums at 64 factors at once: powers of two first, then evenly between the two that enclose it.
+    Each job sums at 64 factors at once: powers of two first, then evenly between the two that enclose it. The
+    factors are rows beside each cell, so that all jobs share one short piece of generated code.
     """
     if not top or wanted <= 0:
         return 0.0
     scales = [2.0**k / top for k in range(64)]
     for step in range(6):
-        sums = [F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("_ratio") * s)) for s in scales]
-        found = list(raked.agg(*sums).first())
+        tried = raked.select("tokens", "_ratio", F.posexplode(F.lit(scales)).alias("_at", "_scale"))
+        share = F.least(F.lit(1.0), F.col("_ratio") * F.col("_scale"))
+        sums = {r["_at"]: r["_sum"] for r in tried.groupBy("_at").agg(F.sum(F.col("tokens") * share).alias("_sum")).collect()}
+        found = [sums[k] for k in range(len(scales))]
         at = next((i for i, x in enumerate(found) if x >= wanted), len(scales) - 1)
         low = scales[at - 1] if at else (0.0 if step == 0 else scales[0])
         high = scales[at]

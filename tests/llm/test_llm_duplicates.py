@@ -60,6 +60,34 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_have_small_plans(spark, monkeypatch):
+    """The driver holds the plan of each table: one join at most, the links read twice; stars are not written again."""
+    import proofspark.llm.components as c
+
+    plans = []
+
+    def record(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(c, "stored", record)
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 300), (300, 9), (None, 3), (4, None)]
+    pairs += [(rng.randrange(400, 600), rng.randrange(400, 600)) for _ in range(120)]
+    found = components(spark.createDataFrame([(None if a is None else f"{a:03d}", None if b is None else f"{b:03d}") for a, b in pairs], "a string, b string"))
+    links = [(a, b) for a, b in pairs if a is not None and b is not None and a != b]
+    least = {x: x for link in links for x in link}
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert sorted((int(x.id), int(x.component_id)) for x in found.collect()) == sorted(least.items())
+    assert len(plans) > 1 and max(p.count("Join ") for p in plans) == 1 and max(p.count("Relation ") for p in plans) == 2
+    plans.clear()
+    stars = components(spark.createDataFrame([(5, 1), (1, 6), (1, 5), (8, 2)], "a long, b long"))
+    assert {(x.id, x.component_id) for x in stars.collect()} == {(1, 1), (5, 1), (6, 1), (2, 2), (8, 2)}
+    assert len(plans) == 1
+
+
 @pytest.mark.parametrize("above", [(100, 85), (100, 80)])
 def test_near_documents(spark, above):
     texts = variants(1, 60)
