@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import importlib
 import random
 
 import numpy as np
@@ -157,6 +158,39 @@ def test_vectors(spark, monkeypatch):
     assert embeddings.near_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("all_pairs", "split"), [(16_384, 131_072), (50, 131_072), (50, 200)])
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_wide_vectors_are_not_copied(spark, monkeypatch, kind, all_pairs, split):
+    """Of many wide vectors only those that may have a partner are compared in full, each in one cell; before, most went to most cells."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 64))
+    for i in range(400, 700):
+        x[i] = x[i - 400] + rng.normal(size=64) * rng.choice([0, 0.1, 0.38])
+    x[700:760] = x[0] + rng.normal(size=(60, 64)) * 0.15
+    x[760], x[761] = 0.0, x[763]
+    x = x.astype(np.float32).astype(np.float64) if kind == "float" else x
+    label = (np.arange(1500) % 400 % 2).tolist()
+    rows = [(i, [float(v) for v in x[i]], f"a{label[i]}") for i in range(1500)]
+    rows += [(None, rows[0][1], "a0"), (1500, rows[0][1], None), (1501, [float("inf")] * 64, "a0"), (1502, [1.0] * 63, "a0"), (1503, None, "a0")]
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label string").repartition(3)
+    blocked, sizes = embeddings.blocked, []
+    monkeypatch.setattr(embeddings, "blocked", lambda rows, keys, i: sizes.append(rows.count()) or blocked(rows, keys, i))
+    sketches = importlib.import_module("proofspark.llm.sketches")
+    monkeypatch.setattr(sketches, "ALL_PAIRS", all_pairs)
+    monkeypatch.setattr(sketches, "SPLIT", split)
+    monkeypatch.setattr(sketches, "HOT", 40 if all_pairs == 50 else 4096)
+    got = {r.vec_id: r for r in embeddings.near_vectors(table, cell_rows=40).collect()}
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    near = (unit @ unit.T >= 0.93) & (np.array(label)[:, None] == np.array(label)[None, :])
+    np.fill_diagonal(near, False)
+    assert near.sum() > 300
+    assert [got[i].n_links for i in range(1500)] == near.sum(axis=1).tolist()
+    assert [got[i].component_id for i in range(1500)] == roots(1500, list(zip(*np.nonzero(near), strict=True)))
+    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(1500, 1504)] == [(0, i, True) for i in range(1500, 1504)]
+    assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, False)
+    assert sizes[0] < 1500
+
+
 def brute_lines(texts):
     seen, gone = [], set()
     for i, t in enumerate(texts):
